@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseflow.llm import bpe, langid, linedup, minhash, packing, quality, token_file
+from proseflow.llm import bpe, htmltext, langid, linedup, minhash, packing, quality, token_file
 from proseflow.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
+    "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
     "op6_bpe": op6_bpe,
     "op9_quality": op9_quality,
