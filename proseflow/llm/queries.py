@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseflow.llm import bpe, htmltext, langid, linedup, minhash, packing, quality, token_file
+from proseflow.llm import bpe, embeddings, htmltext, langid, linedup, minhash, packing, quality, token_file
 from proseflow.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), texts=False)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
     "op6_bpe": op6_bpe,
+    "op7_embeddings": op7_embeddings,
     "op9_quality": op9_quality,
     "op10_lines": op10_lines,
 }
