@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseflow.llm import bpe, embeddings, htmltext, langid, linedup, minhash, packing, quality, token_file
+from proseflow.llm import bpe, embeddings, htmltext, langid, linedup, minhash, packing, quality, substrings, token_file
 from proseflow.llm.common import table
 
 
@@ -51,6 +51,11 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_bpe": op6_bpe,
     "op7_embeddings": op7_embeddings,
+    "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
     "op10_lines": op10_lines,
 }
