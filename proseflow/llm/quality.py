@@ -157,6 +157,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return train([(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows], good, n[1] / (n[0] + n[1]))
 
 
+def judge(text: str | None, model, threshold: float) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept."""
+    raw = (text or "").encode(errors="replace")
+    hashes = word_hashes(raw)
+    counts = counts_of(raw, hashes)
+    failed = counts[0] < LEAST_WORDS or 100 * counts[4] > MOST_REPEATED * counts[0]
+    p = 1.0
+    if model is not None:
+        weights, slope, offset = model
+        sums, ns = np.zeros(KINDS), np.zeros(KINDS)
+        for kind, buckets in grams_of(raw, hashes):
+            sums[kind] += weights[kind << BITS : (kind + 1) << BITS].take(buckets.astype(np.int64)).sum(dtype=np.float64)
+            ns[kind] += len(buckets)
+        p = float(logistic(slope * (sums / np.maximum(ns, 1)).sum() + offset))
+    return *counts, failed, p, not failed and p >= threshold
+
+
 def assess(docs: DataFrame, model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept``.
 
@@ -166,24 +183,21 @@ def assess(docs: DataFrame, model, threshold: float = THRESHOLD, id_col: str = "
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, rows = held.value, []
-        for text in batch.column(1).to_pylist():
-            raw = (text or "").encode(errors="replace")
-            hashes = word_hashes(raw)
-            counts = counts_of(raw, hashes)
-            failed = counts[0] < LEAST_WORDS or 100 * counts[4] > MOST_REPEATED * counts[0]
-            p = 1.0
-            if model is not None:
-                weights, slope, offset = model
-                sums, ns = np.zeros(KINDS), np.zeros(KINDS)
-                for kind, buckets in grams_of(raw, hashes):
-                    sums[kind] += weights[kind << BITS : (kind + 1) << BITS].take(buckets.astype(np.int64)).sum(dtype=np.float64)
-                    ns[kind] += len(buckets)
-                p = float(logistic(slope * (sums / np.maximum(ns, 1)).sum() + offset))
-            rows.append((*counts, failed, p, not failed and p >= threshold))
+        rows = [judge(text, held.value, threshold) for text in batch.column(1).to_pylist()]
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return in_arrow(known, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, that ``assess`` keeps."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([judge(text, held.value, threshold)[-1] for text in batch.column(place).to_pylist()], pa.bool_()))
+
+    return in_arrow(docs, run, docs.schema)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proseflow.llm.common import GROUP_BYTES, groups, in_arrow, stored
 from proseflow.llm.suffixes import suffix_array
@@ -164,16 +165,19 @@ def equal_windows(strings: list[tuple[int, bytes, int, int]], length: int = LENG
     return out
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, characters: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: the ranges [start, end) of bytes removed, and the rest.
 
+    carry: also ``rest``, a struct of the other columns of ``docs``.  characters: ranges
+    shrink to whole characters, so that ``kept`` is valid UTF-8.
+
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document
     with a smaller id, whatever is removed there.  A null text is empty.  Rows with one id
     do not remove each other; a row without an id neither removes nor loses anything.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("raw"))
-    usable = texts.where("doc_id IS NOT NULL").where(F.octet_length("raw") >= length)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("raw"), F.struct(*(c for c in docs.columns if c != text_col)).alias("rest"))
+    usable = texts.drop("rest").where("doc_id IS NOT NULL").where(F.octet_length("raw") >= length)
     total = usable.agg(F.sum(F.octet_length("raw"))).head()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
 
@@ -280,7 +284,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             least = windows.groupBy("s", "t").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
             ranges = ranges.unionByName(windows.join(least, ["s", "t"]).where("doc_id > least").select("doc_id", "row", "a", F.col("a").alias("e")))
     lost = ranges.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("a", "e"))).alias("lost"))
-    joined = texts.join(lost, ["doc_id", "row"], "left").select("doc_id", "raw", "lost.a", "lost.e")
+    joined = texts.join(lost, ["doc_id", "row"], "left").select("doc_id", "raw", "lost.a", "lost.e", *["rest"] * carry)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -291,6 +295,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                     spans[-1][1] = max(spans[-1][1], t + length)
                 else:
                     spans.append([s, t + length])
+            if characters:
+                for x in spans:
+                    while x[0] < x[1] and raw[x[0]] & 0xC0 == 0x80:
+                        x[0] += 1
+                    while x[0] < x[1] < len(raw) and raw[x[1]] & 0xC0 == 0x80:
+                        x[1] -= 1
             at, kept = 0, []
             for s, t in spans:
                 kept.append(raw[at:s])
@@ -298,6 +308,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             kept = b"".join([*kept, raw[at:]])
             out.append((len(raw), len(raw) - len(kept), [{"start": s, "end": t} for s, t in spans], kept))
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))]
+        return pa.RecordBatch.from_arrays([*arrays, *batch.columns[4:]], ["doc_id", "n_bytes", "n_removed", "spans", "kept", *["rest"] * carry])
 
-    return in_arrow(joined, cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return in_arrow(joined, cut, StructType([*schema, *([texts.schema["rest"]] if carry else [])]))
