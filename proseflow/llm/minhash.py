@@ -2,23 +2,22 @@
 
 1. A pass over the texts makes, for each document, MinHash values (in bands), an odd sketch
    of them, and a digest of its shingle set.  Documents with equal sets are one node.
-2. Documents that agree in a band are candidates.  Not every pair is listed: in each band
-   bucket all members meet its leader, links make components, and only members in other
-   components meet again, in rounds, until no bucket has two members in different
-   components that have not met.
-3. A candidate pair whose odd sketches differ in so many bits that the required similarity
-   is out of reach (six standard deviations) is dropped; all others are confirmed on the
-   full sets.
-
-Pairs in one component need not meet: the result is components.  With ``rows`` values in
-each of ``bands`` bands, a link at similarity s is missed with chance
-``(1 - s^rows)^bands``: 3e-5 at 0.85 for 6 and 22, and less above it.
+2. Nodes that agree in a band share a bucket.  In each bucket all meet its leader, by odd
+   sketch: those that may be near it are tied to it, the rest go on with a leader of their
+   own, and what is left after some rounds is tied to its leader whatever the sketches say.
+   No pairs are listed.  Ties make clusters, wide enough that similar documents share one:
+   they agree in some eight bands, and only leaders near the bound can part them.
+3. Inside a cluster every pair is decided on the full sets, by products of incidence
+   matrices.  Small clusters share tasks; a large one is cut into tiles, and a task has two
+   of them.  A task returns a spanning forest of its links, never the links themselves.
+
+With ``rows`` values in each of ``bands`` bands, two documents of similarity s share no
+bucket with chance ``(1 - s^rows)^bands``: 3e-5 at 0.85 for 6 and 22, less above it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,10 @@ from proseflow.llm.words import PLACES, mixed, windows, word_hashes
 
 BANDS, ROWS = 22, 6
 SKETCH_BITS = 256
-#: Members of a bucket of this size or less all meet at once; those of others in rounds.
-SMALL = 64
-#: Leaders of a large bucket in one round.
-LEADERS = 16
-#: Members that one copy of a leader's text meets.
-SHARE = 512
+#: Sketches that tell of this similarity at least tie a member to its leader; after so many rounds any do.
+TIED, ROUNDS = 0.4, 5
+#: Most documents and shingles of a tile, about; two tiles are a task.
+TILE, TILE_SHINGLES = 1024, 400_000
 _CHUNK = 4096
 
 _RANDOM = np.random.default_rng(7)
@@ -65,15 +62,13 @@ def signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[list[int], l
     return keys, sketch, digest
 
 
-def most_bits(threshold: float, samples: int, bits: int = SKETCH_BITS, deviations: float = 6) -> int:
-    """Differing bits beyond which two sketches of ``samples`` values can't come from sets that are as similar.
+def odd_bits(similarity: float, samples: int, bits: int = SKETCH_BITS) -> int:
+    """How many bits of two sketches differ on average.
 
-    At similarity s the samples differ in ``2 * samples * (1 - s)`` elements, give or take;
-    d elements, folded into n bits, leave about ``n / 2 * (1 - exp(-2 d / n))`` bits odd.
+    Samples of sets differ in ``2 * samples * (1 - similarity)`` elements; d elements, folded
+    into n bits, leave ``n / 2 * (1 - exp(-2 d / n))`` of them odd.
     """
-    differ = 2 * (samples * (1 - threshold) + deviations * math.sqrt(samples * threshold * (1 - threshold)))
-    mean = bits / 2 * (1 - math.exp(-2 * differ / bits))
-    return math.ceil(min(bits, mean + math.sqrt(bits) / 2))
+    return round(bits / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / bits)))
 
 
 def near_duplicates(
@@ -101,82 +96,93 @@ def near_duplicates(
     nodes = usable.groupBy("s", "t").agg(F.min("doc_id").alias("node"))
     firsts = usable.join(nodes.select("s", "t", F.col("node").alias("doc_id")), ["s", "t", "doc_id"], "left_semi")
     sketches, _ = stored(firsts.select(F.col("doc_id").alias("node"), "n", "sketch", "bands"))
-    found = sketches.select("node", F.explode("bands").alias("key")).distinct()
-    sizes = found.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = checkpointed(found.join(sizes, "key"))
-    limit = most_bits(threshold / 100, bands * rows)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return confirm(pairs.select("a", "b").distinct(), sketches.drop("bands"), texts, words, threshold, limit)
-
-    links = checkpointed(confirmed(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))))
-    of = checkpointed(components(links))
-    open_ = members.where("node <> leader").select("key", "node", "size")
-    while True:
-        placed = open_.join(of, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        placed = checkpointed(placed.join(mixed_keys, "key", "left_semi"))
-        if placed.isEmpty():
-            break
-        small, large = placed.where(F.col("size") <= SMALL), placed.where(F.col("size") > SMALL)
-        main = large.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        leaders = (
-            large.join(main, "key").where("component <> main")
-            .groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("node", "component")).alias("x"))
-            .select("key", F.col("x.node").alias("a"), F.col("x.component").alias("of_a"))
-        )
-        leaders = checkpointed(leaders)
-        ahead = small.select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
-        pairs = small.join(ahead, "key").where("a > node AND of_a <> component").select("a", F.col("node").alias("b"))
-        pairs = pairs.unionByName(large.join(leaders, "key").where("of_a <> component").select("a", F.col("node").alias("b")))
-        new = checkpointed(confirmed(pairs))
-        open_ = checkpointed(large.select("key", "node", "size").join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            of = checkpointed(components(links))
-        if open_.isEmpty():
+    found = sketches.select("node", "sketch", F.explode("bands").alias("key"))
+    shared = found.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    words64 = [F.col("sketch")[k].alias(f"x{k}") for k in range(SKETCH_BITS // 64)]
+    members = checkpointed(found.join(shared, "key", "left_semi").select("key", "node", *words64))
+    tied = odd_bits(TIED, bands * rows)
+    differ = sum(F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"lead.x{k}"))) for k in range(SKETCH_BITS // 64))
+    ties = None
+    for last in [False] * (ROUNDS - 1) + [True]:
+        leaders = members.groupBy("key").agg(F.min(F.struct("node", *(f"x{k}" for k in range(SKETCH_BITS // 64)))).alias("lead"))
+        met = members.join(leaders, "key").where(F.col("node") != F.col("lead.node"))
+        met = checkpointed(met.select("*", F.col("lead.node").alias("leader"), (differ <= tied).alias("near")).drop("lead"))
+        new = met.select(F.col("node").alias("a"), F.col("leader").alias("b"), "near").where("near" if not last else "true").drop("near").distinct()
+        ties = new if ties is None else ties.unionByName(new)
+        members = met.where("NOT near").drop("leader", "near")
+        if last or members.isEmpty():
             break
+    clusters = checkpointed(components(ties))
+    of = checkpointed(components(confirm(clusters, sketches.select("node", "n"), texts, words, threshold)))
     placed = signed.select("doc_id", "n", "s", "t").join(nodes, ["s", "t"], "left").join(of, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, threshold: int, limit: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are links.
-
-    Each b's text goes to the tasks that hold the texts of its a's, once for every SHARE of them.
-    """
-    of_a = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
-    of_b = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
-    differ = sum(F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(SKETCH_BITS // 64))
-    near = pairs.join(of_a, "a").join(of_b, "b").where(
-        (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (differ <= limit)
+def confirm(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within ``clusters(node, component)``."""
+    sized = clusters.join(sizes, "node")
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    cut = sized.groupBy("component").agg(tiles.alias("tiles"))
+    bundles = max(1, math.ceil((sized.agg(F.sum("n")).head()[0] or 0) / TILE_SHINGLES))
+    placed = sized.join(cut, "component")
+    bundled = placed.where("tiles = 1").select("node", "component", F.lit(None).cast("long").alias("cell"), F.pmod(F.xxhash64("component"), F.lit(bundles)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    large = placed.where("tiles > 1").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    large = large.select("node", "component", "tile", others).select(
+        "node", "component", F.col("component").alias("cell"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+        (F.col("tile") > F.col("other")).cast("int").alias("side"),
     )
-    near = checkpointed(near.select("a", "b"))
-    shares = near.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    salted = near.join(shares, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("salt"))
-    wanted = salted.unionByName(shares.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")))
-    rows = wanted.join(texts.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node"), "node")
-    rows = rows.select("b", "salt", (F.col("node") != F.col("b")).alias("follows"), "node", "text")
-    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "follows", "node")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, []
-        for batch in batches:
-            a, b = [], []
-            for lead, salt, follows, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (lead, salt) != at:
-                    at, leaders = (lead, salt), []
-                own = shingle_set(text, words)
-                if not follows:
-                    leaders.append(own)  # more than one only if rows share the id
-                    continue
-                for other in leaders:
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= threshold * (len(own) + len(other) - both) and both:
-                        a.append(node)
-                        b.append(lead)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long")
+    rows = bundled.unionByName(large).join(texts.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node"), "node")
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(np.asarray(table["component"]), kind="stable"))
+        cluster = np.asarray(table["component"])
+        node, side, text = np.asarray(table["node"]), np.asarray(table["side"]), table["text"]
+        cuts = np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster)).tolist()
+        a, b = [], []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            sets = [shingle_set(text[k].as_py(), words) for k in range(s, e)]
+            root = linked(sets, side[s:e], threshold)
+            own = np.flatnonzero(root != np.arange(e - s))
+            a.append(node[s + own])
+            b.append(node[s + root[own]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows.select("cell", "i", "j", "component", "node", "side", "text").groupBy("cell", "i", "j").applyInArrow(links, "a long, b long")
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray, threshold: int, columns: int = 4096) -> np.ndarray:
+    """For each set the first one that it is linked with, over others or itself.  Sets of both sides, or of one, meet."""
+    m = len(sets)
+    n = np.array([len(x) for x in sets], np.int64)
+    if m == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if both and 100 * both >= threshold * (n.sum() - both) else 1])
+    owner = np.repeat(np.arange(m), n)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    keep = count[place] > 1  # what one set has alone is in no intersection
+    owner, place = owner[keep], column[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared = np.zeros((m, m), np.float32)
+    width = int(place[-1]) + 1 if len(place) else 0
+    for at in range(0, width, columns):
+        s, e = np.searchsorted(place, [at, at + columns])
+        part = np.zeros((m, min(columns, width - at)), np.float32)
+        part[owner[s:e], place[s:e] - at] = 1
+        shared += part @ part.T
+    link = (shared > 0) & (100 * shared.astype(np.float64) >= threshold * (n[:, None] + n[None, :] - shared.astype(np.float64)))
+    if side.any():  # pairs within a tile are another task's
+        link &= side[:, None] != side[None, :]
+    np.fill_diagonal(link, True)
+    root = np.arange(m)
+    while True:
+        lower = np.where(link, root[None, :], m).min(1)
+        lower = lower[lower]
+        if (lower == root).all():
+            return root
+        root = lower
+
+
