@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseflow.functions import text as T
-from proseflow.operators import dictionary, fidelity, rules_en, rules_ru, segments
+from proseflow.operators import dictionary, fidelity, lexicon_ru, rules_en, rules_ru, segments
 from proseflow.plans import oracles as O
 from proseflow.sources import tables
 
@@ -315,3 +315,66 @@ def report_json_en(spark, sf_dir):
     found = rules_en.findings(tables.english(spark, sf_dir))
     line = F.struct("para", "sent", "seq", "rule", "kind", "match")
     return found.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(line))).alias("report"))
+
+
+def _values(rows: list[dict]) -> str:
+    """Patterns of single words as DuckDB values: row_id, head (prefix and stem), class."""
+    out = [(i, p + w["stem"], c) for i, r in enumerate(rows) for phrase in lexicon_ru.parse_term(r["term"]) if len(phrase) == 1 for w in phrase for p in w["prefixes"] for c in w["classes"] or " "]
+    return "(VALUES " + ", ".join(f"({i}, {O.q(h)}, {O.q(c)})" for i, h, c in out) + ")"
+
+
+_ENDS = "(VALUES " + ", ".join(f"({O.q(c)}, {O.q(e)})" for c, e in [("n", e) for e in lexicon_ru.NOUN_ENDINGS] + [("v", e) for e in lexicon_ru.verb_endings()] + [(" ", "")]) + ")"
+
+
+@query("SELECT ending FROM " + _ENDS + " AS e(class, ending) WHERE class = 'v'")
+def verb_endings(spark, sf_dir):
+    return lexicon_ru.endings(spark).where("class = 'v'").select("ending")
+
+
+@query()
+def ru_surface_forms(spark, sf_dir):
+    return lexicon_ru.surface_forms(spark, lexicon_ru.SEED["ru-non-approved"])
+
+
+def _match_sql(table: str, where: str = "") -> str:
+    """Distinct words split into head and tail wherever possible: another algorithm than expansion."""
+    return (
+        f"SELECT DISTINCT w.word, p.row_id FROM splits w JOIN {_values(lexicon_ru.SEED[table])} AS p(row_id, head, class) ON w.head = p.head"
+        f" JOIN ends e ON e.class = p.class AND e.ending = w.tail {where}"
+    )
+
+
+_LOANS = [i for i, r in enumerate(lexicon_ru.SEED["ru-allowed"]) if r["class"] in ("loanword", "latin")]
+
+
+@query(
+    O.russian_ctes(O.RUSSIAN)
+    + f""", ends AS (SELECT * FROM {_ENDS} AS e(class, ending)),
+t AS (SELECT doc_id, sent, i - 1 AS ord, ts[i] AS tok FROM (SELECT doc_id, sent, {O.every('text', T.PROSE_TOKEN)} AS ts FROM sents), unnest(range(1, len(ts) + 1)) AS u(i)),
+parts AS (SELECT *, regexp_split_to_array(tok, '[-''’]') AS ps FROM t),
+cands AS (SELECT doc_id, sent, ord, 0 AS cand, tok AS raw FROM parts UNION ALL SELECT doc_id, sent, ord, i, ps[i] FROM parts, unnest(range(1, len(ps) + 1)) AS u(i) WHERE len(ps) > 1),
+words AS (SELECT *, replace(lower(raw), 'ё', 'е') AS word FROM cands),
+splits AS (SELECT word, left(word, n) AS head, substr(word, n + 1) AS tail FROM (SELECT DISTINCT word FROM words), unnest(range(1, length(word) + 1)) AS u(n)),
+allowed AS ({_match_sql('ru-allowed')}), banned AS ({_match_sql('ru-non-approved')}),
+left_over AS (SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM words v JOIN allowed a ON a.word = v.word WHERE v.cand = 0 AND v.doc_id = w.doc_id AND v.sent = w.sent AND v.ord = w.ord)
+              AND NOT (cand > 0 AND word IN (SELECT word FROM allowed WHERE row_id IN ({', '.join(map(str, _LOANS))}))))
+SELECT doc_id, CAST(sent AS INT) AS sent, CAST(ord AS INT) AS ord, row_id, arg_min(l.word, cand) AS match FROM left_over l JOIN banned b ON b.word = l.word GROUP BY ALL"""
+)
+def ru_lexicon(spark, sf_dir):
+    return lexicon_ru.single_words(tables.russian(spark, sf_dir)).select("doc_id", "sent", "ord", "row_id", "match")
+
+
+@query()
+def ru_domain_sense(spark, sf_dir):
+    found = lexicon_ru.single_words(tables.russian(spark, sf_dir))
+    return found.groupBy("rule", "hard", "row_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def ru_phrases(spark, sf_dir):
+    return lexicon_ru.phrases(tables.russian(spark, sf_dir), lexicon_ru.SEED["ru-non-approved"])
+
+
+@query()
+def lookup_ru(spark, sf_dir):
+    return lexicon_ru.lookup(spark, ["деплоить", "код написан", "узлов", "нет"])

@@ -48,7 +48,8 @@ RUSSIAN = [
     "Она сказала: «Нет…» И ушла. (Совсем.) а потом вернулась — при этом молча.",
     "Очень длинное предложение, в котором автор долго рассказывает о том, что было сделано за {n} дней, "
     "и никак не может остановиться, потому что слов ещё много, а точки всё нет и нет, но конец близок.",
-    "```\nкод и code\n```\nТекст после кода.",
+    "```\nкод и code\n```\nТекст после кода. Код написан за {n} дней, узлы кластера деплоятся.",
+    "Крутые узлы сети в логах; узел кластера цел. Задеплоили web-сервером.",
 ]
 
 #: (source, target) pairs; the second of a target's two forms loses or changes something.
