@@ -34,6 +34,12 @@ def not_approved(spark: SparkSession, rows=NOT_APPROVED) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, word string, pos string, instead string")
 
 
+def verbs(approved_rows=APPROVED, banned_rows=NOT_APPROVED) -> list[str]:
+    """Verbs of the tables and their listed forms."""
+    found = {w for word, pos, forms in approved_rows if pos == "v" for w in [word, *forms.split()]}
+    return sorted(found | {word for word, pos, _ in banned_rows if pos == "v"})
+
+
 def form_index(entries: DataFrame) -> DataFrame:
     """``form, base``: of words that share a form, the first wins; forms of BE go to ``be``."""
     word, forms = F.col("word"), F.filter(F.split("forms", " "), lambda f: F.length(f) > 1)

@@ -86,6 +86,32 @@ def word_findings(tokens: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(tokens, one)))
 
 
+def noun_clusters(tokens: Column, verbs: list[str]) -> Column:
+    """Runs of four noun-like tokens or more, as text.
+
+    A function word, a verb or an adverb in -ly ends a run; a set phrase drops it unreported;
+    single letters and been, being neither lengthen nor end it.
+    """
+    strings = "array<string>"
+    empty = F.expr("array()").cast(strings)
+    start = F.struct(empty.alias("run"), empty.alias("out"))
+    reported = lambda s: F.when(F.size(s["run"]) >= 4, F.array_append(s["out"], F.array_join(s["run"], " "))).otherwise(s["out"])
+
+    def step(s: Column, t: Column) -> Column:
+        tok = t["tok"]
+        phrase = ~t["opaque"] & tok.contains("_")
+        still = ~t["opaque"] & ((F.length(tok) < 2) | tok.isin("been", "being"))
+        ends = ~t["opaque"] & ~tok.isin(NUMBER_WORDS) & (tok.isin(FUNCTION_WORDS + verbs) | (tok.endswith("ly") & (F.length(tok) > 3)))
+        return (
+            F.when(phrase, F.struct(empty.alias("run"), s["out"].alias("out")))
+            .when(still, s)
+            .when(ends, F.struct(empty.alias("run"), reported(s).alias("out")))
+            .otherwise(F.struct(F.array_append(s["run"], tok).alias("run"), s["out"].alias("out")))
+        )
+
+    return F.aggregate(tokens, start, step, reported)
+
+
 def sentence_findings(sentence: Column, mode: str = "auto") -> Column:
     """All findings of a sentence, ``rule, kind, match``, in the order of the rules."""
     words = T.let(S.tokens_of(sentence), word_findings)

@@ -178,3 +178,12 @@ WITH docs AS (SELECT doc_id, {prose('text')} AS text FROM ({docs})),
 lines AS (SELECT doc_id, i AS n, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs), unnest(range(1, len(ls) + 1)) AS t(i)),
 pieces AS (SELECT doc_id, n, j, {sub('ss[j]', r'^\s+|\s+$')} AS text FROM (SELECT doc_id, n, string_split({ends}, chr(1)) AS ss FROM lines), unnest(range(1, len(ss) + 1)) AS t(j)),
 sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, j) AS sent, text FROM pieces WHERE {rx('text', r'[\p{L}\p{Nd}_]')})"""
+
+
+def mode(text: str, verbs: list[str]) -> str:
+    first = sub(sub(text, T.LIST_MARKER), T.SAFETY_LABEL)
+    head = f"lower(regexp_extract({first}, {q("[A-Za-z']+")}, 0))"
+    after = f"lower(regexp_extract({first}, {q(f",{T.WS}*([A-Za-z']+)")}, 1))"
+    return f"""CASE WHEN {rx(text, rf'(?i)^NOTE{T.WS}*:')} OR {head} = '' THEN 'descriptive'
+ WHEN {head} IN {listed(E.CONDITION_HEADS)} AND {after} IN {listed(verbs)} THEN 'procedural'
+ WHEN {head} IN {listed(E.IMPERATIVE_HEADS)} OR ({head} IN {listed(verbs)} AND {head} NOT IN ('it', 'this', 'there')) THEN 'procedural' ELSE 'descriptive' END"""

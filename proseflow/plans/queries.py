@@ -378,3 +378,44 @@ def ru_phrases(spark, sf_dir):
 @query()
 def lookup_ru(spark, sf_dir):
     return lexicon_ru.lookup(spark, ["деплоить", "код написан", "узлов", "нет"])
+
+
+def _clusters(docs: str) -> str:
+    ends = f"NOT opaque AND tok NOT IN {O.listed(rules_en.NUMBER_WORDS)} AND (tok IN {O.listed(rules_en.FUNCTION_WORDS + dictionary.verbs())} OR (ends_with(tok, 'ly') AND length(tok) > 3))"
+    return (
+        O.token_ctes(docs)
+        + f""", marks AS (SELECT *, CASE WHEN NOT opaque AND contains(tok, '_') THEN 2 WHEN {ends} THEN 1 ELSE 0 END AS brk FROM toks
+  WHERE opaque OR NOT (length(tok) < 2 OR tok IN ('been', 'being'))),
+runs AS (SELECT *, coalesce(sum(CASE WHEN brk > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marks),
+found AS (SELECT doc_id, sent, g, string_agg(tok, ' ' ORDER BY ord) FILTER (brk = 0) AS cluster FROM runs GROUP BY doc_id, sent, g
+          HAVING count(*) FILTER (brk = 0) >= 4 AND max(brk) < 2)
+SELECT doc_id, CAST(sent AS INT) AS sent, cluster, count(*) AS n FROM found GROUP BY ALL"""
+    )
+
+
+def _noun_clusters(docs: DataFrame) -> DataFrame:
+    found = F.explode(rules_en.noun_clusters(segments.tokens_of(F.col("text")), dictionary.verbs())).alias("cluster")
+    return segments.sentences(docs).select("doc_id", "sent", found).groupBy("doc_id", "sent", "cluster").agg(F.count("*").alias("n"))
+
+
+@query(_clusters(O.ENGLISH))
+def noun_clusters(spark, sf_dir):
+    return _noun_clusters(tables.english(spark, sf_dir))
+
+
+@query(_clusters(O.DOCUMENTS))
+def noun_clusters_documents(spark, sf_dir):
+    return _noun_clusters(documents(spark, sf_dir))
+
+
+@query(O.sentence_ctes(O.ENGLISH) + f" SELECT doc_id, CAST(sent AS INT) AS sent, {O.mode('text', dictionary.verbs())} AS mode FROM sents")
+def sentence_mode(spark, sf_dir):
+    return segments.sentences(tables.english(spark, sf_dir)).select("doc_id", "sent", rules_en.mode_of(F.col("text"), verbs=dictionary.verbs()).alias("mode"))
+
+
+@query()
+def report_text_en(spark, sf_dir):
+    """Lines of a report in order, one array for each document."""
+    found = rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir)))
+    line = F.format_string("%-5s %-12s para %d, sentence %d: %s", "rule", "kind", "para", "sent", "match")
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x")).select("doc_id", F.col("x.line").alias("lines"))
