@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseflow.functions import text as T
-from proseflow.operators import dictionary, fidelity, lexicon_ru, rules_en, rules_ru, segments
+from proseflow.operators import dictionary, fidelity, glossary, lexicon_ru, rules_en, rules_ru, segments
 from proseflow.plans import oracles as O
 from proseflow.sources import tables
 
@@ -419,3 +419,26 @@ def report_text_en(spark, sf_dir):
     found = rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir)))
     line = F.format_string("%-5s %-12s para %d, sentence %d: %s", "rule", "kind", "para", "sent", "match")
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x")).select("doc_id", F.col("x.line").alias("lines"))
+
+
+@query()
+def glossary_terms(spark, sf_dir):
+    return glossary.known_forms(glossary.terms(spark))
+
+
+_BARE = ["лог", "лога", "логи"]
+
+
+@query(
+    f"WITH p AS ({O.PAIRS}), t AS (SELECT pair_id, unnest({O.every("replace(lower(out_text), 'ё', 'е')", T.PROSE_TOKEN)}) AS w FROM p"
+    f" WHERE {O.rx('src_text', '(?i)(^|[^a-z])(log|log file)($|[^a-z])')})"
+    f" SELECT pair_id, w AS match, count(*) AS n FROM t WHERE w IN {O.listed(_BARE)} GROUP BY ALL"
+)
+def glossary_never(spark, sf_dir):
+    found = glossary.violations(tables.pairs(spark, sf_dir)).where(F.col("match").isin(_BARE))
+    return found.groupBy("pair_id", "match").agg(F.count("*").alias("n"))
+
+
+@query()
+def glossary_merge(spark, sf_dir):
+    return glossary.merged(tables.pairs(spark, sf_dir))

@@ -57,6 +57,7 @@ PAIRS = [
     ("Set the limit to {n}.5 and run `go test ./...` twice.", "Задайте предел {n},5 и выполните `go test ./...` дважды.", "Задайте предел и выполните тесты дважды."),
     ("See cmd/app/main.go:{n} and ./docs/readme.md for 1,000 rows.", "См. cmd/app/main.go:{n} и ./docs/readme.md: 1000 строк.", "См. main.go: 1 строка."),
     ("It may take {n} ms; it is certainly safe.", "Это может занять {n} мс; это точно безопасно.", "Это займёт {n} мс."),
+    ("Deploy the service, wait {n} ms and read the log file.", "Разверните сервис, подождите {n} мс и прочитайте журнал.", "Задеплоили сервис, ждём {n} мс, лог прочитан, узлы целы."),
     ("You should probably use `x` and `y`.", "Вероятно, вам следует взять `x` и `y`.", "Возьмите `x`."),
 ]
 
