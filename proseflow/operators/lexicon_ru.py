@@ -109,12 +109,17 @@ def surface_forms(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return joined.select("row_id", "phrase", "pos", "size", form.alias("form")).distinct()
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, sent, ord, cand, tok, word``: each token (cand 0) and, if it has several, its parts."""
-    rows = rules_ru.sentences(docs).select("doc_id", "sent", F.posexplode(rules_ru.tokens_of(F.col("text"))).alias("ord", "tok"))
-    parts = rules_ru.parts_of(F.col("tok"))
-    every = F.when(F.size(parts) > 1, F.concat(F.array("tok"), parts)).otherwise(F.array("tok"))
-    rows = rows.select("doc_id", "sent", "ord", "tok", F.posexplode(every).alias("cand", "word"))
+def candidates(docs: DataFrame, of_document: Column | None = None, of_sentence: Column | None = None) -> DataFrame:
+    """``doc_id, sent, ord, cand, tok, word``: each token (cand 0) and, if it has several, its parts.
+
+    of_document, of_sentence: flags over ``text``, carried along as columns of these names.
+    """
+    none = F.lit(None).cast("array<boolean>")
+    rows = docs.select("doc_id", (none if of_document is None else of_document).alias("of_document"), F.posexplode(rules_ru.sentences_of(F.col("text"))).alias("sent", "text"))
+    flag = none if of_sentence is None else of_sentence
+    rows = rows.select("doc_id", (F.col("sent") + 1).alias("sent"), "of_document", flag.alias("of_sentence"), F.posexplode(rules_ru.tokens_of(F.col("text"))).alias("ord", "tok"))
+    every = T.let(rules_ru.parts_of(F.col("tok")), lambda p: F.when(F.size(p) > 1, F.concat(F.array("tok"), p)).otherwise(F.array("tok")))
+    rows = rows.select("doc_id", "sent", "ord", "tok", "of_document", "of_sentence", F.posexplode(every).alias("cand", "word"))
     return rows.withColumn("word", T.normalised(F.col("word")))
 
 
@@ -134,26 +139,25 @@ def single_words(docs: DataFrame, lexicon: dict[str, list[dict]] = SEED) -> Data
     sentence none of slang.
     """
     spark = docs.sparkSession
-    allowed = surface_forms(spark, lexicon["ru-allowed"]).where("size = 1").join(
-        spark.createDataFrame([(i, r["class"]) for i, r in enumerate(lexicon["ru-allowed"])], "row_id int, class string"), "row_id"
-    )
-    words = candidates(docs)
-    fine = allowed.select(F.col("form").alias("word")).distinct()
-    partly = allowed.where("class IN ('loanword', 'latin')").select(F.col("form").alias("word")).distinct()
-    whole = words.where("cand = 0").join(fine, "word", "left_anti").select("doc_id", "sent", "ord")
-    rest = words.join(whole, ["doc_id", "sent", "ord"], "left_semi")
-    rest = rest.where("cand = 0").unionByName(rest.where("cand > 0").join(partly, "word", "left_anti"))
-    banned = surface_forms(spark, lexicon["ru-non-approved"]).where("size = 1").select("row_id", F.col("form").alias("word")).distinct()
-    hit = rest.join(banned, "word").groupBy("doc_id", "sent", "ord", "row_id").agg(F.min_by("word", "cand").alias("match"))
     domain = lexicon["ru-domain"]
-    forms = surface_forms(spark, domain).where("size = 1").groupBy(F.col("form").alias("match")).agg(F.min("row_id").alias("domain"))
-    code = F.array(*(_has_cue(F.col("low"), _cues(r["domain_cues"])) for r in domain), F.lit(False))
-    whole_text = docs.select("doc_id", T.normalised(F.col("text")).alias("low")).select("doc_id", code.alias("in_domain"))
-    slang = F.array(*(_has_cue(T.normalised(F.col("text")), _cues(r["slang_cues"])) for r in domain), F.lit(False))
-    sentence = rules_ru.sentences(docs).select("doc_id", "sent", slang.alias("in_slang"))
-    placed = hit.join(forms, "match", "left").join(whole_text, "doc_id").join(sentence, ["doc_id", "sent"])
-    soft = F.coalesce(F.get("in_domain", "domain") & ~F.get("in_slang", "domain"), F.lit(False))
-    return placed.select("doc_id", "sent", "ord", "row_id", F.when(soft, "domain").otherwise("lexicon").alias("rule"), (~soft).alias("hard"), "match")
+    classes = spark.createDataFrame([(i, r["class"] in ("loanword", "latin")) for i, r in enumerate(lexicon["ru-allowed"])], "row_id int, part boolean")
+    allowed = surface_forms(spark, lexicon["ru-allowed"]).where("size = 1").join(classes, "row_id").select("form", F.lit(True).alias("whole"), "part")
+    banned = surface_forms(spark, lexicon["ru-non-approved"]).where("size = 1").select("form", F.col("row_id").alias("row"))
+    sense = surface_forms(spark, domain).where("size = 1").select("form", F.col("row_id").alias("domain"))
+    # One row for each form that the tables know, so that tokens are joined once.
+    known = allowed.unionByName(banned, allowMissingColumns=True).unionByName(sense, allowMissingColumns=True).groupBy(F.col("form").alias("word"))
+    known = known.agg(F.max("whole").alias("whole"), F.max("part").alias("part"), F.collect_set("row").alias("rows"), F.min("domain").alias("domain"))
+    in_domain = T.let(T.normalised(F.col("text")), lambda t: F.array(*(_has_cue(t, _cues(r["domain_cues"])) for r in domain), F.lit(False)))
+    in_slang = T.let(T.normalised(F.col("text")), lambda t: F.array(*(_has_cue(t, _cues(r["slang_cues"])) for r in domain), F.lit(False)))
+    met = candidates(docs, in_domain, in_slang).join(known, "word")
+    soft = F.coalesce(F.get("of_document", "domain") & ~F.get("of_sentence", "domain"), F.lit(False))
+    hit = F.struct("cand", "word", "part", "rows", soft.alias("soft"))
+    found = met.groupBy("doc_id", "sent", "ord").agg(F.max((F.col("cand") == 0) & F.coalesce("whole", F.lit(False))).alias("fine"), F.collect_list(hit).alias("hits"))
+    usable = F.filter("hits", lambda h: (h["cand"] == 0) | ~F.coalesce(h["part"], F.lit(False)))
+    found = found.where("NOT fine").select("doc_id", "sent", "ord", F.explode(usable).alias("h"))
+    found = found.select("doc_id", "sent", "ord", F.explode("h.rows").alias("row_id"), "h.cand", "h.word", "h.soft")
+    first = found.groupBy("doc_id", "sent", "ord", "row_id").agg(F.min_by(F.struct("word", "soft"), "cand").alias("x"))
+    return first.select("doc_id", "sent", "ord", "row_id", F.when(F.col("x.soft"), "domain").otherwise("lexicon").alias("rule"), (~F.col("x.soft")).alias("hard"), F.col("x.word").alias("match"))
 
 
 def phrases(docs: DataFrame, rows: list[dict]) -> DataFrame:
