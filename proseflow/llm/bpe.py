@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from proseflow.llm.common import in_arrow
 
-#: Entries of a cache; a full one is emptied.
-CACHE = 600_000
+#: Entries of a cache of chunks, and a third of it those of the cache of pre-tokens; a full one is emptied.
+CACHE = 900_000
 
 
 def byte_alphabet() -> list[str]:
@@ -78,11 +78,11 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Cache(dict):
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, share: int = 1):
+        self.make, self.share = make, share
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if len(self) * self.share >= CACHE:
             self.clear()
         self[key] = value = self.make(key)
         return value
@@ -115,6 +115,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.alphabet = byte_alphabet()
         self.shown = dict(enumerate(self.alphabet))
+        self.space = self.alphabet[32]
         self.own = own
         if own:
             ids = self.vocab
@@ -130,35 +131,32 @@ class Encoder:
             for token, i in [*ids.items(), *self.special.items()]:
                 self.bytes_of[i] = bytes(shown[c] for c in token) if all(c in shown for c in token) else token.encode()
             self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.words = _Cache(self._word)
+        self.words = _Cache(self._word, 3)
         self.chunks = _Cache(self._chunk)
         self.spaced = _Cache(self._spaced)
 
     def _word(self, word: str) -> bytes:
         """A pre-token."""
         if self.own:
-            ids = merge(list(map(self.of_byte.__getitem__, word.encode())), self.rules)
-        else:
-            if word.isascii() and word.isalpha():
-                shown = word
-            else:
-                shown = word.encode().decode("latin-1").translate(self.shown)
-            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return _packed(ids)
+            return _packed(merge(list(map(self.of_byte.__getitem__, word.encode())), self.rules))
+        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.shown)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isalpha():
-            return self.words[chunk]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return self.words[chunk[:-1]] + self.words[chunk[-1]]
+            return self._word(chunk)
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
         return b"".join(map(self.words.__getitem__, self.split(chunk)))
 
     def _spaced(self, chunk: str) -> bytes:
         """A chunk that comes after one space."""
         if chunk.isalpha():
-            return self.words[" " + chunk]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return self.words[" " + chunk[:-1]] + self.words[chunk[-1]]
+            if self.own or not chunk.isascii():
+                return self._word(" " + chunk)
+            return _packed([t.id for t in self.tokenizer.model.tokenize(self.space + chunk)])
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return self.spaced[chunk[:-1]] + self.words[chunk[-1]]
         return b"".join(map(self.words.__getitem__, self.split(" " + chunk)))
 
     def whole(self, text: str) -> bytes:
