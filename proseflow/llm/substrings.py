@@ -36,7 +36,7 @@ ANCHOR = 24
 #: Different runs of an anchor that one suffix array takes.
 LARGE = 20_000
 #: Bytes of text whose runs make a block, and runs that make a task of suffix arrays, about.
-BLOCK_BYTES, BLOCK_RUNS = 12_000_000, 20_000
+BLOCK_BYTES, BLOCK_RUNS = 8_000_000, 20_000
 #: Longer texts are cut into overlapping slices.
 SLICE = 4_000_000
 
@@ -189,7 +189,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 rows.append(r)
                 raws.append(raw[at : at + SLICE + length - 1])
                 bases.append(at)
-        for s, e in groups([len(x) for x in raws], 2 * GROUP_BYTES):
+        for s, e in groups([len(x) for x in raws], GROUP_BYTES):
             yield ids[s:e], rows[s:e], raws[s:e], bases[s:e]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
