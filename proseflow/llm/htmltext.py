@@ -2,8 +2,8 @@
 
 Each page votes for the path of the container that holds its article.  A path is the tags
 and classes from the root, digits generalised.  The path with the highest sum of scores
-wins its host; a page is then read at the winning path, or at its own container where the
-path is absent or holds less than half as much.
+wins its host; a page is then read at the winning path where that covers the page's own
+container, and otherwise at both, so that no text of either is lost.
 """
 
 from __future__ import annotations
@@ -191,6 +191,18 @@ def at_path(root: Node, path: str) -> list[Node]:
     return found
 
 
+def outermost(root: Node, nodes: list[Node]) -> list[Node]:
+    """These elements in page order, without those inside another of them."""
+    wanted, found, todo = set(map(id, nodes)), [], [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in wanted:
+            found.append(node)
+        else:
+            todo += [k for k in reversed(node.kids) if type(k) is Node and not k.drop]
+    return found
+
+
 def text_of(nodes: list[Node]) -> str:
     blocks, run = [], []
 
@@ -228,12 +240,13 @@ def vote(html: str | None) -> tuple[str, int]:
 
 def extract(html: str | None, winner: str | None) -> str:
     measure(root := parse(html or ""))
-    _, node, score = best(root)
-    if winner is not None:
-        nodes = at_path(root, winner)
-        if 2 * sum(x.size - x.linked for x in nodes) >= score:
-            return text_of(nodes)
-    return text_of([node])
+    _, node, _ = best(root)
+    nodes = at_path(root, winner) if winner is not None else []
+    inside = outermost(node, nodes)
+    # Elements that hold all of the container's text, headings and all, stand for it.
+    if inside and sum(x.size - x.linked for x in inside) >= node.size - node.linked and sum(x.titles for x in inside) >= node.titles:
+        return text_of(nodes)
+    return text_of(outermost(root, [*nodes, node]))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

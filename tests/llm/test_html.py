@@ -39,3 +39,20 @@ def test_consensus(spark):
     assert got[6, None][0] == TEXT.format(n=6)
     assert got[7, "no url"] == got[7, "http://b"] == ("", 0)
     assert htmltext.main_text(df.limit(0)).count() == 0
+
+
+WINNER = "body/div.wrap/div.content"
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<div class=content><p>aaaaa aaaa aaaaa</div><div class=part><div class=extra><p>bbbb bbbbb</div></div>", "aaaaa aaaa aaaaa\n\nbbbb bbbbb"),
+        ("<div class=part><p>bbbb bbbbb</div><div class=content><p>aaaaa aaaa aaaaa</div>", "bbbb bbbbb\n\naaaaa aaaa aaaaa"),
+        ("<div class=content><p>aaaaa aaaa</p><div class=part><p>bbbb bbbbb cccc dddd eeee ffff gggg hhhh iiii</div></div>", "aaaaa aaaa\n\nbbbb bbbbb cccc dddd eeee ffff gggg hhhh iiii"),
+        ("<div class=content><p>aaaaa aaaa</div><div class=content><p>bbbb bbbb</div>", "aaaaa aaaa\n\nbbbb bbbb"),
+        ("<div class=other><p>bbbb bbbb</div>", "bbbb bbbb"),
+    ],
+)
+def test_winner_loses_no_text(inner, text):
+    assert htmltext.extract(SITE.format(f"<div class=wrap>{inner}</div>"), WINNER) == text
