@@ -25,6 +25,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
+#: Words of a text; in scripts without spaces each character counts as one.
+_TEXT_WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]|\w+")
 
 # Tags of HTML by kind, and words of class names by what they mark.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +48,7 @@ NOT_CONTENT = frozenset(
 )
 HEADER = frozenset("header topbar".split())
 OF_ARTICLE = frozenset("article entry post story content main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -56,7 +59,7 @@ class Node:
         self.tag, self.name, self.words, self.drop = tag, name or tag, words, drop
         self.kids: list = []
         self.size = self.linked = 0
-        self.titles = int(tag == "h1")
+        self.titles = 0
         self.holds = tag in ("article", "main", "h1")
 
 
@@ -135,7 +138,7 @@ def parse(html: str) -> Node:
 
 
 def measure(root: Node) -> None:
-    """Marks what is no content, and sets the size of the text in each element and of that in links."""
+    """Marks what is no content, and sets the size of the text in each element and of that in links, and its headings."""
     order, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -158,25 +161,51 @@ def measure(root: Node) -> None:
                 node.drop = True
             elif (node.tag == "header" or node.words & HEADER) and not inside and not node.words & OF_ARTICLE:
                 node.drop = True
+        node.titles += node.tag in HEADINGS and size > 0
         node.size, node.linked = size, size if node.tag == "a" else linked
 
 
+def has_text(node: Node, heavy: Node, chain: tuple | None) -> bool:
+    """Whether two words or more stand in this element outside ``heavy``; what is nearly all links has none.
+
+    chain: the elements between the two, as nested pairs.
+    """
+    between = set()
+    while chain:
+        chain, x = chain
+        between.add(id(x))
+    n, todo = 0, list(node.kids)
+    while todo and n < 2:
+        k = todo.pop()
+        if type(k) is str:
+            n += len(_TEXT_WORD.findall(entities.unescape(k)))
+        elif k is not heavy and not k.drop and (id(k) in between or 10 * k.linked < 9 * k.size):
+            todo += k.kids
+    return n > 1
+
+
 def best(root: Node) -> tuple[str, Node, int]:
-    """Path, element and score of the container of the article: the deepest with four fifths of the text and the title."""
+    """Path, element and score of the container of the article: the deepest beside which no heading and no text stands.
+
+    A single word beside it, such as a label, is passed over if it is less than a fifth of the text.
+    """
     path, node = "body", root
     while True:
-        heavy, todo = None, [(k, path) for k in node.kids if type(k) is Node and not k.drop]
+        heavy, todo = None, [(k, path, None) for k in node.kids if type(k) is Node and not k.drop]
         while todo:  # containers below, through other elements
-            k, above = todo.pop()
+            k, above, chain = todo.pop()
             own = f"{above}/{k.name}"
             if k.tag in CONTAINERS:
                 if heavy is None or k.size - k.linked > heavy[0].size - heavy[0].linked:
-                    heavy = k, own
+                    heavy = k, own, chain
             else:
-                todo += [(x, own) for x in k.kids if type(x) is Node and not x.drop]
-        if heavy is None or not heavy[0].size or node is not root and heavy[0].titles < node.titles or 5 * (heavy[0].size - heavy[0].linked) < 4 * (node.size - node.linked):
+                todo += [(x, own, (chain, k)) for x in k.kids if type(x) is Node and not x.drop]
+        if (
+            heavy is None or not heavy[0].size or heavy[0].titles < node.titles
+            or 5 * (heavy[0].size - heavy[0].linked) < 4 * (node.size - node.linked) or has_text(node, heavy[0], heavy[2])
+        ):
             return path, node, max(node.size - node.linked, 0)
-        node, path = heavy
+        node, path, _ = heavy
 
 
 def at_path(root: Node, path: str) -> list[Node]:

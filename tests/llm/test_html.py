@@ -56,3 +56,23 @@ WINNER = "body/div.wrap/div.content"
 )
 def test_winner_loses_no_text(inner, text):
     assert htmltext.extract(SITE.format(f"<div class=wrap>{inner}</div>"), WINNER) == text
+
+
+LONG = "<p>" + "long text of the body " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "first"),
+    [
+        (f"<main><h2>Head</h2><div class=lead><p>some lead text</div><div class=body>{LONG}</div></main>", "Head\n\nsome lead text\n\nlong"),
+        (f"<main><div class=lead><p>some lead text</div><div class=body>{LONG}</div></main>", "some lead text\n\nlong"),
+        (f"<body><h1>T</h1><p>intro of it</p><article>{LONG}</article></body>", "T\n\nintro of it\n\nlong"),
+        (f"<body><h1>T</h1><article>{LONG}</article></body>", "T\n\nlong"),
+        (f"<div>A <b>bold</b> start<div>too little<div>{LONG}</div></div></div>", "A bold start\n\ntoo little\n\nlong"),
+        (f"<div><p>前書きの文です</p><article>{LONG}</article></div>", "前書きの文です\n\nlong"),
+        (f"<ul><li>own text<div>{LONG}</div></ul>", "own text\n\nlong"),
+        (f"<ul><li><a href=x>One link</a> | <a href=y>Another link</a></ul>&middot;<div class=ad>ad text</div><article>{LONG}</article>", "long"),
+    ],
+)
+def test_descent_loses_no_text(html, first):
+    assert htmltext.extract(html, None).removesuffix(" ".join(["long text of the body"] * 20)) == first.removesuffix("long")
