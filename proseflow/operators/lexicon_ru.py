@@ -162,18 +162,26 @@ def single_words(docs: DataFrame, lexicon: dict[str, list[dict]] = SEED) -> Data
 
 def phrases(docs: DataFrame, rows: list[dict]) -> DataFrame:
     """``doc_id, sent, ord, row_id, match``: phrases of words that only spaces part; no word is allowed away."""
+    return placed_phrases(docs, rows).drop("token", "size")
+
+
+def placed_phrases(docs: DataFrame, rows: list[dict]) -> DataFrame:
+    """Those of ``phrases``, with ``token``, the place of the first word among the sentence's tokens, and ``size``."""
     spark = docs.sparkSession
     forms = surface_forms(spark, rows).where("size > 1")
     pieces = F.regexp_extract_all("text", F.lit(rf"{T.PROSE_TOKEN}|[^\p{{L}}\p{{Nd}}_]+"), F.lit(0))
-    cover = rules_ru.sentences(docs).select("doc_id", "sent", F.posexplode(F.filter(F.array_append(pieces, F.lit("")), lambda x: ~x.rlike(r"^[ \t\x{A0}]+$"))).alias("ord", "tok"))
+    # Tokens and what parts them take turns, so half of a place is the place among tokens.
+    numbered = F.transform(F.array_append(pieces, F.lit("")), lambda x, i: F.struct(x.alias("tok"), (i / 2).cast("int").alias("token")))
+    kept = F.filter(numbered, lambda x: ~x["tok"].rlike(r"^[ \t\x{A0}]+$"))
+    cover = rules_ru.sentences(docs).select("doc_id", "sent", F.posexplode(kept).alias("ord", "x")).select("doc_id", "sent", "ord", "x.tok", "x.token")
     words = cover.withColumn("word", T.normalised(F.col("tok")))
     # A number meets the sign for numbers as well as its own spelling.
     words = words.unionByName(words.where(F.col("word").rlike(r"^\p{Nd}+$")).withColumn("word", F.lit("#")))
     forms = forms.select("row_id", "phrase", "pos", "size", F.coalesce("form", F.lit("#")).alias("word"))
     at = words.join(forms, "word").withColumn("start", F.col("ord") - F.col("pos"))
-    found = at.groupBy("doc_id", "sent", "start", "row_id", "phrase", "size").agg(F.count_distinct("pos").alias("n"), F.sort_array(F.collect_set(F.struct("pos", "tok"))).alias("w"))
+    found = at.groupBy("doc_id", "sent", "start", "row_id", "phrase", "size").agg(F.count_distinct("pos").alias("n"), F.min("token").alias("token"), F.sort_array(F.collect_set(F.struct("pos", "tok"))).alias("w"))
     found = found.where("n = size")
-    return found.select("doc_id", "sent", F.col("start").alias("ord"), "row_id", F.array_join("w.tok", " ").alias("match"))
+    return found.select("doc_id", "sent", F.col("start").alias("ord"), "row_id", F.array_join("w.tok", " ").alias("match"), "token", "size")
 
 
 def lookup(spark: SparkSession, terms: list[str], lexicon: dict[str, list[dict]] = SEED) -> DataFrame:

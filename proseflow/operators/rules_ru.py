@@ -1,4 +1,4 @@
-"""The rules for Russian that need no inflected lexicon: scripts, sentence length, clause breaks."""
+"""The rules for Russian that need no inflected lexicon: scripts, sentence length, clause breaks; and the verdict over all."""
 
 from __future__ import annotations
 
@@ -92,15 +92,21 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def findings(docs: DataFrame, allowed: frozenset[str] = ALLOWED) -> DataFrame:
     """``doc_id, sent, rule, hard, match``: glued and Latin tokens, long sentences, many clauses."""
+    return placed_findings(docs, allowed).drop("ord")
 
-    def finding(rule: str, hard: bool, match: Column) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), F.lit(hard).alias("hard"), match.alias("match"))
+
+def placed_findings(docs: DataFrame, allowed: frozenset[str] = ALLOWED) -> DataFrame:
+    """Those of ``findings``, with ``ord``, the place of a token in its sentence, or null."""
+
+    def finding(rule: str, hard: bool, match: Column, place: Column | None = None) -> Column:
+        place = F.lit(None) if place is None else place
+        return F.struct(F.lit(rule).alias("rule"), F.lit(hard).alias("hard"), match.alias("match"), place.cast("int").alias("ord"))
 
     s = F.col("text")
     per_token = F.transform(
         tokens_of(s),
-        lambda t: F.when(is_glued(t), finding("glued", True, t)).when(
-            t.rlike("[A-Za-z]") & ~t.rlike(r"\p{IsCyrillic}") & ~is_allowed_latin(t, allowed), finding("latin-prose", False, t)
+        lambda t, i: F.when(is_glued(t), finding("glued", True, t, i)).when(
+            t.rlike("[A-Za-z]") & ~t.rlike(r"\p{IsCyrillic}") & ~is_allowed_latin(t, allowed), finding("latin-prose", False, t, i)
         ),
     )
     per_sentence = F.array(
@@ -111,8 +117,27 @@ def findings(docs: DataFrame, allowed: frozenset[str] = ALLOWED) -> DataFrame:
     return rows.select("doc_id", "sent", "f.*")
 
 
-def verdict(docs: DataFrame) -> DataFrame:
-    """``doc_id, hard, soft, exit_code``: a row for each document, 1 if any finding is hard."""
-    found = findings(docs).groupBy("doc_id").agg(F.count_if("hard").alias("hard"), F.count_if(~F.col("hard")).alias("soft"))
-    rows = docs.select("doc_id").join(found, "doc_id", "left").fillna(0, ["hard", "soft"])
-    return rows.withColumn("exit_code", (F.col("hard") > 0).cast("int"))
+def verdict(docs: DataFrame, lexicon: dict[str, list[dict]] | None = None, allowed: frozenset[str] = ALLOWED) -> DataFrame:
+    """``doc_id, hard, soft, exit_code``: a row for each document, 1 if any finding is hard.
+
+    Counts the findings of this module, banned words and banned phrases.  A glued token that
+    the lexicon allows is none, nor is a Latin token that is a banned word or part of a phrase.
+    """
+    from proseflow.operators import lexicon_ru
+
+    lexicon = lexicon_ru.SEED if lexicon is None else lexicon
+    words = lexicon_ru.single_words(docs, lexicon)
+    phrases = lexicon_ru.placed_phrases(docs, lexicon["ru-non-approved"])
+    rows = [r for r in lexicon["ru-allowed"] if r["class"] in ("glued", "loanword")]
+    fine = lexicon_ru.surface_forms(docs.sparkSession, rows).where("size = 1").select(F.col("form").alias("word")).distinct()
+    own = placed_findings(docs, allowed)
+    rest = own.where("rule NOT IN ('glued', 'latin-prose')")
+    glued = own.where("rule = 'glued'").withColumn("word", T.normalised(F.col("match"))).join(fine, "word", "left_anti")
+    taken = words.select("doc_id", "sent", "ord").unionByName(phrases.select("doc_id", "sent", F.explode(F.sequence("token", F.expr("token + size - 1"))).alias("ord")))
+    latin = own.where("rule = 'latin-prose'").join(taken, ["doc_id", "sent", "ord"], "left_anti")
+    hard = [x.select("doc_id", "hard") for x in (rest, glued, latin, words)]
+    every = phrases.select("doc_id", F.lit(True).alias("hard"))
+    for x in hard:
+        every = every.unionByName(x)
+    found = every.groupBy("doc_id").agg(F.count_if("hard").alias("hard"), F.count_if(~F.col("hard")).alias("soft"))
+    return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, ["hard", "soft"]).withColumn("exit_code", (F.col("hard") > 0).cast("int"))

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from proseflow.operators import lexicon_ru as L
+from proseflow.operators import rules_ru
 
 
 def test_patterns():
@@ -45,3 +46,21 @@ def test_read_tables(spark, tmp_path):
     for bad in (("ru-allowed", ["term"], [["api"]]), ("ru-allowed", ["term", "class"], []), ("ru-allowed", ["term", "class"], [["api", "greek"]])):
         with pytest.raises(ValueError):
             write(*bad)
+
+
+def test_verdict(spark):
+    texts = {
+        "Мы задеплоили сервис.": (1, 0, 1),
+        "Код написан.": (1, 0, 1),
+        "Узлы сети целы.": (0, 1, 0),
+        "Узлы целы, код  написан и задеплоен, а UIшка нет.": (4, 0, 1),
+        "Вот web-сервер.": (0, 0, 0),
+        "Вот foo, а вот big data и bar.": (1, 2, 1),
+        "Bar, big data.": (1, 1, 1),
+        "Чистый текст.": (0, 0, 0),
+        "": (0, 0, 0),
+    }
+    lexicon = L.SEED | {"ru-non-approved": [*L.SEED["ru-non-approved"], {"term": "big data", "kind": "slang", "use_instead": "данные"}]}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [tuple(r)[1:] for r in rules_ru.verdict(df, lexicon).orderBy("doc_id").collect()] == list(texts.values())
+    assert rules_ru.verdict(df.limit(2)).where("exit_code = 1").count() == 2
