@@ -61,8 +61,8 @@ def mode_of(sentence: Column, mode: str = "auto", verbs: list[str] | None = None
     )
 
 
-def word_findings(tokens: Column) -> Column:
-    """Tense, passive and -ing findings of a sentence's tokens."""
+def word_findings(tokens: Column, clusters: Column | None = None) -> Column:
+    """Tense, passive and -ing findings of a sentence's tokens, each noun cluster after those of the token that ends it."""
 
     def one(t: Column, i: Column) -> Column:
         tok, prev, after = t["tok"], F.when(i > 0, F.get(tokens, i - 1)["tok"]), F.get(tokens, i + 1)
@@ -83,38 +83,55 @@ def word_findings(tokens: Column) -> Column:
             ),
         )
 
-    return F.array_compact(F.flatten(F.transform(tokens, one)))
+    if clusters is None:
+        return F.array_compact(F.flatten(F.transform(tokens, one)))
 
+    def joined(found: Column) -> Column:
+        of = lambda cs: F.transform(cs, lambda c: F.struct(F.lit("2.1").alias("rule"), F.lit("noun-cluster").alias("kind"), c["match"].alias("match")))
+        each = F.transform(tokens, lambda t, i: F.concat(one(t, i), of(F.filter(found, lambda c: c["at"] == i))))
+        return F.array_compact(F.concat(F.flatten(each), of(F.filter(found, lambda c: c["at"] == F.size(tokens)))))
+
+    return T.let(clusters, joined)
 
-def noun_clusters(tokens: Column, verbs: list[str]) -> Column:
-    """Runs of four noun-like tokens or more, as text.
+
+def placed_clusters(tokens: Column, verbs: list[str]) -> Column:
+    """Runs of four noun-like tokens or more: ``at``, the place of the token that ends each, and ``match``, its text.
 
     A function word, a verb or an adverb in -ly ends a run; a set phrase drops it unreported;
     single letters and been, being neither lengthen nor end it.
     """
-    strings = "array<string>"
-    empty = F.expr("array()").cast(strings)
-    start = F.struct(empty.alias("run"), empty.alias("out"))
-    reported = lambda s: F.when(F.size(s["run"]) >= 4, F.array_append(s["out"], F.array_join(s["run"], " "))).otherwise(s["out"])
+    empty = F.expr("array()").cast("array<string>")
+    none = F.expr("array()").cast("array<struct<at:int,match:string>>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("run"), none.alias("out"))
+    found = lambda s: F.struct(s["at"].alias("at"), F.array_join(s["run"], " ").alias("match"))
+    reported = lambda s: F.when(F.size(s["run"]) >= 4, F.array_append(s["out"], found(s))).otherwise(s["out"])
 
     def step(s: Column, t: Column) -> Column:
-        tok = t["tok"]
+        tok, after = t["tok"], (s["at"] + 1).alias("at")
         phrase = ~t["opaque"] & tok.contains("_")
         still = ~t["opaque"] & ((F.length(tok) < 2) | tok.isin("been", "being"))
         ends = ~t["opaque"] & ~tok.isin(NUMBER_WORDS) & (tok.isin(FUNCTION_WORDS + verbs) | (tok.endswith("ly") & (F.length(tok) > 3)))
         return (
-            F.when(phrase, F.struct(empty.alias("run"), s["out"].alias("out")))
-            .when(still, s)
-            .when(ends, F.struct(empty.alias("run"), reported(s).alias("out")))
-            .otherwise(F.struct(F.array_append(s["run"], tok).alias("run"), s["out"].alias("out")))
+            F.when(phrase, F.struct(after, empty.alias("run"), s["out"].alias("out")))
+            .when(still, F.struct(after, s["run"].alias("run"), s["out"].alias("out")))
+            .when(ends, F.struct(after, empty.alias("run"), reported(s).alias("out")))
+            .otherwise(F.struct(after, F.array_append(s["run"], tok).alias("run"), s["out"].alias("out")))
         )
 
     return F.aggregate(tokens, start, step, reported)
 
 
-def sentence_findings(sentence: Column, mode: str = "auto") -> Column:
-    """All findings of a sentence, ``rule, kind, match``, in the order of the rules."""
-    words = T.let(S.tokens_of(sentence), word_findings)
+def noun_clusters(tokens: Column, verbs: list[str]) -> Column:
+    """Texts of the runs of ``placed_clusters``."""
+    return F.transform(placed_clusters(tokens, verbs), lambda c: c["match"])
+
+
+def sentence_findings(sentence: Column, mode: str = "auto", verbs: list[str] | None = None) -> Column:
+    """Findings of a sentence, ``rule, kind, match``, in the order of the rules.
+
+    verbs: approved verbs and their forms; noun clusters (2.1), which they end, are found only with them.
+    """
+    words = T.let(S.tokens_of(sentence), lambda tokens: word_findings(tokens, None if verbs is None else placed_clusters(tokens, verbs)))
     return F.concat(T.let(S.marked(sentence), lambda masked: _whole(masked, mode)), words)
 
 
@@ -131,12 +148,12 @@ def _whole(masked: Column, mode: str) -> Column:
     return F.array_compact(F.concat(first, short, last))
 
 
-def findings(docs: DataFrame, mode: str = "auto") -> DataFrame:
-    """``doc_id, para, sent, seq, rule, kind, match``: paragraph findings have sentence 0."""
+def findings(docs: DataFrame, mode: str = "auto", verbs: list[str] | None = None) -> DataFrame:
+    """``doc_id, para, sent, seq, rule, kind, match``: paragraph findings have sentence 0; noun clusters need ``verbs``."""
     paras = S.paragraphs(docs).where("NOT is_heading AND NOT is_list")
     n = F.size(S.sentences_of(F.col("block")))
     long_ = paras.where(n > PARAGRAPH_LIMIT).select("doc_id", "para", F.lit(0).alias("sent"), F.lit(0).alias("seq"), F.lit("6.6").alias("rule"), F.lit("paragraph").alias("kind"), n.cast("string").alias("match"))
-    own = S.sentences(docs).select("doc_id", "para", "sent", F.posexplode(sentence_findings(F.col("text"), mode)).alias("seq", "f"))
+    own = S.sentences(docs).select("doc_id", "para", "sent", F.posexplode(sentence_findings(F.col("text"), mode, verbs)).alias("seq", "f"))
     return long_.unionByName(own.select("doc_id", "para", "sent", (F.col("seq") + 1).alias("seq"), "f.rule", "f.kind", "f.match"))
 
 

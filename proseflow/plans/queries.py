@@ -84,7 +84,7 @@ def token_counts(spark, sf_dir):
 
 
 def _word_findings(docs: DataFrame) -> DataFrame:
-    rows = segments.sentences(docs).select("doc_id", "sent", F.explode(T.let(segments.tokens_of(F.col("text")), rules_en.word_findings)).alias("f"))
+    rows = segments.sentences(docs).select("doc_id", "sent", F.explode(T.let(segments.tokens_of(F.col("text")), lambda tokens: rules_en.word_findings(tokens))).alias("f"))
     return rows.groupBy("doc_id", "sent", "f.rule", "f.kind", "f.match").agg(F.count("*").alias("n"))
 
 
@@ -164,12 +164,12 @@ def code_tokens_documents(spark, sf_dir):
 
 @query()
 def findings_en_ordered(spark, sf_dir):
-    return rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir)))
+    return rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir), verbs=dictionary.verbs()))
 
 
 @query()
 def finding_counts(spark, sf_dir):
-    return rules_en.findings(documents(spark, sf_dir)).groupBy("rule", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return rules_en.findings(documents(spark, sf_dir), verbs=dictionary.verbs()).groupBy("rule", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query(f"SELECT doc_id, {O.prose('text')} AS text FROM ({O.RUSSIAN})")
@@ -312,7 +312,7 @@ def word_hits(spark, sf_dir):
 
 @query()
 def report_json_en(spark, sf_dir):
-    found = rules_en.findings(tables.english(spark, sf_dir))
+    found = rules_en.findings(tables.english(spark, sf_dir), verbs=dictionary.verbs())
     line = F.struct("para", "sent", "seq", "rule", "kind", "match")
     return found.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(line))).alias("report"))
 
@@ -416,7 +416,7 @@ def sentence_mode(spark, sf_dir):
 @query()
 def report_text_en(spark, sf_dir):
     """Lines of a report in order, one array for each document."""
-    found = rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir)))
+    found = rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir), verbs=dictionary.verbs()))
     line = F.format_string("%-5s %-12s para %d, sentence %d: %s", "rule", "kind", "para", "sent", "match")
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x")).select("doc_id", F.col("x.line").alias("lines"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseflow.operators import rules_en
+from proseflow.operators import dictionary, rules_en
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,7 +16,7 @@ def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENTS) -> D
 
 def findings(stream: DataFrame, mode: str = "auto") -> DataFrame:
     """Findings of each document as it arrives."""
-    return rules_en.findings(stream, mode)
+    return rules_en.findings(stream, mode, dictionary.verbs())
 
 
 def counts(stream: DataFrame) -> DataFrame:

@@ -82,6 +82,19 @@ def test_findings(spark):
     assert kinds("The etcd string is a thing. `he said; it's` - no.") == [("GR-6", "etc")]
 
 
+def test_cluster_findings(spark):
+    from proseflow.plans import queries
+    from proseflow.streaming import check
+
+    text = "The server error log file name is removed. Use the pump motor drive belt."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want = [(1, "2.1", "server error log file name"), (1, "3.6?", "is removed"), (2, "2.1", "pump motor drive belt")]
+    assert [(r.sent, r.rule, r.match) for r in check.findings(df).orderBy("sent", "seq").collect()] == want
+    found = queries.finding_counts(spark, "/root/testdata/sf0.001").where("kind = 'noun-cluster'").collect()
+    total = queries.noun_clusters_documents(spark, "/root/testdata/sf0.001").selectExpr("sum(n) AS n").head().n
+    assert [(r.rule, r.n) for r in found] == [("2.1", total)]
+
+
 def test_order_and_tokens(spark):
     df = spark.createDataFrame([(1, "He can't make sure of it. Ask Bob about fooBar's JSON, (not this).")], "doc_id long, text string")
     assert [(r.tok, r.opaque) for r in segments.tokens(df).orderBy("sent", "ord").collect()] == [
