@@ -439,6 +439,12 @@ def glossary_never(spark, sf_dir):
     return found.groupBy("pair_id", "match").agg(F.count("*").alias("n"))
 
 
+@query()
+def glossary_violations(spark, sf_dir):
+    """All rows and inflections; ``glossary_never`` and its twin have three forms of the first row."""
+    return glossary.violations(tables.pairs(spark, sf_dir)).groupBy("pair_id", "row_id", "match").agg(F.count("*").alias("n"))
+
+
 @query()
 def glossary_merge(spark, sf_dir):
     return glossary.merged(tables.pairs(spark, sf_dir))
