@@ -48,7 +48,8 @@ def length_of(sentence: Column) -> Column:
 def clause_breaks(sentence: Column) -> Column:
     """Commas and semicolons, dashes between spaces, and conjunctions that follow none of these."""
     marks = r"[,;]|(?<=\s)[—–](?=\s)"
-    words = rf"(?<!{_WORD})(?<![,;—–]\s{{0,9}})(?:а|но|при этом)(?!{_WORD})"
+    ends = rf"(?!{_WORD}|[-'’]{_WORD})"
+    words = rf"(?<!{_WORD})(?<!{_WORD}[-'’])(?<![,;—–]\s{{0,9}})(?:а|но|при(?=[^\p{{L}}\p{{Nd}}_]+этом{ends})){ends}"
     return F.regexp_count(sentence, F.lit(marks)) + F.regexp_count(sentence, F.lit(words))
 
 

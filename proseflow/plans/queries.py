@@ -231,6 +231,12 @@ def clause_marks(spark, sf_dir):
     return rows.select("doc_id", "sent", rules_ru.clause_breaks(s).alias("n"))
 
 
+@query()
+def clause_breaks(spark, sf_dir):
+    """All sentences, with conjunctions; ``clause_marks`` and its twin have those without any."""
+    return rules_ru.sentences(tables.russian(spark, sf_dir)).select("doc_id", "sent", rules_ru.clause_breaks(F.col("text")).alias("n"))
+
+
 _TOKENS = f"SELECT doc_id, sent, unnest({O.every('text', T.PROSE_TOKEN)}) AS tok FROM sents"
 
 

@@ -1,5 +1,7 @@
 """Functions and rules on sentences of our own with known answers."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,29 @@ def test_russian(spark):
     assert [(r.line, r.col, r.tok) for r in rules_ru.tokens(spark.createDataFrame([(1, "раз два-три\n x")], "doc_id long, text string")).collect()] == [(1, 1, "раз"), (1, 5, "два-три"), (2, 2, "x")]
 
 
+def brute_breaks(s):
+    """As the reference: marks, and lower-case conjunctions with no mark before them."""
+    n = len(re.findall(r"[,;]|(?<=\s)[—–](?=\s)", s))
+    toks = list(re.finditer(r"\w+(?:[-'’]\w+)*", s))
+    for k, t in enumerate(toks):
+        pair = t[0] == "при" and k + 1 < len(toks) and toks[k + 1][0] == "этом"
+        n += (t[0] in ("а", "но") or pair) and not s[: t.start()].rstrip().endswith((",", ";", "—", "–"))
+    return n
+
+
+def test_clause_breaks(spark):
+    from proseflow.plans import queries
+    from proseflow.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    texts = {(r.doc_id, r.sent): r.text for r in rules_ru.sentences(tables.russian(spark, sf)).collect()}
+    got = {(r.doc_id, r.sent): r.n for r in queries.QUERIES["clause_breaks"](spark, sf).collect()}
+    assert got == {k: brute_breaks(t) for k, t in texts.items()}
+    assert any(re.search(r"\b(а|но|при этом)\b", t) for t in texts.values())
+    cases = ["шёл а-б но упал", "шёл при  этом пел", "шёл при этом пел а пил", "А потом но", "раз, а два — но три", "но-но а"]
+    assert values(spark, rules_ru.clause_breaks, cases) == [brute_breaks(s) for s in cases]
+
+
 def test_fidelity(spark):
     rows = [
         (1, "Set 2.5 and 1,000 in `x y` at a/b.go:12 and ./c/d.md.", "Задайте 2,5 и 1 000 в ` x y ` у a/b.go:12 и ./c/d.md"),
