@@ -12,7 +12,8 @@
    of them.  A task returns a spanning forest of its links, never the links themselves.
 
 With ``rows`` values in each of ``bands`` bands, two documents of similarity s share no
-bucket with chance ``(1 - s^rows)^bands``: 3e-5 at 0.85 for 6 and 22, less above it.
+bucket with chance ``(1 - s^rows)^bands``, less above it.  The bands follow from the
+threshold, so that this is at most 3e-5 there: 22 of 6 at 0.85, 35 of 6 at 0.80.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from proseflow.llm.common import checkpointed, components, in_arrow, stored
 from proseflow.llm.words import PLACES, mixed, windows, word_hashes
 
-BANDS, ROWS = 22, 6
+#: Most chance that two documents at the threshold share no bucket, and values in a band, at most.
+MISSED, ROWS = 3e-5, 6
 SKETCH_BITS = 256
+#: Values that the sketch is made of, at most: more would leave unlike sets no further apart.
+SKETCHED = 132
 #: Sketches that tell of this similarity at least tie a member to its leader; after so many rounds any do.
 TIED, ROUNDS = 0.4, 5
 #: Most documents and shingles of a tile, about; two tiles are a task.
@@ -46,6 +50,16 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(windows(hashes, words if len(hashes) >= words else max(len(hashes), 1)))
 
 
+def banding(threshold: int) -> tuple[int, int]:
+    """Bands and rows for documents that link at ``threshold`` percent."""
+    for rows in range(ROWS, 0, -1):
+        s = min(max(threshold, 1), 100) / 100
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(s**rows))) if s < 1 else 1
+        if bands * rows <= len(_A):
+            break
+    return bands, rows
+
+
 def signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[list[int], list[int], tuple[int, int]]:
     """Band keys, odd sketch (as 64-bit words) and digest of a non-empty set."""
     k = bands * rows
@@ -55,7 +69,7 @@ def signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[list[int], l
         np.minimum(values, (short[None, at : at + _CHUNK] * _A[:k, None] + _B[:k, None]).min(1), out=values)
     wide = mixed(values.astype(np.uint64) << np.uint64(16) | np.arange(k, dtype=np.uint64))
     keys = mixed((wide.reshape(bands, rows) * PLACES[:rows]).sum(1, dtype=np.uint64)).view(np.int64).tolist()
-    odd = np.bincount((wide >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    odd = np.bincount((wide[:SKETCHED] >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
     sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
     spread = mixed(shingles * PLACES[30])
     digest = int(spread.sum(dtype=np.uint64).view(np.int64)), int(mixed(spread * PLACES[31]).sum(dtype=np.uint64).view(np.int64))
@@ -72,14 +86,16 @@ def odd_bits(similarity: float, samples: int, bits: int = SKETCH_BITS) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, threshold: int = 80, bands: int | None = None, rows: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``; documents link at ``100 * |A n B| >= threshold * |A u B|``.
 
     A document without words has an empty set and links with nothing.  Nor does a row
     without an id, whose ``component_id`` is null and which is kept.  Rows with one id are
-    one node.  Words are compared with A-Z in lower case.
+    one node.  Words are compared with A-Z in lower case.  bands, rows: by ``banding`` if not given.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,7 +116,7 @@ def near_duplicates(
     shared = found.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     words64 = [F.col("sketch")[k].alias(f"x{k}") for k in range(SKETCH_BITS // 64)]
     members = checkpointed(found.join(shared, "key", "left_semi").select("key", "node", *words64))
-    tied = odd_bits(TIED, bands * rows)
+    tied = odd_bits(TIED, min(bands * rows, SKETCHED))
     differ = sum(F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"lead.x{k}"))) for k in range(SKETCH_BITS // 64))
     ties = None
     for last in [False] * (ROUNDS - 1) + [True]:

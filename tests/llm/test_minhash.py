@@ -59,3 +59,20 @@ def test_odd_rows(documents):
     assert minhash.near_duplicates(documents([(1, None), (2, "")])).count() == 2
     rows = minhash.near_duplicates(documents([(3, "a b"), (3, "a b"), (3, "c d"), (4, "c d"), (None, "a b")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("3", "3", True)] * 3 + [("4", "3", False), ("None", "None", True)]
+
+
+@pytest.mark.parametrize(("threshold", "wanted"), [(85, (22, 6)), (80, (35, 6)), (100, None), (95, None), (60, None), (30, None), (1, None)])
+def test_banding(threshold, wanted):
+    bands, rows = minhash.banding(threshold)
+    assert wanted in (None, (bands, rows))
+    assert bands * rows <= len(minhash._A) and (1 - (threshold / 100) ** rows) ** bands <= 3e-5
+    keys, sketch, _ = minhash.signature(minhash.shingle_set("a b c d e", 2), bands, rows)
+    assert len(keys) == bands and len(sketch) == minhash.SKETCH_BITS // 64
+
+
+def test_default_bands_follow_the_threshold(documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(minhash, "odd_bits", lambda similarity, samples: seen.append(samples) or 0)
+    monkeypatch.setattr(minhash, "banding", lambda threshold: seen.append(threshold) or (2, 3))
+    minhash.near_duplicates(documents([(1, "a b c d e f"), (2, "a b c d e f")]))
+    assert seen[0] == 80 and seen[1] == 6
