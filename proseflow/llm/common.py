@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
 import uuid
@@ -23,36 +24,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, local mode) is one made here.
+    Only in local mode, where driver and executors are one process, is one made where none is named.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="proseflow-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, removed by ``release`` or when Python ends."""
+    path = f"{shared_dir(spark)}/proseflow-{spark.sparkContext.applicationId}"
+    if not _FOLDERS:
+        atexit.register(release)
+    _FOLDERS[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release() -> None:
+    """Deletes all intermediate tables.  Results that were not written anywhere cannot be read any more."""
+    while _FOLDERS:
+        path, spark = _FOLDERS.popitem()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone: nothing is left that could delete
+            pass
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, Callable[[], None]]:
     """``df`` written as a table in the shared folder and read again, and what deletes the table.
 
     Cuts lineage: a lost executor costs no more than the tasks that ran on it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proseflow/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), functools.partial(_delete, spark, path)
+
 
-    def drop() -> None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def checkpointed(df: DataFrame) -> DataFrame:
+    return stored(df)[0]
 
-    return spark.read.schema(df.schema).parquet(path), drop
 
+#: Keys that ``join_skewed`` takes out of the shuffle, at most: what it broadcasts does not grow with the data.
+HOT_KEYS = 1000
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def join_skewed(rows: DataFrame, few: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which has a row for each key and, in ``size``, how many of ``rows`` have it.
+
+    Rows of the HOT_KEYS commonest keys meet theirs by broadcast, so that no task gets all rows
+    of one; after them, a key has at most a HOT_KEYS-th of all rows.  ``few`` is read twice: a stored table.
+    """
+    hot = few.orderBy(F.desc(size), *keys).limit(HOT_KEYS)
+    names = hot.select(*keys, F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    own = [c for c in few.columns if c not in keys]
+    cold = few.join(F.broadcast(names), keys, "left_anti")
+    met = marked.where("__hot").drop("__hot")
+    rest = marked.where("__hot IS NULL").drop("__hot", *own).join(cold, keys, how)
+    return met.unionByName(rest.select(*met.columns))
 
 
 def in_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
@@ -87,25 +131,29 @@ def components(edges: DataFrame) -> DataFrame:
     roots.  Only the count of edges reaches the driver.  Each round at least halves the
     nodes that still have edges.
     """
-    edges = checkpointed(
+    edges, drop = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     levels = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
+        parents, drop_parents = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         while True:  # smaller at each step, so there is no cycle
             up = parents.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            parents = checkpointed(parents.join(up, "p").select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            shorter, drop_shorter = stored(parents.join(up, "p").select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            drop_parents()
+            parents, drop_parents = shorter, drop_shorter
             if parents.where("moved").isEmpty():
                 break
         parents = parents.select("a", "p")
         levels.append(parents)
         of_b = parents.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        edges = checkpointed(
+        fewer, drop_fewer = stored(
             edges.join(parents, "a").join(of_b, "b").where("p <> q")
             .select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
         )
+        drop()
+        edges, drop = fewer, drop_fewer
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = levels[0].select(F.col("a").alias("node"), F.col("p").alias("component"))
