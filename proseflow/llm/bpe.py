@@ -28,6 +28,8 @@ from proseflow.llm.common import in_arrow
 
 #: Entries of a cache of chunks, and a third of it those of the cache of pre-tokens; a full one is emptied.
 CACHE = 900_000
+#: Characters of what is cached at most: a longer chunk is not likely to come again.
+LONGEST = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -82,9 +84,11 @@ class _Cache(dict):
         self.make, self.share = make, share
 
     def __missing__(self, key):
-        if len(self) * self.share >= CACHE:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) * self.share >= CACHE:
+                self.clear()
+            self[key] = value
         return value
 
 

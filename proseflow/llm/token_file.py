@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseflow.llm.bpe import encoder
-from proseflow.llm.common import in_arrow, shared_dir, stored
+from proseflow.llm.common import in_arrow, run_dir, stored
 
 SHARD = 1 << 18
 BLOCK = 256
@@ -75,7 +75,7 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
+def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int = BLOCK) -> tuple[bytes, bytes]:
     """Checkpoints and bits of ``ids``."""
     n = lengths[ids].astype(np.int64)
     ends = np.cumsum(n)
@@ -88,39 +88,41 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[
     if len(ids):  # bits of different ids do not meet, so a sum is a union
         words[place[first]] += np.add.reduceat(wide >> np.uint64(32), first)
         words[place[first] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
-    return at[::BLOCK].astype("<u4").tobytes(), words.astype(">u4").tobytes()[: (total + 7) // 8]
+    return at[::block].astype("<u4").tobytes(), words.astype(">u4").tobytes()[: (total + 7) // 8]
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id and length by the next MAX_BITS bits."""
+def decoding_table(lengths: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Id and length by the next ``max_bits`` bits, 16 at most."""
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
     n = lengths[used].astype(np.int64)
-    symbols, bits = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
-    filled = np.repeat(used, 1 << (MAX_BITS - n))
+    symbols, bits = np.zeros(1 << max_bits, np.uint32), np.ones(1 << max_bits, np.uint8)
+    filled = np.repeat(used, 1 << (max_bits - n))
     symbols[: len(filled)] = filled
-    bits[: len(filled)] = np.repeat(n, 1 << (MAX_BITS - n))
+    bits[: len(filled)] = np.repeat(n, 1 << (max_bits - n))
     return symbols, bits
 
 
-def unpack_bits(shards: list[tuple[int, bytes, bytes]], tables: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+def unpack_bits(shards: list[tuple[int, bytes, bytes]], tables: tuple[np.ndarray, np.ndarray], block: int = BLOCK) -> list[np.ndarray]:
     """Ids of shards given as (number of ids, checkpoints, bits); all their blocks go in step."""
     symbols, bits = tables
+    skip = 16 - (len(symbols).bit_length() - 1)
     data, starts, sizes, base = [], [], [], 0
     for n, checkpoints, raw in shards:
         at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
         starts.append(at + 8 * base)
-        sizes.append(np.minimum(BLOCK, n - BLOCK * np.arange(len(at))))
+        sizes.append(np.minimum(block, n - block * np.arange(len(at))))
         data.append(np.frombuffer(raw, np.uint8))
         base += len(raw)
     b = np.concatenate([*data, np.zeros(4, np.uint8)]).astype(np.uint32)
     window = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
     at, size = np.concatenate(starts), np.concatenate(sizes)
-    out = np.zeros((len(at), BLOCK), np.uint32)
+    out = np.zeros((len(at), block), np.uint32)
     # Full blocks stay in step; those that end early read zeros past their end, cut off below.
     last = len(window) - 1
     for k in range(int(size.max(initial=0))):
         peek = window[np.minimum(at >> 3, last)] >> (8 - (at & 7)).astype(np.uint32) & 0xFFFF
+        peek >>= skip
         out[:, k] = symbols[peek]
         at += bits[peek]
     result, row = [], 0
@@ -139,10 +141,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    enc = encoder(tokenizer)
+    size = max([end_id, *enc.vocab.values(), *enc.special.values()]) + 1
+    narrow = "<u2" if size <= 1 << 16 else "<u4"
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        narrow = "<u2" if len(enc.vocab) <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         base, ids, parts = 0, [], []
         names = ["part", "base", "doc_ids", "n_tokens", "ids"]
@@ -165,9 +169,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield row()
 
     raw, drop = stored(ordered.mapInArrow(tokens, "part int, base long, doc_ids array<long>, n_tokens array<long>, ids binary"))
-    vocab = encoder(tokenizer).vocab
-    size = max([end_id, *vocab.values(), *encoder(tokenizer).special.values()]) + 1
-    narrow = "<u2" if len(vocab) <= 1 << 16 else "<u4"
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         total = np.zeros(size, np.int64)
@@ -206,15 +207,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document of a file set: doc_id, start, n_tokens, ids (unsigned 32-bit, little-endian)."""
-    lengths = np.frombuffer(bytes(spark.read.parquet(f"{path}/codebook").head().lengths), np.uint8)
-    held = spark.sparkContext.broadcast(lengths)
+    book = spark.read.parquet(f"{path}/codebook").head()
+    held = spark.sparkContext.broadcast((np.frombuffer(bytes(book.lengths), np.uint8), book.max_bits, book.block))
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tables = decoding_table(held.value)
+        lengths, max_bits, block = held.value
+        tables = decoding_table(lengths, max_bits)
         doc_ids, starts, counts, out = [], [], [], []
         rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
         rows = [(start, ids, n, c, b) for start, ids, n, c, b in rows]
-        for (start, ids, n, _, _), x in zip(rows, unpack_bits([(sum(n), c, b) for _, _, n, c, b in rows], tables), strict=True):
+        for (start, ids, n, _, _), x in zip(rows, unpack_bits([(sum(n), c, b) for _, _, n, c, b in rows], tables, block), strict=True):
             ends = np.cumsum(n)
             doc_ids += ids
             counts += n
@@ -229,8 +231,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """Writes the file set (to a new folder in the shared one by default) and reads it back."""
+    """Writes the file set (by default to a new folder, which goes with the other tables of the run) and reads it back."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/proseflow/tokens-{uuid.uuid4().hex}"
+    path = path or f"{run_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer, end_id)
     return read_token_files(spark, path)
