@@ -1,7 +1,7 @@
 """Operator 9: quality rules by calibrated logistic regression over hashed n-grams.
 
 Features of a text are its relative frequencies of hashed single words, word pairs and
-byte n-grams.  The score of a text is then a mean of weights, so scoring needs no
+character n-grams.  The score of a text is then a mean of weights, so scoring needs no
 sparse vectors: weights are looked up for every n-gram and averaged.
 """
 
@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseflow.llm.common import GROUP_BYTES, in_arrow
-from proseflow.llm.words import PLACES, byte_grams, windows, word_hashes
+from proseflow.llm.common import GROUP_BYTES, in_arrow, stored
+from proseflow.llm.words import PLACES, char_grams, characters, windows, word_hashes
 
 BITS = 16
-#: Kinds of features: words, word pairs, and byte n-grams of these lengths.
+#: Kinds of features: words, word pairs, and n-grams of these numbers of characters.
 GRAMS = (3, 4)
 KINDS = 2 + len(GRAMS)
-#: Labelled texts that the model is fitted on, at most, of each class.
-SAMPLE = 1000
+#: Labelled texts that the model is fitted on, at most, of each class, and bytes of them (more only if one text has more).
+SAMPLE, SAMPLE_BYTES = 1000, 16_000_000
 #: Texts with a lower probability of good quality are rejected.
 THRESHOLD = 0.35
 #: Words of a window that counts as a repeat, least words, most per cent of repeated words.
@@ -59,22 +59,23 @@ def counts_of(raw: bytes, hashes: np.ndarray) -> tuple[int, int, int, int, int]:
     return len(hashes), chars, int(_SYMBOL[data].sum()), len(lines) - len(set(lines)), repeat_words(hashes)
 
 
-def grams_of(raw: bytes, hashes: np.ndarray):
+def grams_of(text: str, hashes: np.ndarray):
     """(kind, buckets) in portions of bounded size."""
     shift = np.uint64(64 - BITS)
     yield 0, (hashes * PLACES[40]) >> shift
     yield 1, windows(hashes, 2) >> shift
-    data = np.frombuffer(raw, np.uint8)
-    for k, n in enumerate(GRAMS):
-        for at in range(0, len(data), GROUP_BYTES):
-            yield 2 + k, byte_grams(data[at : at + GROUP_BYTES + n - 1], n, BITS)
+    longest = max(GRAMS) - 1
+    for at in range(0, len(text), GROUP_BYTES):
+        points = characters(text[at : at + GROUP_BYTES + longest])
+        for k, n in enumerate(GRAMS):
+            yield 2 + k, char_grams(points[: GROUP_BYTES + n - 1], n, BITS)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and relative frequencies; those of each kind add up to 1."""
     raw = (text or "").encode(errors="replace")
     total = np.zeros((KINDS, 1 << BITS), np.float32)
-    for kind, buckets in grams_of(raw, word_hashes(raw)):
+    for kind, buckets in grams_of(text or "", word_hashes(raw)):
         total[kind] += np.bincount(buckets.astype(np.int64), minlength=1 << BITS)
     total /= np.maximum(total.sum(1, keepdims=True), 1)
     flat = total.reshape(-1)
@@ -133,23 +134,34 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, share: fl
     return full, max(float(slope), 1e-3), float(slope * b + offset)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text"):
     """The model, from at most ``sample`` labelled texts of each class, those first in order of a hash of the id.
 
-    Features come from whole texts, on the executors.  None if a class has no text.
+    ``sample_bytes`` bounds their sizes together, so that the features on the driver are
+    bounded too: a class stops before the text that would exceed it, but has one at least.
+    Of labels that contradict each other the lower one counts, and of rows with one id the
+    first text.  Features come from whole texts, on the executors.  None if a class has no text.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = dict(known.groupBy("quality").count().collect())
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
-    picked = F.broadcast(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("__id"), "quality"))  # at most 2 * sample rows
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(picked, "__id").select("quality", "text")
+    picked = F.broadcast(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("id"), "quality"))  # at most 2 * sample rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id")
+    texts, drop = stored(texts.groupBy("id", "quality").agg(F.min("text").alias("text")))
+    left, chosen = {0: sample_bytes, 1: sample_bytes}, {0: [], 1: []}
+    for r in sorted(texts.select("id", "quality", F.xxhash64("id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect(), key=lambda r: (r.h, r.id)):
+        left[r.quality] -= r["size"]
+        if left[r.quality] >= 0 or not chosen[r.quality]:
+            chosen[r.quality].append(r.id)
+    texts = texts.where(F.col("id").isin([*chosen[0], *chosen[1]])).select("quality", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [features(x) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["quality", "buckets", "shares"])
 
     rows = in_arrow(texts, run, "quality int, buckets binary, shares binary").toArrow().to_pylist()
+    drop()
     rows.sort(key=lambda r: (r["buckets"], r["shares"], r["quality"]))
     good = np.array([r["quality"] == 1 for r in rows], bool)
     if not good.any() or good.all():
@@ -167,7 +179,7 @@ def judge(text: str | None, model, threshold: float) -> tuple:
     if model is not None:
         weights, slope, offset = model
         sums, ns = np.zeros(KINDS), np.zeros(KINDS)
-        for kind, buckets in grams_of(raw, hashes):
+        for kind, buckets in grams_of(text or "", hashes):
             sums[kind] += weights[kind << BITS : (kind + 1) << BITS].take(buckets.astype(np.int64)).sum(dtype=np.float64)
             ns[kind] += len(buckets)
         p = float(logistic(slope * (sums / np.maximum(ns, 1)).sum() + offset))
@@ -178,7 +190,8 @@ def assess(docs: DataFrame, model, threshold: float = THRESHOLD, id_col: str = "
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept``.
 
     A null text has no words and fails.  Without a model (None) the base rules alone decide.
-    A line is compared whole; one without a word never counts as repeated.
+    A line is compared whole; one without a word never counts as repeated.  Every row gives a
+    row, repeated ones and those with a null id too; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

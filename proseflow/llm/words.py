@@ -5,15 +5,17 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Entries of the word cache; a full one is emptied.
-CACHE = 600_000
+#: Entries of the word cache; a full one is emptied.  Words of more bytes than LONGEST are not cached.
+CACHE, LONGEST = 600_000, 64
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -47,15 +49,21 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def byte_grams(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """The bucket of each n-gram (n from 1 to 4) of bytes; n - 1 fewer than bytes."""
-    size = len(raw) - n + 1
+def characters(text: str) -> np.ndarray:
+    """Code points."""
+    return np.frombuffer(text.encode("utf-32-le", errors="replace"), np.uint32)
+
+
+def char_grams(points: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bucket of each n-gram of characters; n - 1 fewer than characters."""
+    size = len(points) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint32)
-    x = raw[:size].astype(np.uint32)
+    x = points[:size] * np.uint32(2654435761)
     for k in range(1, n):
-        x |= raw[k : k + size].astype(np.uint32) << np.uint32(8 * k)
-    x *= np.uint32(2654435761)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(2246822519)
+        x ^= x >> np.uint32(15)
+        x += points[k : k + size]
+        x *= np.uint32(2246822519)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(3266489917)
     return x >> np.uint32(32 - bits)
