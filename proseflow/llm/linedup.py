@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proseflow.llm.common import join_skewed, stored
+
 WINDOW = 3
 
 
@@ -18,41 +20,45 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every ``window`` consecutive lines are a window, unless all are blank.  Of windows that
     are equal anywhere in the table, the first in order of (id, line) stays; the lines that
     a later one covers go, merged where windows overlap.  Texts of fewer lines and null
-    texts (no lines) stay as they are.  A null id comes after all others.  Rows with the
-    same id and text count as one document, so that neither removes the other.
+    texts (no lines) stay as they are, and long texts are read whole.  A null id comes after
+    all others.  Rows with the same id and text count as one document, so that neither
+    removes the other.  Other columns stay, whatever their names; only the two new ones
+    would replace columns that have theirs.
     """
+    other = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
     id_, text = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.col(text_col)
-    keyed = docs.withColumns({"__id": id_, "__row": F.xxhash64(text)})
+    # The columns given travel in a struct, so that none clashes with those used here.
+    keyed = docs.select(id_.alias("id"), F.xxhash64(text).alias("row"), text.alias("text"), F.struct(*other).alias("rest"))
 
     def at(i: Column) -> Column:
-        parts = [F.get("__l", i + k) for k in range(window)]
+        parts = [F.get("l", i + k) for k in range(window)]
         return F.struct(i.alias("pos"), F.xxhash64(*parts).alias("h"), F.hash(*reversed(parts)).alias("g"), F.concat(*parts).rlike(r"\S").alias("seen"))
 
-    found = keyed.where(text.isNotNull()).select("__id", "__row", lines_of(text).alias("__l")).where(F.size("__l") >= window)
-    found = found.select("__id", "__row", F.inline(F.transform(F.sequence(F.lit(0), F.size("__l") - window), at))).where("seen").drop("seen")
-    place = F.struct("__id", "__row", "pos")
-    firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    found = keyed.where("text IS NOT NULL").select("id", "row", lines_of(F.col("text")).alias("l")).where(F.size("l") >= window)
+    found = found.select("id", "row", F.inline(F.transform(F.sequence(F.lit(0), F.size("l") - window), at))).where("seen").drop("seen")
+    found, _ = stored(found)  # a few bytes for each line; read three times
+    place = F.struct("id", "row", "pos")
+    grouped = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("size"))
+    firsts, _ = stored(grouped.where("first <> last").drop("last"))
     removed = (
-        found.join(firsts, ["h", "g"]).where(place != F.col("first"))
-        .groupBy("__id", "__row").agg(F.sort_array(F.collect_set("pos")).alias("__at"))
+        join_skewed(found, firsts, ["h", "g"], "size").where(place != F.col("first"))
+        .groupBy("id", "row").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     )
-    out = keyed.join(removed, ["__id", "__row"], "left").withColumn("__lines", lines_of(text))
-    n = F.size("__lines")
+    out = keyed.join(removed, ["id", "row"], "left").withColumn("lines", lines_of(F.col("text")))
+    n = F.size("lines")
     gaps = F.zip_with(
-        F.concat(F.array(F.lit(0)), F.transform("__at", lambda p: p + window)),
-        F.concat(F.col("__at"), F.array(n)),
-        lambda a, b: F.slice(F.col("__lines"), a + 1, F.greatest(b - a, F.lit(0))),
+        F.concat(F.array(F.lit(0)), F.transform("at", lambda p: p + window)),
+        F.concat(F.col("at"), F.array(n)),
+        lambda a, b: F.slice(F.col("lines"), a + 1, F.greatest(b - a, F.lit(0))),
+    )
+    kept = F.when(F.col("at").isNull(), F.col("lines")).otherwise(F.flatten(gaps))
+    out = out.withColumn("kept", kept)
+    whole = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return out.select(
+        *(whole.alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in other),
+        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("__n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("__n_removed"),
     )
-    kept = F.when(F.col("__at").isNull(), F.col("__lines")).otherwise(F.flatten(gaps))
-    return (
-        out.withColumn("__kept", kept)
-        .withColumns({
-            "__n_lines": F.when(text.isNull(), 0).otherwise(n).cast("long"),
-            "__n_removed": F.when(text.isNull(), 0).otherwise(n - F.size("__kept")).cast("long"),
-            text_col: F.when(F.col("__at").isNull(), text).otherwise(F.array_join("__kept", "\n")),
-        })
-        .select(*docs.columns, "__n_lines", "__n_removed")
-    )
 
 
 ORACLE = """
