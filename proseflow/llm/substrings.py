@@ -6,8 +6,9 @@ Suffixes must meet where they can be equal, but no task can hold the suffixes of
    smallest hash.  Equal windows have equal anchors, and some 13 neighbouring windows share
    one, so a document falls into runs: an anchor and the bytes its windows span.
 2. Runs meet by anchor, packed in blocks by the hash of the anchor.  Copies of a run are
-   settled by the first document that has it (first within each batch of documents, so that
-   a passage which many documents share arrives once from each batch).
+   settled by the first document that has it: first within some megabytes of documents and by
+   what the task remembers of earlier ones, so that a passage which many documents share
+   arrives some few times from each task, then within the block.
 3. Runs that differ but share an anchor may share some of their windows.  Their texts go by
    anchor to a suffix array, built by linear grouping (``suffixes``), in which the anchor, the
    same in all of them, is one symbol.  Windows that are equal stand side by side in it; all
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from proseflow.llm.common import GROUP_BYTES, groups, in_arrow, stored
+from proseflow.llm.common import groups, in_arrow, stored
 from proseflow.llm.suffixes import suffix_array
 from proseflow.llm.words import PLACES
 
@@ -38,7 +39,11 @@ LARGE = 20_000
 #: Bytes of text whose runs make a block, and runs that make a task of suffix arrays, about.
 BLOCK_BYTES, BLOCK_RUNS = 8_000_000, 20_000
 #: Longer texts are cut into overlapping slices.
-SLICE = 4_000_000
+SLICE = 1_000_000
+#: Bytes of text whose runs are worked out at once, and whose runs leave a task together.
+WORK_BYTES, SEND_BYTES = 1_000_000, 4_000_000
+#: Runs that came more than once and that a task remembers, so that they leave it once only.
+REMEMBERED = 200_000
 
 _BYTES = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64)
 #: A run on its way: document (place in its block's list), start, last window and anchor as distances.
@@ -114,14 +119,17 @@ def _rows(kind: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.array(np.full(n, kind), k) if c == "kind" else pa.nulls(n, k) for c, k in kinds.items()], NAMES)
 
 
-def repeats(runs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (anchor, run, document, start); and in it, which runs an earlier document has too."""
-    own = rank[runs["doc"]]
-    order = np.lexsort((runs["start"], own, runs["g"], runs["h"]))
-    x, own = runs[order], own[order]
-    new = np.append(True, (x["h"][1:] != x["h"][:-1]) | (x["g"][1:] != x["g"][:-1])) if len(x) else np.zeros(0, bool)
-    first = own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(x) else own
-    return order, own > first
+def repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by these keys, the last of which is the document; and in it, which runs an earlier document has too, and the first that does."""
+    order = np.lexsort(keys[::-1])
+    own = keys[-1][order]
+    if not len(own):
+        return order, np.zeros(0, bool), own
+    new = np.append(True, np.zeros(len(own) - 1, bool))
+    for k in keys[:-1]:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    first = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return order, own > first, first
 
 
 def equal_windows(strings: list[tuple[int, bytes, int, int]], length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -174,7 +182,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document
     with a smaller id, whatever is removed there.  A null text is empty.  Rows with one id
     do not remove each other; a row without an id neither removes nor loses anything.
+    length: from 24, the size of an anchor, to 279.
     """
+    if not ANCHOR <= length < ANCHOR + 256:
+        raise ValueError(f"length {length} is not between {ANCHOR} and {ANCHOR + 255}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("raw"), F.struct(*(c for c in docs.columns if c != text_col)).alias("rest"))
     usable = texts.drop("rest").where("doc_id IS NOT NULL").where(F.octet_length("raw") >= length)
@@ -189,26 +200,58 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 rows.append(r)
                 raws.append(raw[at : at + SLICE + length - 1])
                 bases.append(at)
-        for s, e in groups([len(x) for x in raws], GROUP_BYTES):
+        for s, e in groups([len(x) for x in raws], WORK_BYTES):
             yield ids[s:e], rows[s:e], raws[s:e], bases[s:e]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # remembered runs and the first documents that have them
+        parts, all_ids, all_rows, size = [], [], [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal known, least
+            x, ids, rows = np.concatenate(parts), np.array(all_ids), np.array(all_rows)
+            key, own = _mix(x["h"] + x["g"] * PLACES[6]), ids[x["doc"]]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                late = (known[at] == key) & (least[at] < own)
+                yield settled(x[late], ids, rows)
+                x, key, own = x[~late], key[~late], own[~late]
+            order, gone, first = repeats(key, own)
+            x, key = x[order], key[order]
+            again, at = np.unique(key[gone], return_index=True)
+            if len(again):
+                first = first[gone][at]
+                if len(known) + len(again) > REMEMBERED:
+                    known, least = known[:0], least[:0]
+                both, ids_of = np.concatenate([known, again[:REMEMBERED]]), np.concatenate([least, first[:REMEMBERED]])
+                by = np.lexsort((ids_of, both))
+                both, ids_of = both[by], ids_of[by]
+                new = np.append(True, both[1:] != both[:-1])
+                known, least = both[new], ids_of[new]
+            yield settled(x[gone], ids, rows)
+            x = x[~gone]
+            block = (x["h"] >> np.uint64(20)) % np.uint64(blocks)
+            order = np.lexsort((x["start"], x["doc"], block))
+            x, block = x[order], block[order]
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for part, b in zip(np.split(x, cuts), block[np.append(0, cuts)] if len(x) else [], strict=False):
+                used, part["doc"] = np.unique(part["doc"], return_inverse=True)
+                yield _rows(1, block=[int(b)], docs=[ids[used]], rows=[rows[used]], runs=[b"".join(part[c].tobytes() for c in RUN.names)])
+
         for batch in batches:
             for ids, rows, raws, bases in batches_of(batch):
-                ids, rows = np.array(ids), np.array(rows)
                 x = runs_of(raws, length)
                 x["start"] += np.array(bases, np.int32)[x["doc"]]
-                order, gone = repeats(x, ids)
-                x = x[order]
-                yield settled(x[gone], ids, rows)
-                x = x[~gone]
-                block = (x["h"] >> np.uint64(20)) % np.uint64(blocks)
-                order = np.lexsort((x["start"], x["doc"], block))
-                x, block = x[order], block[order]
-                cuts = np.flatnonzero(np.diff(block)) + 1
-                for part, b in zip(np.split(x, cuts), block[np.append(0, cuts)] if len(x) else [], strict=False):
-                    used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-                    yield _rows(1, block=[int(b)], docs=[ids[used]], rows=[rows[used]], runs=[b"".join(part[c].tobytes() for c in RUN.names)])
+                x["doc"] += len(all_ids)
+                parts.append(x)
+                all_ids += ids
+                all_rows += rows
+                size += sum(map(len, raws))
+                if size >= SEND_BYTES:
+                    yield from send()
+                    parts, all_ids, all_rows, size = [], [], [], 0
+        if parts:
+            yield from send()
 
     def settled(x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         x = x[np.lexsort((x["start"], x["doc"]))]
@@ -234,7 +277,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         if parts:
             ids, rows = np.array(ids), np.array(rows)
             x = np.concatenate(parts)
-            order, gone = repeats(x, ids)
+            order, gone, _ = repeats(x["h"], x["g"], ids[x["doc"]])
             x = x[order]
             out.append(settled(x[gone], ids, rows))
             x = x[~gone]

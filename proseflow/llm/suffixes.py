@@ -10,14 +10,19 @@ what is left of their groups.  Nothing is renamed and nothing recurses.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import numpy as np
 
+_UNSET = -2
 
-def suffix_array(text: Sequence) -> list[int]:
+
+def suffix_array(text: str) -> list[int]:
     """Starts of the suffixes of ``text`` in ascending order; the end counts as smaller than any symbol."""
     n = len(text)
-    sa = sorted(range(n), key=text.__getitem__)
-    rank, place, size, before = [0] * n, [0] * n, [0] * n, [-1] * n  # rank: where the group starts
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not n or codes.max() < 1 << 16:  # sorted by counting
+        codes = codes.astype(np.uint16)
+    sa = np.argsort(codes, kind="stable").tolist()
+    rank, place, size, before = [0] * n, [0] * n, [0] * n, [_UNSET] * n  # rank: where the group starts
     start, symbol = 0, None
     for i, s in enumerate(sa):
         if text[s] != symbol:
@@ -44,16 +49,38 @@ def suffix_array(text: Sequence) -> list[int]:
                 size[end] = 1
         else:
             pointers: dict[int, int] = {}
-            for s in sorted(sa[group : i + 1]):
-                p = s - 1
-                while p >= 0 and rank[p] >= group:
+            for first in sa[group : i + 1]:
+                if before[first] != _UNSET:
+                    continue
+                p = first - 1
+                while p >= 0 and rank[p] >= group and before[p] != _UNSET:
                     p = before[p]
-                before[s] = p
-                if p >= 0:
-                    pointers[p] = pointers.get(p, 0) + 1
-            most = max(pointers.values(), default=0)
-            for level in range(most, 0, -1):
-                moved = [p for p, c in pointers.items() if c == level] if most > 1 else list(pointers)
+                if p < 0 or rank[p] < group:
+                    before[first] = p
+                    if p >= 0:
+                        pointers[p] = pointers.get(p, 0) + 1
+                    continue
+                todo = [first, p]  # leads to another one of the group, which comes first then
+                while todo:
+                    s = todo[-1]
+                    p = s - 1
+                    while p >= 0 and rank[p] >= group and before[p] != _UNSET:
+                        p = before[p]
+                    if p >= 0 and rank[p] >= group:
+                        todo.append(p)
+                        continue
+                    todo.pop()
+                    before[s] = p
+                    if p >= 0:
+                        pointers[p] = pointers.get(p, 0) + 1
+            if max(pointers.values(), default=1) == 1:
+                levels = {1: list(pointers)}
+            else:
+                levels = {}
+                for p, c in pointers.items():
+                    levels.setdefault(c, []).append(p)
+            for c in sorted(levels, reverse=True):  # few: their sum is at most the size of the group
+                moved = levels[c]
                 for p in moved:
                     r = rank[p]
                     size[r] -= 1
