@@ -132,6 +132,30 @@ def repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, own > first, first
 
 
+def narrowed(strings: list[tuple[int, bytes, int, int]], length: int = LENGTH) -> list[tuple[int, int, bytes, int, int]]:
+    """(string, bytes cut in front, bytes, windows after the first, place of the anchor) for the strings that can share a window.
+
+    A window holds the anchor and, before or after it, half of its other bytes at least.  Where
+    no other document has the same half on a side, no shared window reaches that far.
+    """
+    half = (length - ANCHOR + 1) // 2
+    sides: tuple[dict, dict] = ({}, {})
+    ends = []
+    for doc, raw, _, off in strings:
+        pair = raw[off - half : off] if off >= half else None, raw[off + ANCHOR : off + ANCHOR + half] if len(raw) >= off + ANCHOR + half else None
+        ends.append(pair)
+        for side, x in zip(sides, pair, strict=True):
+            if x is not None and side.setdefault(x, doc) != doc:
+                side[x] = None  # several documents
+    out = []
+    for k, ((_, raw, _, off), (x, y)) in enumerate(zip(strings, ends, strict=True)):
+        low = 0 if x is not None and sides[0][x] is None else max(0, off - half + 1)
+        high = len(raw) if y is not None and sides[1][y] is None else min(len(raw), off + ANCHOR + half - 1)
+        if high - low >= length:
+            out.append((k, low, raw[low:high], high - low - length, off - low))
+    return out
+
+
 def equal_windows(strings: list[tuple[int, bytes, int, int]], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(string, first, last) for the windows that a string of an earlier document has too.
 
@@ -173,6 +197,25 @@ def equal_windows(strings: list[tuple[int, bytes, int, int]], length: int = LENG
     return out
 
 
+def shared_windows(strings: list[tuple[int, bytes, int, int]], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """As ``equal_windows``, which gets the narrowed strings, each different one once: that of its first document."""
+    kept = narrowed(strings, length)
+    same: dict[tuple[bytes, int], list[int]] = {}
+    for n, (_, _, raw, _, off) in enumerate(kept):
+        same.setdefault((raw, off), []).append(n)
+    firsts = [min(ns, key=lambda n: strings[kept[n][0]][0]) for ns in same.values()]
+    out = []
+    for ns, f in zip(same.values(), firsts, strict=True):
+        least = strings[kept[f][0]][0]
+        out += [(kept[n][0], kept[n][1], kept[n][1] + kept[n][3]) for n in ns if strings[kept[n][0]][0] > least]
+    if len(firsts) > 1:
+        groups_ = list(same.values())
+        for m, i, j in equal_windows([(strings[kept[f][0]][0], *kept[f][2:]) for f in firsts], length):
+            least = strings[kept[firsts[m]][0]][0]
+            out += [(kept[n][0], kept[n][1] + i, kept[n][1] + j) for n in groups_[m] if strings[kept[n][0]][0] == least]
+    return out
+
+
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, characters: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: the ranges [start, end) of bytes removed, and the rest.
 
@@ -314,7 +357,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 cuts = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)).tolist()
                 out = []
                 for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    found = equal_windows([(ids[k], raw[k], end[k] - at[k], off[k]) for k in range(s, e)], length)
+                    found = shared_windows([(ids[k], raw[k], end[k] - at[k], off[k]) for k in range(s, e)], length)
                     out += [(ids[s + k], rows[s + k], at[s + k] + i, at[s + k] + j) for k, i, j in found]
                 doc_id, row, a, e = zip(*out, strict=True) if out else ((), (), (), ())
                 return pa.table({"doc_id": pa.array(doc_id, pa.int64()), "row": pa.array(row, pa.int64()), "a": pa.array(a, pa.int32()), "e": pa.array(e, pa.int32())})
