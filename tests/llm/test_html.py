@@ -76,3 +76,51 @@ LONG = "<p>" + "long text of the body " * 20 + "</p>"
 )
 def test_descent_loses_no_text(html, first):
     assert htmltext.extract(html, None).removesuffix(" ".join(["long text of the body"] * 20)) == first.removesuffix("long")
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<p>The <math>x</math> value</p><section id='related-work'><h2>Work</h2><p>of others</p></section>", "The x value\n\nWork\n\nof others"),
+        ("<p class='legal'>of the law</p><div id='search-algorithms'><p>to search</p></div><p class=notice-period>a month</p>", "of the law\n\nto search\n\na month"),
+        ("<p>Body text</p><div class='comment-list'><p>I agree</p></div><div id=reader-comments><p>me too</p></div>", "Body text"),
+        ("<p>Body text</p><div class='cookie-banner'><p>We use cookies</p></div><p class=ad>Buy now</p><div class=social-share>Share it</div>", "Body text"),
+        ("<p>AT&<b>lt;</b> &am<!-- -->p; &lt;</p>", "AT&lt; &amp; <"),
+    ],
+)
+def test_names_of_elements_decide_with_the_score(inner, text):
+    assert htmltext.extract(f"<nav>Menu</nav><article><h1>T</h1>{inner}</article>", None) == "T\n\n" + text
+
+
+def test_form_around_the_page():
+    assert htmltext.extract("<form><div><h1>T</h1><p>some text here</p></div></form>", None) == "T\n\nsome text here"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<b><hr>", "<div>", '<a ">" ', "<b></i>", "<!--", "<b"])
+def test_time_grows_with_the_page(unit):
+    import time
+
+    start = time.time()
+    htmltext.extract(unit * (300_000 // len(unit)), None)
+    assert time.time() - start < 8
+
+
+def test_vote_against_plain_count(spark):
+    """Winners equal those of votes counted on the driver; ties fall to the smallest digest, repeated rows vote twice."""
+    pages = ["<div class=a><p>one two</p></div><div class=b><p>three four</p></div>", "<div class=a><p>x y z</p></div><nav>n</nav>", "<div class=b><p>x y z</p></div><nav>n</nav>"]
+    rows = [(i, f"http://h{i % 3}", pages[i % 2 if i % 3 else 0]) for i in range(12)] + [(None, "http://h0", pages[2])] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for _, url, html in rows:
+        for path, n in htmltext.vote(html).items():
+            sums = want.setdefault(url[7:], {})
+            sums[path - (1 << 64) if path >> 63 else path] = sums.get(path - (1 << 64) if path >> 63 else path, 0) + n
+    votes = [(h, p, n, 1) for h, x in want.items() for p, n in x.items()]
+    got = {r.host: r.winner for r in htmltext.winners_of(spark.createDataFrame(votes, "host string, path long, score long, pages long")).collect()}
+    assert got == {h: min(x, key=lambda p: (-x[p], p)) for h, x in want.items()}
+    few = sorted((str(r.page_id), r.text) for r in htmltext.main_text(df).collect())
+    limit, htmltext.BROADCAST_HOSTS = htmltext.BROADCAST_HOSTS, 0  # the way for more hosts than are broadcast
+    try:
+        assert sorted((str(r.page_id), r.text) for r in htmltext.main_text(df).collect()) == few and len(few) == 14
+    finally:
+        htmltext.BROADCAST_HOSTS = limit
