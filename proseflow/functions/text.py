@@ -163,15 +163,12 @@ def normalised(text: Column) -> Column:
 
 
 def number_forms(number: Column) -> Column:
-    """Spellings of an English number that count as the same: decimal comma, and thousands with or without a mark."""
-    return F.array_distinct(
-        F.when(number.rlike(r"^\d+\.\d+$"), F.array(number, F.translate(number, ".", ",")))
-        .when(
-            number.rlike(r"^\d+,\d{3}$"),
-            F.array(number, F.translate(number, ",", ""), F.translate(number, ",", " "), F.translate(number, ",", " ")),
-        )
-        .otherwise(F.array(number))
-    )
+    """Spellings of an English number that count as the same: comma or point, and thousands with or without a mark."""
+    head, tail = F.regexp_extract(number, r"^(\d+)[.,]", 1), F.regexp_extract(number, r"[.,](\d+)$", 1)
+    either = F.array(number, F.concat(head, F.lit(","), tail), F.concat(head, F.lit("."), tail))
+    thousands = F.array(F.concat(head, tail), F.concat(head, F.lit(" "), tail), F.concat(head, F.lit("\u00a0"), tail))
+    several = F.when(number.rlike(r"^\d+,\d{3}$"), F.concat(either, thousands)).otherwise(either)
+    return F.array_distinct(F.when(number.rlike(r"^\d+[.,]\d+$"), several).otherwise(F.array(number)))
 
 
 # Code-like tokens ----------------------------------------------------------------------

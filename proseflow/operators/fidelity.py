@@ -5,16 +5,19 @@ Source and target stand in one row, so every comparison is a set difference of a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseflow.functions import text as T
+from proseflow.operators import lexicon_ru
 from proseflow.operators import rules_ru as R
-from proseflow.operators import segments as S
 
-FILE_LINE = r"[A-Za-z0-9_./-]+\.[A-Za-z0-9]+:\d+(?:-\d+)?"
-PATH = r"[A-Za-z0-9_.~-]*(?:/[A-Za-z0-9_.~-]+)+/?"
+# What places in files, paths and numbers look like.
+FILE_LINE = r"[A-Za-z0-9_./-]*[A-Za-z0-9_-]\.[A-Za-z0-9]+:\d+(?:[-–]\d+)?"
+PATH = r"/?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+"
+FILE_NAME = r"[A-Za-z0-9_-]\.[A-Za-z][A-Za-z0-9]{0,5}$"
 NUMBER = r"\d+(?:[.,]\d+)?"
+_MARK = "\ue004"
 
 #: A small table of hedges by strength (English patterns, Russian patterns); users give their own.
 HEDGES = {
@@ -25,37 +28,100 @@ HEDGES = {
 }
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+def found_in(text: Column, pattern: str) -> Column:
+    """First occurrences of what matches, ``match, at``: ``at`` counts characters from 0."""
+    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    begin = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<match:string,at:int>>").alias("out"), F.lit(False).alias("inside"))
+
+    def step(s: Column, x: Column) -> Column:
+        known = F.exists(s["out"], lambda o: o["match"] == x)
+        out = F.when(s["inside"] & ~known, F.array_append(s["out"], F.struct(x.alias("match"), s["at"].alias("at")))).otherwise(s["out"])
+        return F.struct((s["at"] + F.length(x)).cast("int").alias("at"), out.alias("out"), (~s["inside"]).alias("inside"))
+
+    return F.aggregate(pieces, begin, step)["out"]
+
+
+def code_of(text: Column) -> Column:
+    """First occurrences of code, ``match, line, col``: inline spans and fenced blocks, trimmed, empty ones left out."""
+
+    def of_line(x: Column, i: Column) -> Column:
+        pieces = F.regexp_extract_all(x, F.lit(rf"{R.INLINE}|`+|[^`]+"), F.lit(0))
+        begin = F.struct(F.lit(1).alias("at"), F.expr("array()").cast("array<struct<match:string,line:int,col:int>>").alias("out"))
+
+        def step(s: Column, p: Column) -> Column:
+            inner = T.trimmed(F.regexp_replace(p, "^`+|`+$", ""))
+            item = F.struct(inner.alias("match"), (i + 1).cast("int").alias("line"), s["at"].alias("col"))
+            return F.struct((s["at"] + F.length(p)).cast("int").alias("at"), F.when(p.rlike("^`+[^`]"), F.array_append(s["out"], item)).otherwise(s["out"]).alias("out"))
+
+        none = F.expr("array()").cast("array<struct<match:string,line:int,col:int>>")
+        return F.when(x.contains("`"), F.aggregate(pieces, begin, step)["out"]).otherwise(none)
+
+    def of(lines: Column, blocks: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            own = F.filter(blocks, lambda b: b["first"] == i)
+            body = lambda b: F.array_join(F.transform(F.slice(lines, b["first"] + 2, b["last"] - b["first"] - 1), lambda y: F.regexp_replace(y, "[ \t\r]+$", "")), "\n")
+            fenced = F.transform(own, lambda b: F.struct(T.trimmed(body(b)).alias("match"), (i + 1).cast("int").alias("line"), F.lit(1).alias("col")))
+            inside = F.exists(blocks, lambda b: (b["first"] <= i) & (i <= b["last"]))
+            return F.when(inside, fenced).otherwise(of_line(x, i))
+
+        return F.flatten(F.transform(lines, one))
+
+    every = T.let(F.split(text, "\n", -1), lambda lines: T.let(R._fences(lines), lambda blocks: of(lines, blocks)))
+    some = F.filter(every, lambda x: x["match"] != "")
+    return T.let(some, lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, lambda y: y["match"]), x["match"]) == i + 1))
+
+
+def _names(found: Column) -> Column:
+    return F.transform(found, lambda x: x["match"])
 
 
 def lost_code(source: Column, target: Column) -> Column:
-    content = lambda x: F.array_distinct(F.transform(S.code_spans(x), lambda s: s["content"]))
-    return F.array_except(content(source), content(target))
+    return F.array_except(_names(code_of(source)), _names(code_of(target)))
+
+
+def file_lines(source: Column, target: Column) -> Column:
+    """Places in files, code included, that are not in the target: ``match, at``."""
+    return F.filter(found_in(source, FILE_LINE), lambda x: ~target.contains(x["match"]))
 
 
 def lost_file_lines(source: Column, target: Column) -> Column:
-    return F.filter(_all(source, FILE_LINE), lambda x: ~target.contains(x))
+    return _names(file_lines(source, target))
+
+
+def paths(source: Column, target: Column) -> Column:
+    """Paths of the source's prose that are neither in the target nor part of a place in a file: ``match, at``."""
+    places = _names(found_in(source, FILE_LINE))
+    trimmed = F.transform(found_in(R.prose(source), PATH), lambda x: F.struct(F.regexp_replace(x["match"], r"\.+$", "").alias("match"), x["at"].alias("at")))
+
+    def is_path(x: Column) -> Column:
+        v = x["match"]
+        return (v.startswith("/") | v.startswith("./") | F.substring_index(v, "/", -1).rlike(FILE_NAME)) & v.rlike("[A-Za-z]") & ~F.exists(places, lambda p: p.contains(v))
+
+    first = T.let(trimmed, lambda xs: F.filter(xs, lambda x, i: F.array_position(_names(xs), x["match"]) == i + 1))
+    return F.filter(first, lambda x: is_path(x) & ~target.contains(x["match"]))
 
 
 def lost_paths(source: Column, target: Column) -> Column:
-    places = _all(source, FILE_LINE)
-    paths = F.transform(_all(R.prose(source), PATH), lambda x: F.regexp_replace(x, r"\.+$", ""))
-    paths = F.filter(
-        F.array_distinct(paths),
-        lambda x: (x.startswith("/") | x.startswith("./") | x.rlike(r"\.[A-Za-z0-9]+$")) & x.rlike("[A-Za-z]") & ~F.exists(places, lambda p: p.startswith(x)),
-    )
-    return F.filter(paths, lambda x: ~target.contains(x))
+    return _names(paths(source, target))
 
 
-def lost_numbers(source: Column, target: Column) -> Column:
-    """Numbers of the source's prose of which no spelling stands in the target between characters other than digits."""
+def numbers(source: Column, target: Column, english: Column | None = None) -> Column:
+    """Numbers of the source's prose of which no spelling stands in the target between other characters than digits: ``match, at``.
+
+    english: whether the source is; only then do other spellings count.
+    """
 
     def found(form: Column) -> Column:
         return F.regexp_like(target, F.concat(F.lit("(?:^|[^0-9])"), F.replace(form, F.lit("."), F.lit("\\.")), F.lit("(?:[^0-9]|$)")))
 
-    numbers = _all(R.prose(source), NUMBER)
-    return F.filter(numbers, lambda n: ~F.exists(T.number_forms(n), found))
+    def forms(n: Column) -> Column:
+        return T.number_forms(n) if english is None else F.when(english, T.number_forms(n)).otherwise(F.array(n))
+
+    return F.filter(found_in(R.prose(source), NUMBER), lambda x: ~F.exists(forms(x["match"]), found))
+
+
+def lost_numbers(source: Column, target: Column) -> Column:
+    return _names(numbers(source, target))
 
 
 def hedge_counts(text: Column, words: list[str]) -> Column:
@@ -82,3 +148,86 @@ def compare(pairs: DataFrame) -> DataFrame:
 
     lost = [of_kind(kind, f(source, target)) for kind, f in kinds.items()]
     return pairs.select("pair_id", F.inline(F.concat(*lost)))
+
+
+def source_language(source: Column) -> Column:
+    """``en`` if Latin letters of the prose outnumber Cyrillic ones, else ``ru``."""
+    return T.language(R.prose(source))
+
+
+def hedges(docs: DataFrame, rows: list[dict], english: bool) -> DataFrame:
+    """``doc_id, strength, nth, line, col, match``: hedges in order; of those that start at one word the longest of a strength.
+
+    English ``could`` before ``not`` is none.
+    """
+    strength = docs.sparkSession.createDataFrame([(i, r["strength"]) for i, r in enumerate(rows)], "row_id int, strength string")
+    hits = lexicon_ru.english_phrases_of(docs, rows) if english else lexicon_ru.placed_phrases(docs, rows, "russian", 1)
+    hits = hits.join(strength, "row_id")
+    best = hits.groupBy("doc_id", "strength", "line", "col", "sent", "ord").agg(F.max_by("match", F.struct("size", "match")).alias("match"))
+    if english:
+        words = lexicon_ru.token_words(docs).select("doc_id", "sent", "ord", F.lower("tok").alias("tok"))
+        before = words.where("tok = 'not'").select("doc_id", "sent", (F.col("ord") - 1).alias("ord"))
+        past = words.where("tok = 'could'").join(before, ["doc_id", "sent", "ord"], "left_semi").select("doc_id", "sent", "ord")
+        best = best.join(past, ["doc_id", "sent", "ord"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "strength").orderBy("line", "col")) - 1
+    return best.select("doc_id", "strength", nth.alias("nth"), "line", "col", "match")
+
+
+def russian_family(rows: list[dict], strength: str, most: int = 6) -> str:
+    """Words to show for a strength: the first of its Russian patterns that are no stems."""
+    shown = [p.replace("#", "N") for r in rows if r["strength"] == strength for p in lexicon_ru.ticked(r["russian"]) if ":" not in p]
+    return " / ".join(shown[:most])
+
+
+def hedge_findings(pairs: DataFrame, rows: list[dict]) -> DataFrame:
+    """``pair_id, kind, strength, in_source, in_target, match, line, col``: hedges that the target lost, certainty that it adds.
+
+    A lost hedge is placed where the source has the first beyond those of the target, added
+    certainty where the target has the first beyond those of the source.
+    """
+    own = pairs.select(F.col("pair_id").alias("doc_id"), "src_text", "out_text", source_language(F.col("src_text")).alias("lang"))
+    en, ru = (own.where(F.col("lang") == x).select("doc_id", F.col("src_text").alias("text")) for x in ("en", "ru"))
+    other = [r for r in rows if r["strength"] not in lexicon_ru.ENGLISH_ONLY]
+    source = hedges(en, rows, True).unionByName(hedges(ru, other, False)).select("*", F.lit(0).alias("side"))
+    target = hedges(own.select("doc_id", F.col("out_text").alias("text")), rows, False)
+    target = target.join(own.select("doc_id", "lang"), "doc_id").where((F.col("lang") == "en") | ~F.col("strength").isin(lexicon_ru.ENGLISH_ONLY)).drop("lang").select("*", F.lit(1).alias("side"))
+    item = F.struct("nth", "line", "col", "match")
+    both = source.unionByName(target).groupBy("doc_id", "strength").agg(
+        *(F.sort_array(F.collect_list(F.when(F.col("side") == k, item))).alias(name) for k, name in enumerate(("s", "t")))
+    )
+    sure = F.col("strength") == "certain"
+    both = both.withColumn("ns", F.size("s")).withColumn("nt", F.size("t"))
+    lost = F.when(~sure & (F.col("nt") < F.col("ns")), F.get("s", "nt")).when(sure & (F.col("nt") > F.col("ns")), F.get("t", "ns"))
+    found = both.withColumn("x", lost).where("x IS NOT NULL")
+    return found.select(F.col("doc_id").alias("pair_id"), F.when(sure, "certainty").otherwise("hedge").alias("kind"), "strength", F.col("ns").alias("in_source"), F.col("nt").alias("in_target"), "x.match", "x.line", "x.col")
+
+
+def findings(pairs: DataFrame, rows: list[dict] = lexicon_ru.FULL["hedges-en-ru"]) -> DataFrame:
+    """``pair_id, seq, kind, hard, where, line, col, match, hint``: all that the target lost or added, in order.
+
+    Code, places in files, paths, numbers by their place in the source, then hedges by strength.
+    """
+    source, target = F.col("src_text"), F.col("out_text")
+    english = source_language(source) == "en"
+    spans = T.let(_names(code_of(target)), lambda known: F.filter(code_of(source), lambda x: ~F.array_contains(known, x["match"])))
+
+    def placed(found: Column, kind: int, name: str) -> Column:
+        def one(x: Column) -> Column:
+            before = F.left(source, x["at"])
+            line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+            col = F.length(F.substring_index(before, "\n", -1)) + 1
+            return F.struct(F.lit(kind).alias("rank"), F.lit(name).alias("kind"), x["match"].alias("match"), line.alias("line"), col.alias("col"))
+
+        return F.transform(found, one)
+
+    code = F.transform(spans, lambda x: F.struct(F.lit(0).alias("rank"), F.lit("code").alias("kind"), x["match"].alias("match"), x["line"].alias("line"), x["col"].alias("col")))
+    lost = F.concat(code, placed(file_lines(source, target), 1, "file:line"), placed(paths(source, target), 2, "path"), placed(numbers(source, target, english), 3, "number"))
+    items = pairs.select("pair_id", F.posexplode(lost).alias("at", "f"))
+    items = items.select("pair_id", F.col("at").alias("seq"), "f.kind", F.lit("source").alias("where"), "f.line", "f.col", "f.match", F.lit("в тексте этого нет").alias("hint"))
+    order = F.create_map(*(F.lit(x) for i, k in enumerate(lexicon_ru.STRENGTHS) for x in (k, i)))
+    family = F.create_map(*(F.lit(x) for k in lexicon_ru.STRENGTHS for x in (k, russian_family(rows, k))))
+    counts = F.format_string("%s: в исходнике %d, в тексте %d", "strength", "in_source", "in_target")
+    hint = F.when(F.col("kind") == "certainty", counts).otherwise(F.concat(counts, F.lit(" → "), family[F.col("strength")]))
+    where = F.when(F.col("kind") == "certainty", "text").otherwise("source")
+    own = hedge_findings(pairs, rows).select("pair_id", (order[F.col("strength")] + 1_000_000).alias("seq"), "kind", where.alias("where"), "line", "col", "match", hint.alias("hint"))
+    return items.unionByName(own).withColumn("hard", F.lit(True))

@@ -25,11 +25,24 @@ PARTICIPLE_BASES = "ющ ущ ящ ащ вш нн т ем им н".split()
 
 KINDS = "slang cyrillized metaphor pipeline".split()
 CLASSES = "latin loanword glued".split()
+#: Strengths of hedges in the order of a report; of a Russian source those of ENGLISH_ONLY are not compared.
+STRENGTHS = "possible probable unlikely usual often approx min max advice must certain".split()
+ENGLISH_ONLY = "advice must".split()
+#: Columns of the tables by what they are called here.
 TABLES = {
     "ru-non-approved": ["term", "kind", "use_instead"],
     "ru-allowed": ["term", "class"],
     "ru-domain": ["term", "domain_cues", "slang_cues", "note"],
+    "glossary-en-ru": ["english", "preferred", "also_ok", "never", "note"],
+    "hedges-en-ru": ["english", "strength", "russian"],
 }
+#: Column titles of table files.
+TITLES = {
+    "use instead": "use_instead", "domain cues": "domain_cues", "slang cues": "slang_cues", "English term": "english", "Russian (preferred)": "preferred",
+    "also OK": "also_ok", "English hedge": "english", "Russian renderings": "russian",
+}
+#: Stands for an empty cell.
+NONE = "—"
 
 #: A small lexicon of our own; users load theirs with ``read_tables``.
 SEED = {
@@ -42,6 +55,24 @@ SEED = {
     "ru-allowed": [{"term": "web-сервер:n", "class": "glued"}, {"term": "api", "class": "latin"}, {"term": "сервис:n", "class": "loanword"}],
     "ru-domain": [{"term": "узл:n", "domain_cues": "сет, кластер", "slang_cues": "крут", "note": "узел сети"}],
 }
+#: All five tables.
+FULL = SEED | {
+    "glossary-en-ru": [
+        {"english": "`log`, `log file`", "preferred": "журнал", "also_ok": NONE, "never": "`лог:n`", "note": ""},
+        {"english": "`deploy*`", "preferred": "развернуть", "also_ok": "разместить", "never": "`[за]депло:v`, `деплой:n`", "note": ""},
+        {"english": "`wait # ms`", "preferred": "подождать", "also_ok": NONE, "never": "`ждун:n`, `ждать у моря`", "note": ""},
+        {"english": "`dry run`", "preferred": "пробный запуск", "also_ok": NONE, "never": NONE, "note": ""},
+    ],
+    "hedges-en-ru": [
+        {"english": "`may`, `might`, `could`, `possibly`, `perhaps`", "strength": "possible", "russian": "`может`, `могут`, `возможно`, `возможн:n`"},
+        {"english": "`it is possible that`", "strength": "possible", "russian": "`не исключено`"},
+        {"english": "`probably`, `likely`, `most likely`", "strength": "probable", "russian": "`вероятно`, `скорее всего`"},
+        {"english": "`about #`", "strength": "approx", "russian": "`примерно`, `около #`"},
+        {"english": "`should`, `recommend*`", "strength": "advice", "russian": "`следует`, `рекоменду:v`"},
+        {"english": "`must`", "strength": "must", "russian": "`должен`, `должн:n`, `нужно`"},
+        {"english": "`certainly`, `definitely`, `always`", "strength": "certain", "russian": "`точно`, `определенно`, `всегда`"},
+    ],
+}
 
 
 def verb_endings() -> list[str]:
@@ -67,31 +98,74 @@ def parse_term(cell: str) -> list[list[dict]]:
     return [[parse_word(w) for w in c.split()] for c in cells if c]
 
 
-def read_tables(spark: SparkSession, path: str) -> dict[str, list[dict]]:
-    """Lexicon tables from JSON files of ``{files: [{name, columns, rows}]}``; columns are found by name.
+def ticked(cell: str) -> list[str]:
+    """What stands in backticks in a cell."""
+    return re.findall(r"`([^`]+)`", cell)
+
+
+def english_phrases(cell: str) -> list[list[str]]:
+    """Phrases of an English cell as lists of words: ``word``, ``stem*`` or ``#``; raises ValueError where there is none."""
+    found = [p.split() for p in ticked(cell.lower()) if p.split()]
+    if not found:
+        raise ValueError(f"no English pattern in {cell!r}")
+    return found
+
+
+def russian_cell(cell: str) -> str:
+    """The patterns in backticks of a cell, as a cell of patterns; all of a cell without any."""
+    return "" if cell.strip() == NONE else ", ".join(ticked(cell)) or cell
+
+
+def _checked(name: str, row: dict) -> None:
+    for column, known in (("kind", KINDS), ("class", CLASSES), ("strength", STRENGTHS)):
+        if column in TABLES.get(name, []) and row[column] not in known:
+            raise ValueError(f"{name}: {column} {row[column]!r} is not known")
+    for column in ("term", "never", "russian"):
+        if column in TABLES.get(name, []):
+            parse_term(russian_cell(row[column]) if column != "term" else row[column])
+    if "english" in TABLES.get(name, []):
+        english_phrases(row["english"])
+
+
+def read_tables(spark: SparkSession, path: str, complete: bool = False) -> dict[str, list[dict]]:
+    """Lexicon tables from JSON files of ``{files: [{name, columns, rows}]}``; columns are found by title or by name.
 
-    Raises ValueError for a table without rows, a missing column, or a kind or class that is not known.
+    Raises ValueError for a table without rows, a missing column, a kind, class or strength
+    that is not known, a cell that is no pattern and, if ``complete``, a missing table.
     """
     tables: dict[str, list[dict]] = {}
     for row in spark.read.text(path, wholetext=True).collect():  # lexicons, not documents
         for f in json.loads(row.value)["files"]:
-            missing = set(TABLES.get(f["name"], [])) - set(f["columns"])
+            columns = [TITLES.get(c, c) for c in f["columns"]]
+            missing = set(TABLES.get(f["name"], [])) - set(columns)
             if missing or not f["rows"]:
                 raise ValueError(f"{f['name']}: " + (f"no column {sorted(missing)}" if missing else "no rows"))
-            tables[f["name"]] = [dict(zip(f["columns"], r, strict=True)) for r in f["rows"]]
-    for name, column, known in (("ru-non-approved", "kind", KINDS), ("ru-allowed", "class", CLASSES)):
-        for r in tables.get(name, []):
-            if r[column] not in known:
-                raise ValueError(f"{name}: {column} {r[column]!r} is not known")
-            parse_term(r["term"])
+            tables[f["name"]] = [dict(zip(columns, r, strict=True)) for r in f["rows"]]
+    if complete and (missing := sorted(set(TABLES) - set(tables))):
+        raise ValueError(f"no table {missing}")
+    for name, rows in tables.items():
+        for r in rows:
+            _checked(name, r)
     return tables
 
 
-def patterns(spark: SparkSession, rows: list[dict]) -> DataFrame:
+def expanded(rows: list[dict], column: str = "term") -> set[str]:
+    """All single words that the patterns of a lexicon's rows match: bounded by the lexicon, whatever the documents."""
+    ends = {"n": NOUN_ENDINGS, "v": verb_endings()}
+    out = set()
+    for row in rows:
+        for phrase in parse_term(russian_cell(row[column]) if column != "term" else row[column]):
+            if len(phrase) == 1:
+                w = phrase[0]
+                out |= {p + w["stem"] + e for p in w["prefixes"] for e in ([x for c in w["classes"] for x in ends[c]] or [""])}
+    return out
+
+
+def patterns(spark: SparkSession, rows: list[dict], column: str = "term") -> DataFrame:
     """``row_id, phrase, pos, size, prefix, stem, class, number``: a row for each prefix and class of a word."""
     out = []
     for i, row in enumerate(rows):
-        for j, phrase in enumerate(parse_term(row["term"])):
+        for j, phrase in enumerate(parse_term(row["term"] if column == "term" else russian_cell(row[column]))):
             for k, w in enumerate(phrase):
                 out += [(i, j, k, len(phrase), p, w["stem"], c, w["number"]) for p in w["prefixes"] for c in w["classes"] or " "]
     return spark.createDataFrame(out, "row_id int, phrase int, pos int, size int, prefix string, stem string, class string, number boolean")
@@ -102,25 +176,34 @@ def endings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "class string, ending string")
 
 
-def surface_forms(spark: SparkSession, rows: list[dict]) -> DataFrame:
+def surface_forms(spark: SparkSession, rows: list[dict], column: str = "term") -> DataFrame:
     """``row_id, phrase, pos, size, form``: all that the patterns match but numbers (``form`` null)."""
-    joined = patterns(spark, rows).join(endings(spark), "class")
+    joined = patterns(spark, rows, column).join(endings(spark), "class")
     form = F.when(~F.col("number"), F.concat("prefix", "stem", "ending"))
     return joined.select("row_id", "phrase", "pos", "size", form.alias("form")).distinct()
 
 
 def candidates(docs: DataFrame, of_document: Column | None = None, of_sentence: Column | None = None) -> DataFrame:
-    """``doc_id, sent, ord, cand, tok, word``: each token (cand 0) and, if it has several, its parts.
+    """``doc_id, sent, ord, cand, tok, word, line, col, part``: each token (cand 0) and, if it has several, its parts.
 
-    of_document, of_sentence: flags over ``text``, carried along as columns of these names.
+    part: the candidate as it stands, at ``line`` and ``col``.  of_document, of_sentence: flags
+    over ``text`` and over ``raw``, the sentence with its code, carried along under these names.
     """
     none = F.lit(None).cast("array<boolean>")
-    rows = docs.select("doc_id", (none if of_document is None else of_document).alias("of_document"), F.posexplode(rules_ru.sentences_of(F.col("text"))).alias("sent", "text"))
+    rows = rules_ru.placed(docs, (none if of_document is None else of_document).alias("of_document"))
     flag = none if of_sentence is None else of_sentence
-    rows = rows.select("doc_id", (F.col("sent") + 1).alias("sent"), "of_document", flag.alias("of_sentence"), F.posexplode(rules_ru.tokens_of(F.col("text"))).alias("ord", "tok"))
-    every = T.let(rules_ru.parts_of(F.col("tok")), lambda p: F.when(F.size(p) > 1, F.concat(F.array("tok"), p)).otherwise(F.array("tok")))
-    rows = rows.select("doc_id", "sent", "ord", "tok", "of_document", "of_sentence", F.posexplode(every).alias("cand", "word"))
-    return rows.withColumn("word", T.normalised(F.col("word")))
+    rows = rows.select("doc_id", "sent", "line", "of_document", flag.alias("of_sentence"), F.posexplode(rules_ru.placed_tokens(F.col("text"), F.col("col"))).alias("ord", "t"))
+    rows = rows.select("*", F.col("t.tok").alias("tok"), F.col("t.col").alias("at")).drop("t")
+    whole = F.struct(F.col("tok").alias("part"), F.col("at").cast("int").alias("col"))
+
+    def split(parts: Column) -> Column:
+        begin = F.struct(F.col("at").cast("int").alias("at"), F.expr("array()").cast("array<struct<part:string,col:int>>").alias("out"))
+        step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).cast("int").alias("at"), F.array_append(s["out"], F.struct(x.alias("part"), s["at"].alias("col"))).alias("out"))
+        return F.concat(F.array(whole), F.aggregate(parts, begin, step)["out"])
+
+    every = T.let(rules_ru.parts_of(F.col("tok")), lambda p: F.when(F.size(p) > 1, split(p)).otherwise(F.array(whole)))
+    rows = rows.select("doc_id", "sent", "ord", "tok", "line", "of_document", "of_sentence", F.posexplode(every).alias("cand", "p"))
+    return rows.select("doc_id", "sent", "ord", "cand", "tok", T.normalised(F.col("p.part")).alias("word"), "line", "p.col", "p.part", "of_document", "of_sentence")
 
 
 def _cues(cell: str) -> list[str]:
@@ -132,7 +215,7 @@ def _has_cue(text: Column, cues: list[str]) -> Column:
 
 
 def single_words(docs: DataFrame, lexicon: dict[str, list[dict]] = SEED) -> DataFrame:
-    """``doc_id, sent, ord, row_id, rule, hard, match``: banned words, one finding for each token and row.
+    """``doc_id, sent, ord, row_id, rule, hard, match, cand, line, col, as_is, slang``: banned words, one finding for each token and row.
 
     A token that is allowed is skipped, and so is a part allowed as a loanword or Latin word.
     A word of the domain table is soft where the document has a cue of the domain and the
@@ -146,53 +229,149 @@ def single_words(docs: DataFrame, lexicon: dict[str, list[dict]] = SEED) -> Data
     sense = surface_forms(spark, domain).where("size = 1").select("form", F.col("row_id").alias("domain"))
     # One row for each form that the tables know, so that tokens are joined once.
     known = allowed.unionByName(banned, allowMissingColumns=True).unionByName(sense, allowMissingColumns=True).groupBy(F.col("form").alias("word"))
-    known = known.agg(F.max("whole").alias("whole"), F.max("part").alias("part"), F.collect_set("row").alias("rows"), F.min("domain").alias("domain"))
+    known = known.agg(F.max("whole").alias("whole"), F.max("part").alias("fine_part"), F.collect_set("row").alias("rows"), F.min("domain").alias("domain"))
     in_domain = T.let(T.normalised(F.col("text")), lambda t: F.array(*(_has_cue(t, _cues(r["domain_cues"])) for r in domain), F.lit(False)))
-    in_slang = T.let(T.normalised(F.col("text")), lambda t: F.array(*(_has_cue(t, _cues(r["slang_cues"])) for r in domain), F.lit(False)))
+    in_slang = T.let(T.normalised(F.col("raw")), lambda t: F.array(*(_has_cue(t, _cues(r["slang_cues"])) for r in domain), F.lit(False)))
     met = candidates(docs, in_domain, in_slang).join(known, "word")
-    soft = F.coalesce(F.get("of_document", "domain") & ~F.get("of_sentence", "domain"), F.lit(False))
-    hit = F.struct("cand", "word", "part", "rows", soft.alias("soft"))
+    slang = F.coalesce(F.get("of_sentence", "domain"), F.lit(False))
+    soft = F.coalesce(F.get("of_document", "domain"), F.lit(False)) & ~slang
+    hit = F.struct("cand", "word", "fine_part", "rows", soft.alias("soft"), slang.alias("slang"), "line", "col", F.col("part").alias("as_is"))
     found = met.groupBy("doc_id", "sent", "ord").agg(F.max((F.col("cand") == 0) & F.coalesce("whole", F.lit(False))).alias("fine"), F.collect_list(hit).alias("hits"))
-    usable = F.filter("hits", lambda h: (h["cand"] == 0) | ~F.coalesce(h["part"], F.lit(False)))
+    usable = F.filter("hits", lambda h: (h["cand"] == 0) | ~F.coalesce(h["fine_part"], F.lit(False)))
     found = found.where("NOT fine").select("doc_id", "sent", "ord", F.explode(usable).alias("h"))
-    found = found.select("doc_id", "sent", "ord", F.explode("h.rows").alias("row_id"), "h.cand", "h.word", "h.soft")
-    first = found.groupBy("doc_id", "sent", "ord", "row_id").agg(F.min_by(F.struct("word", "soft"), "cand").alias("x"))
-    return first.select("doc_id", "sent", "ord", "row_id", F.when(F.col("x.soft"), "domain").otherwise("lexicon").alias("rule"), (~F.col("x.soft")).alias("hard"), F.col("x.word").alias("match"))
+    found = found.select("doc_id", "sent", "ord", F.explode("h.rows").alias("row_id"), "h.cand", F.struct("h.word", "h.soft", "h.slang", "h.line", "h.col", "h.as_is", "h.cand").alias("x"))
+    first = found.groupBy("doc_id", "sent", "ord", "row_id").agg(F.min_by("x", "cand").alias("x"))
+    rule = F.when(F.col("x.soft"), "domain").otherwise("lexicon").alias("rule")
+    return first.select("doc_id", "sent", "ord", "row_id", rule, (~F.col("x.soft")).alias("hard"), F.col("x.word").alias("match"), "x.cand", "x.line", "x.col", "x.as_is", "x.slang")
 
 
 def phrases(docs: DataFrame, rows: list[dict]) -> DataFrame:
     """``doc_id, sent, ord, row_id, match``: phrases of words that only spaces part; no word is allowed away."""
-    return placed_phrases(docs, rows).drop("token", "size")
+    return placed_phrases(docs, rows).select("doc_id", "sent", "ord", "row_id", "match")
 
 
-def placed_phrases(docs: DataFrame, rows: list[dict]) -> DataFrame:
-    """Those of ``phrases``, with ``token``, the place of the first word among the sentence's tokens, and ``size``."""
-    spark = docs.sparkSession
-    forms = surface_forms(spark, rows).where("size > 1")
-    pieces = F.regexp_extract_all("text", F.lit(rf"{T.PROSE_TOKEN}|[^\p{{L}}\p{{Nd}}_]+"), F.lit(0))
-    # Tokens and what parts them take turns, so half of a place is the place among tokens.
-    numbered = F.transform(F.array_append(pieces, F.lit("")), lambda x, i: F.struct(x.alias("tok"), (i / 2).cast("int").alias("token")))
-    kept = F.filter(numbered, lambda x: ~x["tok"].rlike(r"^[ \t\x{A0}]+$"))
-    cover = rules_ru.sentences(docs).select("doc_id", "sent", F.posexplode(kept).alias("ord", "x")).select("doc_id", "sent", "ord", "x.tok", "x.token")
-    words = cover.withColumn("word", T.normalised(F.col("tok")))
-    # A number meets the sign for numbers as well as its own spelling.
-    words = words.unionByName(words.where(F.col("word").rlike(r"^\p{Nd}+$")).withColumn("word", F.lit("#")))
-    forms = forms.select("row_id", "phrase", "pos", "size", F.coalesce("form", F.lit("#")).alias("word"))
-    at = words.join(forms, "word").withColumn("start", F.col("ord") - F.col("pos"))
-    found = at.groupBy("doc_id", "sent", "start", "row_id", "phrase", "size").agg(F.count_distinct("pos").alias("n"), F.min("token").alias("token"), F.sort_array(F.collect_set(F.struct("pos", "tok"))).alias("w"))
+def token_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, sent, line, ord, tok, col, joined, word``: tokens; ``joined`` if only spaces part one from the token before."""
+    rows = rules_ru.placed(docs)
+
+    def joined(tokens: Column, text: Column, start: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            before = F.get(tokens, i - 1)
+            end = before["col"] + F.length(before["tok"])
+            gap = F.substr(text, end - start + 1, t["col"] - end)
+            return F.struct(t["tok"].alias("tok"), t["col"].alias("col"), F.when(i > 0, gap.rlike(r"^[ \t\x{A0}]+$")).otherwise(False).alias("joined"))
+
+        return F.transform(tokens, one)
+
+    each = T.let(rules_ru.placed_tokens(F.col("text"), F.col("col")), lambda t: joined(t, F.col("text"), F.col("col")))
+    rows = rows.select("doc_id", "sent", "line", F.posexplode(each).alias("ord", "t")).select("doc_id", "sent", "line", "ord", "t.*")
+    return rows.withColumn("word", T.normalised(F.col("tok")))
+
+
+def matched(words: DataFrame, forms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Phrases of ``forms(row_id, phrase, pos, size, word)`` in ``words`` (as ``token_words``, ``word`` may repeat).
+
+    ``doc_id, sent, ord, row_id, phrase, size, match, line, col, width``: the first token's place and how far the phrase goes.
+    """
+    at = words.join(forms, "word").withColumn("start", F.col("ord") - F.col("pos")).where("pos = 0 OR joined")
+    token = F.struct("pos", "tok", "col")
+    found = at.groupBy("doc_id", "sent", "start", "row_id", "phrase", "size", *keep).agg(F.count_distinct("pos").alias("n"), F.min("line").alias("line"), F.sort_array(F.collect_set(token)).alias("w"))
     found = found.where("n = size")
-    return found.select("doc_id", "sent", F.col("start").alias("ord"), "row_id", F.array_join("w.tok", " ").alias("match"), "token", "size")
+    last = F.element_at("w", -1)
+    width = (last["col"] + F.length(last["tok"]) - F.element_at("w", 1)["col"]).alias("width")
+    return found.select("doc_id", "sent", F.col("start").alias("ord"), "row_id", "phrase", "size", F.array_join("w.tok", " ").alias("match"), "line", F.element_at("w", 1)["col"].alias("col"), width, *keep)
+
+
+def with_numbers(words: DataFrame) -> DataFrame:
+    """Numbers meet the sign for numbers as well as their own spelling."""
+    return words.unionByName(words.where(F.col("word").rlike(r"^\p{Nd}+$")).withColumn("word", F.lit("#")))
+
+
+def placed_phrases(docs: DataFrame, rows: list[dict], column: str = "term", least: int = 2) -> DataFrame:
+    """Phrases of ``least`` words or more: ``doc_id, sent, ord, row_id, phrase, size, match, line, col, width``."""
+    forms = surface_forms(docs.sparkSession, rows, column).where(F.col("size") >= least)
+    forms = forms.select("row_id", "phrase", "pos", "size", F.coalesce("form", F.lit("#")).alias("word"))
+    return matched(with_numbers(token_words(docs)), forms)
+
+
+def english_forms(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """``row_id, phrase, pos, size, word``: English patterns; a stem keeps its asterisk."""
+    out = [(i, j, k, len(p), w) for i, r in enumerate(rows) for j, p in enumerate(english_phrases(r["english"])) for k, w in enumerate(p)]
+    return spark.createDataFrame(out, "row_id int, phrase int, pos int, size int, word string")
+
+
+def english_phrases_of(docs: DataFrame, rows: list[dict]) -> DataFrame:
+    """English phrases of the rows' patterns in the prose, as ``matched`` gives them.
+
+    A stem joins by equality too: tokens are cut to each of the lengths that stems have.
+    """
+    words = token_words(docs).withColumn("word", F.lower("tok"))
+    lengths = sorted({len(w) - 1 for r in rows for p in english_phrases(r["english"]) for w in p if w.endswith("*") and w != "#"})
+    every = with_numbers(words)
+    for n in lengths:
+        every = every.unionByName(words.where(F.length("word") >= n).withColumn("word", F.concat(F.left("word", F.lit(n)), F.lit("*"))))
+    return matched(every, english_forms(docs.sparkSession, rows))
+
+
+#: Tables in the order of a look-up: the column of Russian patterns, and whether there are English ones too.
+LOOKED_UP = {"glossary-en-ru": ("never", True), "hedges-en-ru": ("russian", True), "ru-non-approved": ("term", False), "ru-allowed": ("term", False), "ru-domain": ("term", False)}
 
 
 def lookup(spark: SparkSession, terms: list[str], lexicon: dict[str, list[dict]] = SEED) -> DataFrame:
-    """``term, table, row_id``: rows with a phrase that the term matches word by word."""
-    wanted = [(t, k, w.lower().replace("ё", "е"), len(t.split())) for t in terms for k, w in enumerate(t.split())]
-    words = spark.createDataFrame(wanted, "term string, pos int, word string, n int")
-    out = None
-    for name, rows in lexicon.items():
-        forms = surface_forms(spark, rows)
-        hit = words.join(forms, (words.pos == forms.pos) & (words.n == forms.size) & ((words.word == forms.form) | (forms.form.isNull() & words.word.rlike(r"^\p{Nd}+$"))))
-        hit = hit.groupBy("term", "n", "row_id", "phrase").agg(F.count_distinct(words.pos).alias("k")).where("k = n")
-        hit = hit.select("term", F.lit(name).alias("table"), "row_id").distinct()
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    """``term, table, row_id``: rows of all tables with a phrase that the term matches word by word.
+
+    English patterns match too, and a row of the glossary whose Russian cells hold the term, if
+    it has three letters or more.
+    """
+    fold = lambda x: x.lower().replace("ё", "е")
+    wanted = [(t, k, fold(w), w.lower(), len(t.split())) for t in dict.fromkeys(terms) for k, w in enumerate(t.split())]
+    words = spark.createDataFrame(wanted, "term string, pos int, word string, low string, n int")
+    number = F.col("word").rlike(r"^\p{Nd}+$")
+    # Each word under its spelling and, if it is a number, the sign for numbers: joins by equality.
+    russian = words.unionByName(words.where(number).withColumn("word", F.lit("#")))
+    out = spark.createDataFrame([], "term string, table string, row_id int")
+    for name, (column, has_english) in LOOKED_UP.items():
+        rows = lexicon.get(name, [])
+        if not rows:
+            continue
+        found = [(russian, surface_forms(spark, rows, column).withColumn("word", F.coalesce("form", F.lit("#"))))]
+        if has_english:
+            low = words.withColumn("word", F.col("low"))
+            every = low.unionByName(low.where(number).withColumn("word", F.lit("#")))
+            for n in sorted({len(w) - 1 for r in rows for p in english_phrases(r["english"]) for w in p if w.endswith("*")}):
+                every = every.unionByName(low.where(F.length("word") >= n).withColumn("word", F.concat(F.left("word", F.lit(n)), F.lit("*"))))
+            found.append((every, english_forms(spark, rows)))
+        for given, forms in found:
+            hit = given.join(forms.select("row_id", "phrase", "pos", "size", "word"), ["pos", "word"]).where("n = size")
+            hit = hit.groupBy("term", "n", "row_id", "phrase").agg(F.count_distinct("pos").alias("k")).where("k = n")
+            out = out.unionByName(hit.select("term", F.lit(name).alias("table"), "row_id"))
+        if name == "glossary-en-ru":
+            held = [(t, name, i) for t in dict.fromkeys(terms) if len(fold(t)) >= 3 for i, r in enumerate(rows) if fold(t) in fold(r["preferred"]) or fold(t) in fold(r["also_ok"])]
+            out = out.unionByName(spark.createDataFrame(held, "term string, table string, row_id int"))
+    return out.distinct()
+
+
+def lookup_lines(spark: SparkSession, terms: list[str], lexicon: dict[str, list[dict]] = FULL) -> DataFrame:
+    """``term, found, lines, entries``: a look-up as text and as JSON, for each term in order; ``found`` counts its rows.
+
+    The status of a look-up is 1 if the sum of ``found`` is 0.
+    """
+    cells = []
+    for rank, name in enumerate(LOOKED_UP):
+        shown = [c for c in TABLES[name] if c not in ("domain_cues", "slang_cues")] + (["example"] if name == "ru-non-approved" else [])
+        for i, r in enumerate(lexicon.get(name, [])):
+            own = {c: r.get(c, "") for c in shown}
+            line = f"[{name}] " + " | ".join(f"{k}: {v}" for k, v in own.items())
+            cells.append((rank, name, i, line, json.dumps({"table": name, "cells": own}, ensure_ascii=False)))
+    rows = spark.createDataFrame(cells, "rank int, table string, row_id int, line string, entry string")
+    hits = lookup(spark, terms, lexicon).join(rows, ["table", "row_id"])
+    found = hits.groupBy("term").agg(F.count("*").alias("found"), F.sort_array(F.collect_list(F.struct("rank", "row_id", "line", "entry"))).alias("x"))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(dict.fromkeys(terms))], "place int, term string")
+    lines = F.coalesce(F.transform("x.line", lambda x: F.concat("term", F.lit(" → "), x)), F.array(F.concat("term", F.lit(": no entry"))))
+    entries = F.concat(F.lit("["), F.coalesce(F.array_join("x.entry", ","), F.lit("")), F.lit("]"))
+    return asked.join(found, "term", "left").select("place", "term", F.coalesce("found", F.lit(0)).alias("found"), lines.alias("lines"), entries.alias("entries"))
+
+
+def status(lines: DataFrame) -> DataFrame:
+    """``exit_code`` of a look-up: 1 if no term has an entry."""
+    return lines.agg((F.coalesce(F.sum("found"), F.lit(0)) == 0).cast("int").alias("exit_code"))

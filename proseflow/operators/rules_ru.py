@@ -1,4 +1,4 @@
-"""The rules for Russian that need no inflected lexicon: scripts, sentence length, clause breaks; and the verdict over all."""
+"""The rules for Russian that need no inflected lexicon: masks and places, scripts, sentence length, clause breaks."""
 
 from __future__ import annotations
 
@@ -9,27 +9,109 @@ from proseflow.functions import text as T
 
 SENTENCE_LIMIT = 25
 CLAUSE_LIMIT = 2
-#: Stands for an inline code span.
-SPAN = "\ue000"
-FENCE = r"(?ms)^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\z)"
+#: Stand for the first character of an inline code span, that of an address, and every other one of code.
+SPAN, ADDRESS, CODE = "\ue000", "\ue001", "\ue003"
 INLINE = r"(?<!`)(`+)(?!`)([^\n]*?)(?<!`)\1(?!`)"
-URL = r"https?://[^\s]+"
+URL = r"https?://[^\s)>\]]+"
+#: A line in full: spans, addresses, and what is neither.
+_COVER = rf"{INLINE}|`+|{URL}|h|[^`h]+"  # an address starts with "http"; an "h" alone is not one
 _WORD = r"[\p{L}\p{Nd}_]"
+#: A stop with its closers before white space that no lower case follows.
+_STOP = rf"([.!?…][.!?…»\")*]*)(\s+)(?=[^\p{{Ll}}\s{ADDRESS}])"
+_CUT = "\ue002"
 
 #: A small list of Latin words that Russian prose may hold; users give their own.
 ALLOWED = frozenset("api json http sql linux docker kafka spark go".split())
 
 
+def _fences(lines: Column) -> Column:
+    """``first, last`` of the lines of each fenced block; one that is not closed goes on to the end.
+
+    A fence is a line that starts with three backticks or tildes; it closes at the next that starts with the same.
+    """
+    starts = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, r"^\s*(```|~~~)", 1).alias("mark")))
+    none = F.expr("array()").cast("array<struct<first:int,last:int>>")
+    begin = F.struct(F.lit("").alias("open"), F.lit(0).alias("since"), none.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        opens, closes = s["open"] == "", s["open"] == x["mark"]
+        block = F.struct(s["since"].alias("first"), x["at"].alias("last"))
+        return F.struct(
+            F.when(opens, x["mark"]).when(closes, "").otherwise(s["open"]).alias("open"),
+            F.when(opens, x["at"]).otherwise(s["since"]).alias("since"),
+            F.when(~opens & closes, F.array_append(s["out"], block)).otherwise(s["out"]).alias("out"),
+        )
+
+    rest = lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.array_append(s["out"], F.struct(s["since"].alias("first"), F.size(lines).alias("last"))))
+    return F.aggregate(F.filter(starts, lambda x: x["mark"] != ""), begin, step, rest)
+
+
+def _line(line: Column) -> Column:
+    """A line of prose with spans and addresses masked, as long as before."""
+    masked = lambda x, mark: F.concat(F.lit(mark), F.repeat(F.lit(CODE), F.length(x) - 1))
+    one = lambda x: F.when(x.rlike("^`+[^`]"), masked(x, SPAN)).when(x.startswith("http"), masked(x, ADDRESS)).otherwise(x)
+    covered = F.array_join(F.transform(F.regexp_extract_all(line, F.lit(_COVER), F.lit(0)), one), "")
+    return F.when(line.rlike("`|https?://"), covered).otherwise(line)
+
+
+def masked_lines(text: Column) -> Column:
+    """The lines of a text, each as long as it was, with code and addresses masked."""
+
+    def of(lines: Column) -> Column:
+        blank = lambda x: F.repeat(F.lit(CODE), F.length(x))
+        inside = lambda blocks, i: F.exists(blocks, lambda b: (b["first"] <= i) & (i <= b["last"]))
+        fenced = T.let(_fences(lines), lambda blocks: F.transform(lines, lambda x, i: F.when(inside(blocks, i), blank(x)).otherwise(_line(x))))
+        return F.when(text.rlike("```|~~~"), fenced).otherwise(F.transform(lines, _line))
+
+    plain = F.split(text, "\n", -1)
+    return F.when(text.rlike("`|~~~|https?://"), T.let(plain, of)).otherwise(plain)
+
+
 def prose(text: Column) -> Column:
-    """Text with fenced code and addresses blank and inline code as one SPAN each."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, FENCE, ""), INLINE, SPAN), URL, " ")
+    """The text with code and addresses as spaces, every other character in its place."""
+    return F.translate(F.array_join(masked_lines(text), "\n"), SPAN + ADDRESS + CODE, "   ")
+
+
+def placed_sentences(text: Column) -> Column:
+    """Sentences with at least one word: ``line, col, text, raw, around``.
+
+    Per line, after a stop and its closers, unless lower case follows.  ``text`` has code masked,
+    ``raw`` has it as it stands, ``around`` is the text between what stands before and after it
+    in the document: a space in place of white space, and the last character before that.
+    """
+
+    def of_line(line: Column, raw: Column, i: Column, lines: Column) -> Column:
+        pieces = F.split(F.regexp_replace(line, _STOP, f"$1$2{_CUT}"), _CUT, -1)
+        begin = F.struct(F.lit(1).alias("at"), F.expr("array()").cast("array<struct<at:int,piece:string>>").alias("out"))
+        step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("piece"))).alias("out"))
+        placed = F.when(F.size(pieces) == 1, F.array(F.struct(F.lit(1).alias("at"), line.alias("piece")))).otherwise(F.aggregate(pieces, begin, step)["out"])
+        # Only a conjunction that starts a line asks what the lines before it end with.
+        before = F.when(
+            line.rlike(r"^\s*(?:а|но|при)(?!\p{L})"),
+            F.coalesce(F.element_at(F.filter(F.transform(F.slice(lines, 1, i), lambda x: F.regexp_extract(x, r"(\S)\s*$", 1)), lambda x: x != ""), -1), F.lit("")),
+        ).otherwise("")
+
+        def one(p: Column, k: Column) -> Column:
+            lead = F.length(F.regexp_extract(p["piece"], r"^\s*", 0))
+            first, last = k == 0, p["at"] + F.length(p["piece"]) > F.length(line)
+            front = F.when(first, F.when(i == 0, "").otherwise(F.concat(before, F.lit(" ")))).otherwise(" ")
+            return F.struct(
+                (i + 1).alias("line"), (p["at"] + lead).alias("col"), F.regexp_replace(p["piece"], r"^\s+|\s+\z", "").alias("text"),
+                F.regexp_replace(F.substr(raw, p["at"], F.length(p["piece"])), r"^\s+|\s+\z", "").alias("raw"),
+                F.concat(front, p["piece"], F.when(last & (i + 1 < F.size(lines)), " ").otherwise("")).alias("around"),
+            )
+
+        return F.filter(T.let(placed, lambda found: F.transform(found, one)), lambda s: s["text"].rlike(_WORD))
+
+    def of(lines: Column, raw: Column) -> Column:
+        return F.flatten(F.transform(lines, lambda x, i: of_line(x, F.get(raw, i), i, raw)))
+
+    return T.let(F.split(text, "\n", -1), lambda raw: T.let(masked_lines(text), lambda lines: of(lines, raw)))
 
 
 def sentences_of(text: Column) -> Column:
-    """Sentences of the prose with at least one word: per line, after a stop and its closers, unless lower case follows."""
-    ends = r"(?<=[.!?…][.!?…»\")]{0,9})\s+(?![\p{Ll}\s])"
-    pieces = F.flatten(F.transform(F.split(prose(text), "\n", -1), lambda line: F.split(line, ends, -1)))
-    return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+\z", "")), lambda s: s.rlike(_WORD))
+    """The texts of ``placed_sentences``."""
+    return F.transform(placed_sentences(text), lambda s: s["text"])
 
 
 def tokens_of(sentence: Column) -> Column:
@@ -46,11 +128,18 @@ def length_of(sentence: Column) -> Column:
 
 
 def clause_breaks(sentence: Column) -> Column:
-    """Commas and semicolons, dashes between spaces, and conjunctions that follow none of these."""
+    """Commas and semicolons, dashes between spaces, and conjunctions that follow none of these.
+
+    sentence: with what stands around it, as ``around`` of ``placed_sentences`` or alone.
+    """
     marks = r"[,;]|(?<=\s)[—–](?=\s)"
     ends = rf"(?!{_WORD}|[-'’]{_WORD})"
-    words = rf"(?<!{_WORD})(?<!{_WORD}[-'’])(?<![,;—–]\s{{0,9}})(?:а|но|при(?=[^\p{{L}}\p{{Nd}}_]+этом{ends})){ends}"
-    return F.regexp_count(sentence, F.lit(marks)) + F.regexp_count(sentence, F.lit(words))
+    words = rf"(?<!{_WORD})(?<!{_WORD}[-'’])(?<![,;—–])(?:а|но|при(?=[^\p{{L}}\p{{Nd}}_]+этом{ends})){ends}"
+    # White space after a mark goes, so that the mark stands right before what follows it.
+    count = lambda s: F.regexp_count(s, F.lit(marks)) + F.regexp_count(F.regexp_replace(s, r"([,;—–])\s+", "$1"), F.lit(words))
+    # What stands before the sentence is no part of it.
+    extra = F.when(sentence.rlike(r"^[,;]\s"), 1).otherwise(0)
+    return count(sentence) - extra
 
 
 def is_allowed_latin(token: Column, allowed: frozenset[str] = ALLOWED) -> Column:
@@ -70,25 +159,36 @@ def is_glued(token: Column) -> Column:
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """``doc_id, sent, text``."""
-    rows = docs.select("doc_id", F.posexplode(sentences_of(F.col("text"))).alias("sent", "text"))
-    return rows.select("doc_id", (F.col("sent") + 1).alias("sent"), "text")
+    """``doc_id, sent, text``, with one SPAN for inline code and a space for an address."""
+    text = F.translate(F.translate(F.col("text"), CODE, ""), ADDRESS, " ")
+    return placed(docs).select("doc_id", "sent", F.regexp_replace(text, r"^\s+|\s+\z", "").alias("text"))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, col, tok``: positions count code points from 1, in the text with code blank.
+def placed(docs: DataFrame, *others: Column) -> DataFrame:
+    """``doc_id, sent, line, col, text, raw, around`` and other columns of the documents."""
+    rows = docs.select("doc_id", *others, F.posexplode(placed_sentences(F.col("text"))).alias("sent", "s"))
+    return rows.withColumn("sent", F.col("sent") + 1).select("*", "s.*").drop("s")
+
+
+def placed_tokens(sentence: Column, col: Column) -> Column:
+    """``tok, col``: the tokens of a sentence that starts in this column.
 
     A pattern that covers the text gives tokens and gaps; lengths of what comes before are offsets.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(prose(F.col("text")), "\n", -1)).alias("line", "s"))
-    pieces = F.regexp_extract_all("s", F.lit(rf"{T.PROSE_TOKEN}|[^\p{{L}}\p{{Nd}}_]+"), F.lit(0))
-    start = F.struct(F.lit(1).alias("at"), F.expr("array()").cast("array<struct<col:int,tok:string>>").alias("out"))
+    pieces = F.regexp_extract_all(sentence, F.lit(rf"{T.PROSE_TOKEN}|[^\p{{L}}\p{{Nd}}_]+"), F.lit(0))
+    start = F.struct(col.cast("int").alias("at"), F.expr("array()").cast("array<struct<tok:string,col:int>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        return F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("col"), x.alias("tok")))).alias("out"))
+        out = F.when(x.rlike("^" + _WORD), F.array_append(a["out"], F.struct(x.alias("tok"), a["at"].alias("col")))).otherwise(a["out"])
+        return F.struct((a["at"] + F.length(x)).alias("at"), out.alias("out"))
 
-    rows = lines.select("doc_id", (F.col("line") + 1).alias("line"), F.explode(F.aggregate(pieces, start, step)["out"]).alias("t"))
-    return rows.select("doc_id", "line", "t.col", "t.tok").where(F.col("tok").rlike(_WORD))
+    return F.aggregate(pieces, start, step)["out"]
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """``doc_id, line, col, tok``: positions count code points from 1."""
+    rows = placed(docs).select("doc_id", "line", F.explode(placed_tokens(F.col("text"), F.col("col"))).alias("t"))
+    return rows.select("doc_id", "line", "t.col", "t.tok")
 
 
 def findings(docs: DataFrame, allowed: frozenset[str] = ALLOWED) -> DataFrame:
@@ -111,34 +211,19 @@ def placed_findings(docs: DataFrame, allowed: frozenset[str] = ALLOWED) -> DataF
         ),
     )
     per_sentence = F.array(
-        F.when(length_of(s) > SENTENCE_LIMIT, finding("length", False, length_of(s).cast("string"))),
-        F.when(clause_breaks(s) > CLAUSE_LIMIT, finding("facts", False, clause_breaks(s).cast("string"))),
+        T.let(length_of(s), lambda n: F.when(n > SENTENCE_LIMIT, finding("length", False, n.cast("string")))),
+        T.let(clause_breaks(F.col("around")), lambda n: F.when(n > CLAUSE_LIMIT, finding("facts", False, n.cast("string")))),
     )
-    rows = sentences(docs).select("doc_id", "sent", F.explode(F.array_compact(F.concat(per_token, per_sentence))).alias("f"))
+    rows = placed(docs).select("doc_id", "sent", F.explode(F.array_compact(F.concat(per_token, per_sentence))).alias("f"))
     return rows.select("doc_id", "sent", "f.*")
 
 
 def verdict(docs: DataFrame, lexicon: dict[str, list[dict]] | None = None, allowed: frozenset[str] = ALLOWED) -> DataFrame:
     """``doc_id, hard, soft, exit_code``: a row for each document, 1 if any finding is hard.
 
-    Counts the findings of this module, banned words and banned phrases.  A glued token that
+    Counts banned words and phrases and the findings of this module.  A glued token that
     the lexicon allows is none, nor is a Latin token that is a banned word or part of a phrase.
     """
-    from proseflow.operators import lexicon_ru
-
-    lexicon = lexicon_ru.SEED if lexicon is None else lexicon
-    words = lexicon_ru.single_words(docs, lexicon)
-    phrases = lexicon_ru.placed_phrases(docs, lexicon["ru-non-approved"])
-    rows = [r for r in lexicon["ru-allowed"] if r["class"] in ("glued", "loanword")]
-    fine = lexicon_ru.surface_forms(docs.sparkSession, rows).where("size = 1").select(F.col("form").alias("word")).distinct()
-    own = placed_findings(docs, allowed)
-    rest = own.where("rule NOT IN ('glued', 'latin-prose')")
-    glued = own.where("rule = 'glued'").withColumn("word", T.normalised(F.col("match"))).join(fine, "word", "left_anti")
-    taken = words.select("doc_id", "sent", "ord").unionByName(phrases.select("doc_id", "sent", F.explode(F.sequence("token", F.expr("token + size - 1"))).alias("ord")))
-    latin = own.where("rule = 'latin-prose'").join(taken, ["doc_id", "sent", "ord"], "left_anti")
-    hard = [x.select("doc_id", "hard") for x in (rest, glued, latin, words)]
-    every = phrases.select("doc_id", F.lit(True).alias("hard"))
-    for x in hard:
-        every = every.unionByName(x)
-    found = every.groupBy("doc_id").agg(F.count_if("hard").alias("hard"), F.count_if(~F.col("hard")).alias("soft"))
-    return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, ["hard", "soft"]).withColumn("exit_code", (F.col("hard") > 0).cast("int"))
+    from proseflow.operators import gate_ru, lexicon_ru
+
+    return gate_ru.verdict(docs, gate_ru.text_findings(docs, lexicon_ru.SEED if lexicon is None else lexicon, allowed))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from proseflow.functions import text as T
+from proseflow.operators import fidelity as FI
+from proseflow.operators import glossary as G
+from proseflow.operators import lexicon_ru as L
 from proseflow.operators import rules_en as E
 from proseflow.operators import rules_ru
 from proseflow.operators import segments as S
@@ -167,12 +170,30 @@ def first_bounded(text: str, alternatives: list[str], tail: bool) -> str:
     return f"regexp_extract({text}, {q('(?i)(?:^|[^\\p{L}\\p{N}_])(' + '|'.join(map(T.escaped, alternatives)) + ')' + after)}, 1)"
 
 
+def masked(docs: str, column: str = "text", key: str = "doc_id") -> str:
+    """CTEs ``ls`` and ``prose_lines(key, n, raw, line)``: lines with code and addresses blank, every character in its place.
+
+    A line is in a fence if it is one or an odd number of fences stand before it; spans have one
+    backtick, so every second piece between backticks of a line is code.
+    """
+    fence = rx("raw", r"^\s*```")
+    parts = "string_split(raw, '`')"
+    span = f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i % 2 = 0 AND i < len({parts}) THEN repeat(' ', CAST(length(p) + 2 AS BIGINT)) ELSE p END), '')"
+    http = r"https?://[^\s)>\]]+"
+    address = "array_to_string(list_transform(" + every("span", http + "|h|[^h]+") + f", lambda p: CASE WHEN {rx('p', '^' + http)} THEN repeat(' ', CAST(length(p) AS BIGINT)) ELSE p END), '')"
+    return f"""raw_lines AS (SELECT {key}, n, xs[n] AS raw FROM (SELECT {key}, string_split({column}, chr(10)) AS xs FROM ({docs})), unnest(range(1, len(xs) + 1)) AS t(n)),
+fenced AS (SELECT *, {fence} AS is_fence, coalesce(sum(CASE WHEN {fence} THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM raw_lines),
+spanned AS (SELECT *, CASE WHEN is_fence OR before % 2 = 1 THEN repeat(' ', CAST(length(raw) AS BIGINT)) WHEN contains(raw, '`') THEN {span} ELSE raw END AS span FROM fenced),
+prose_lines AS (SELECT {key}, n, raw, CASE WHEN contains(span, '://') THEN {address} ELSE span END AS line FROM spanned)"""
+
+
 def prose(text: str) -> str:
-    return sub(sub(sub(text, r"(?ms)^[ \t]*```[^\n]*\n.*?^[ \t]*```[^\n]*$"), "`[^`\n]+`", rules_ru.SPAN), r"https?://[^\s]+", " ")
+    """A text for one that has no need of places: fences gone, a span one character, an address a space."""
+    return sub(sub(sub(text, r"(?ms)^[ \t]*```[^\n]*\n.*?^[ \t]*```[^\n]*$"), "`[^`\n]+`", rules_ru.SPAN), r"https?://[^\s)>\]]+", " ")
 
 
 def russian_ctes(docs: str) -> str:
-    ends = sub("line", r"([.!?…][.!?…»\")]*)\s+([^\p{Ll}\s])", "\\1\x01\\2")
+    ends = sub("line", r"([.!?…][.!?…»\")*]*)\s+([^\p{Ll}\s])", "\\1\x01\\2")
     return f"""
 WITH docs AS (SELECT doc_id, {prose('text')} AS text FROM ({docs})),
 lines AS (SELECT doc_id, i AS n, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs), unnest(range(1, len(ls) + 1)) AS t(i)),
@@ -180,6 +201,107 @@ pieces AS (SELECT doc_id, n, j, {sub('ss[j]', r'^\s+|\s+$')} AS text FROM (SELEC
 sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, j) AS sent, text FROM pieces WHERE {rx('text', r'[\p{L}\p{Nd}_]')})"""
 
 
+_ENDS = "(VALUES " + ", ".join(f"({q(c)}, {q(e)})" for c, e in [("n", e) for e in L.NOUN_ENDINGS] + [("v", e) for e in L.verb_endings()] + [(" ", "")]) + ")"
+
+
+def values(rows: list[dict], column: str = "term") -> str:
+    """Patterns of single words as DuckDB values: row_id, head (prefix and stem), class."""
+    cell = lambda r: r[column] if column == "term" else L.russian_cell(r[column])
+    out = [(i, p + w["stem"], c) for i, r in enumerate(rows) for phrase in L.parse_term(cell(r)) if len(phrase) == 1 for w in phrase for p in w["prefixes"] for c in w["classes"] or " "]
+    return "(VALUES " + ", ".join(f"({i}, {q(h)}, {q(c)})" for i, h, c in out) + ")"
+
+
+def match_sql(rows: list[dict], column: str = "term") -> str:
+    """Distinct words split into head and tail wherever possible: another algorithm than expansion."""
+    return f"SELECT DISTINCT w.word, p.row_id FROM splits w JOIN {values(rows, column)} AS p(row_id, head, class) ON w.head = p.head JOIN ends e ON e.class = p.class AND e.ending = w.tail"
+
+
+_LOANS = [i for i, r in enumerate(L.SEED["ru-allowed"]) if r["class"] in ("loanword", "latin")]
+_GLUED = [i for i, r in enumerate(L.SEED["ru-allowed"]) if r["class"] in ("loanword", "glued")]
+
+
+def word_ctes(sents: str) -> str:
+    """From ``sents(doc_id, sent, text)``: tokens, their candidates, and which words the seed's tables have."""
+    return f"""{sents},
+ends AS (SELECT * FROM {_ENDS} AS e(class, ending)),
+t AS (SELECT doc_id, sent, i - 1 AS ord, ts[i] AS tok FROM (SELECT doc_id, sent, {every('text', T.PROSE_TOKEN)} AS ts FROM sents), unnest(range(1, len(ts) + 1)) AS u(i)),
+parts AS (SELECT *, regexp_split_to_array(tok, '[-''’]') AS ps FROM t),
+cands AS (SELECT doc_id, sent, ord, 0 AS cand, tok AS raw FROM parts UNION ALL SELECT doc_id, sent, ord, i, ps[i] FROM parts, unnest(range(1, len(ps) + 1)) AS u(i) WHERE len(ps) > 1),
+words AS (SELECT *, replace(lower(raw), 'ё', 'е') AS word FROM cands),
+splits AS (SELECT word, left(word, n) AS head, substr(word, n + 1) AS tail FROM (SELECT DISTINCT word FROM words), unnest(range(1, length(word) + 1)) AS u(n)),
+allowed AS ({match_sql(L.SEED['ru-allowed'])}), banned AS ({match_sql(L.SEED['ru-non-approved'])}),
+left_over AS (SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM words v JOIN allowed a ON a.word = v.word WHERE v.cand = 0 AND v.doc_id = w.doc_id AND v.sent = w.sent AND v.ord = w.ord)
+              AND NOT (cand > 0 AND word IN (SELECT word FROM allowed WHERE row_id IN ({', '.join(map(str, _LOANS))})))),
+lexicon AS (SELECT doc_id, sent, ord, row_id, arg_min(l.word, cand) AS match FROM left_over l JOIN banned b ON b.word = l.word GROUP BY ALL)"""
+
+
+_W = "[" + r"\p{L}\p{Nd}_" + "]"
+
+
+def finding_ctes(docs: str) -> str:
+    """All findings of a text by itself with the seed: ``found(doc_id, rule, hard)``."""
+    low = "replace(lower(text), 'ё', 'е')"
+    cue = lambda cell: rf"(^|[^\p{{L}}\p{{Nd}}_])(" + "|".join(c.strip() for c in cell.split(",")) + ")"
+    row = L.SEED["ru-domain"][0]  # the seed's only row; its words are those of row 2 of the banned table
+    conj = (
+        "list_count(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN (ps[i] IN ('а', 'но') OR (ps[i] = 'при' AND ps[i + 2] = 'этом'))"
+        f" AND NOT coalesce({rx('ps[i - 1]', '[,;—–]' + chr(92) + 's*$')}, false) THEN 1 END))"
+    )
+    phrase = (
+        "list_count(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN "
+        + rx("replace(lower(ps[i]), 'ё', 'е')", "^код(" + "|".join(L.NOUN_ENDINGS) + ")$") + " AND " + rx("ps[i + 1]", "^[ \t]+$") + " AND "
+        + rx("replace(lower(ps[i + 2]), 'ё', 'е')", "^написан(" + "|".join(L.NOUN_ENDINGS) + ")$") + " THEN 1 END))"
+    )
+    fine = rf"(len(list_filter(ps, lambda p: NOT (length(p) = 1 OR {rx('p', r'^(\p{Nd}+|[A-Za-z]{1,2}[0-9]+)$')} OR lower(p) IN {listed(sorted(rules_ru.ALLOWED | {'api'}))}))) = 0)"
+    glued = f"{rx('tok', '[A-Za-z]')} AND {rx('tok', chr(92) + 'p{Cyrillic}')} AND NOT (starts_with(lower(tok), 'не-') AND NOT {rx('substr(tok, 4)', chr(92) + 'p{Cyrillic}')})"
+    return f"""{word_ctes(russian_ctes(docs))},
+cover AS (SELECT doc_id, sent, text, {every('text', T.PROSE_TOKEN + '|[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}_]+')} AS ps FROM sents),
+breaks AS (SELECT doc_id, sent, len({every('text', '[,;]')}) + len({every('text', chr(92) + 's[—–]' + chr(92) + 's')}) + {conj} AS n FROM cover),
+phrases AS (SELECT doc_id, sent, {phrase} AS n FROM cover),
+in_domain AS (SELECT DISTINCT doc_id FROM ({docs}) WHERE {rx(low, cue(row['domain_cues']))}),
+slang AS (SELECT doc_id, sent FROM sents WHERE {rx(low, cue(row['slang_cues']))}),
+lex AS (SELECT l.*, row_id = 2 AND d.doc_id IS NOT NULL AND s.doc_id IS NULL AS soft FROM lexicon l LEFT JOIN in_domain d ON d.doc_id = l.doc_id LEFT JOIN slang s ON s.doc_id = l.doc_id AND s.sent = l.sent),
+glued AS (SELECT doc_id, sent, tok FROM parts WHERE {glued} AND replace(lower(tok), 'ё', 'е') NOT IN (SELECT word FROM allowed WHERE row_id IN ({', '.join(map(str, _GLUED))}))),
+latin AS (SELECT doc_id, sent, tok FROM parts p WHERE {rx('tok', '[A-Za-z]')} AND NOT {rx('tok', chr(92) + 'p{Cyrillic}')} AND NOT {fine} AND lower(tok) NOT IN {listed(sorted(rules_ru.ALLOWED | {'api'}))}
+          AND NOT EXISTS (SELECT 1 FROM lex l WHERE l.doc_id = p.doc_id AND l.sent = p.sent AND l.ord = p.ord)),
+long AS (SELECT doc_id, sent FROM sents WHERE len({every('text', T.PROSE_TOKEN)}) + length({sub('text', f'[^{rules_ru.SPAN}]')}) > {rules_ru.SENTENCE_LIMIT}),
+found AS (SELECT doc_id, CASE WHEN soft THEN 'domain' ELSE 'lexicon' END AS rule, NOT soft AS hard FROM lex
+  UNION ALL SELECT doc_id, 'lexicon', true FROM phrases, unnest(range(n)) AS u(k) UNION ALL SELECT doc_id, 'glued', true FROM glued
+  UNION ALL SELECT doc_id, 'latin-prose', false FROM latin UNION ALL SELECT doc_id, 'length', false FROM long UNION ALL SELECT doc_id, 'facts', false FROM breaks WHERE n > {rules_ru.CLAUSE_LIMIT})"""
+
+
+def never_ctes() -> str:
+    """What the bilingual seed rules out in targets: ``violations(pair_id, row_id, match)``."""
+    demand = [f"{rx('src', '(?i)(^|[^a-z0-9_])(' + p + ')($|[^a-z0-9_])')}" for p in ("log", "deploy[a-z0-9_]*", "wait [0-9]+ ms")]
+    wanted = " UNION ALL ".join(f"SELECT pair_id AS doc_id, {i} AS row_id FROM sources WHERE {d}" for i, d in enumerate(demand))
+    sents = f"WITH sources AS (SELECT pair_id, {prose('src_text')} AS src, {prose('out_text')} AS out FROM ({PAIRS})), sents AS (SELECT pair_id AS doc_id, 1 AS sent, out AS text FROM sources)"
+    return f"""{word_ctes(sents)},
+wanted AS ({wanted}), never AS ({match_sql(G.BILINGUAL, 'never')}),
+skipped AS (SELECT DISTINCT doc_id, ord FROM words w JOIN allowed a ON a.word = w.word WHERE cand = 0),
+hits AS (SELECT w.doc_id, w.ord, n.row_id, w.cand, w.word FROM words w JOIN never n ON n.word = w.word JOIN wanted x ON x.doc_id = w.doc_id AND x.row_id = n.row_id
+         WHERE NOT EXISTS (SELECT 1 FROM skipped s WHERE s.doc_id = w.doc_id AND s.ord = w.ord)),
+violations AS (SELECT doc_id AS pair_id, row_id, word AS match FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY row_id, cand, word) = 1)"""
+
+
+def hedge_sql() -> str:
+    """Strengths lost by a rewrite, or certainty added, with the small table of hedges."""
+    words = lambda text: every(f"replace(lower({text}), 'ё', 'е')", _W + "+")
+    out = []
+    for strength, (english, russian) in FI.HEDGES.items():
+        count = lambda text, ws: f"len(list_filter({words(text)}, lambda x: x IN {listed([w.replace('ё', 'е') for w in ws])}))"
+        a, b = count("src", english), count("out", russian)
+        out.append(f"SELECT pair_id, {q(strength)} AS match FROM p WHERE {b} {'>' if strength == 'certain' else '<'} {a}")
+    return f"WITH p AS (SELECT pair_id, {prose('src_text')} AS src, {prose('out_text')} AS out FROM ({PAIRS})) " + " UNION ALL ".join(out)
+
+
+def path_sql() -> str:
+    last = "list_extract(string_split(match, '/'), -1)"
+    return f"""WITH p AS (SELECT * FROM ({PAIRS})),
+s AS (SELECT DISTINCT pair_id, src_text, out_text, {sub('m', r'[.]+$')} AS match FROM (SELECT *, unnest({every(prose('src_text'), FI.PATH)}) AS m FROM p))
+SELECT pair_id, match FROM s WHERE (starts_with(match, '/') OR starts_with(match, './') OR {rx(last, FI.FILE_NAME)}) AND {rx('match', '[A-Za-z]')}
+  AND len(list_filter({every('src_text', FI.FILE_LINE)}, lambda x: contains(x, match))) = 0 AND NOT contains(out_text, match)"""
+
+
 def mode(text: str, verbs: list[str]) -> str:
     first = sub(sub(text, T.LIST_MARKER), T.SAFETY_LABEL)
     head = f"lower(regexp_extract({first}, {q("[A-Za-z']+")}, 0))"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseflow.functions import text as T
-from proseflow.operators import dictionary, fidelity, glossary, lexicon_ru, rules_en, rules_ru, segments
+from proseflow.operators import dictionary, fidelity, gate_ru, glossary, lexicon_ru, rules_en, rules_ru, segments
 from proseflow.plans import oracles as O
 from proseflow.sources import tables
 
@@ -172,8 +172,9 @@ def finding_counts(spark, sf_dir):
     return rules_en.findings(documents(spark, sf_dir), verbs=dictionary.verbs()).groupBy("rule", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query(f"SELECT doc_id, {O.prose('text')} AS text FROM ({O.RUSSIAN})")
+@query(f"WITH {O.masked(O.RUSSIAN)} SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM prose_lines GROUP BY doc_id")
 def code_blanked(spark, sf_dir):
+    """Code and addresses as spaces, every other character in its place."""
     return tables.russian(spark, sf_dir).select("doc_id", rules_ru.prose(F.col("text")).alias("text"))
 
 
@@ -192,10 +193,10 @@ def ru_sentence_lengths(spark, sf_dir):
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, i AS line, ls[i] AS s FROM (SELECT doc_id, string_split({O.prose('text')}, chr(10)) AS ls FROM ({O.RUSSIAN})), unnest(range(1, len(ls) + 1)) AS t(i)),
-p AS (SELECT doc_id, line, j, ps[j] AS tok FROM (SELECT doc_id, line, {O.every('s', T.PROSE_TOKEN + '|[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}_]+')} AS ps FROM l), unnest(range(1, len(ps) + 1)) AS t(j)),
-o AS (SELECT *, 1 + coalesce(sum(length(tok)) OVER (PARTITION BY doc_id, line ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM p)
-SELECT doc_id, CAST(line AS INT) AS line, CAST(col AS INT) AS col, tok FROM o WHERE {O.rx('tok', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}_]')}"""
+    f"""WITH {O.masked(O.RUSSIAN)},
+p AS (SELECT doc_id, n, j, ps[j] AS tok FROM (SELECT doc_id, n, {O.every('line', T.PROSE_TOKEN + '|[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}_]+')} AS ps FROM prose_lines), unnest(range(1, len(ps) + 1)) AS t(j)),
+o AS (SELECT *, 1 + coalesce(sum(length(tok)) OVER (PARTITION BY doc_id, n ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM p)
+SELECT doc_id, CAST(n AS INT) AS line, CAST(col AS INT) AS col, tok FROM o WHERE {O.rx('tok', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}_]')}"""
 )
 def ru_tokens(spark, sf_dir):
     return rules_ru.tokens(tables.russian(spark, sf_dir))
@@ -211,9 +212,13 @@ def _script(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.script_letters(t, "Latin").alias("latin"), T.script_letters(t, "Cyrillic").alias("cyrillic"), T.language(t).alias("lang"))
 
 
-@query(_letters(O.RUSSIAN))
+_PROSE = f"WITH {O.masked(O.RUSSIAN)}, whole AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM prose_lines GROUP BY doc_id) "
+
+
+@query(_PROSE + _letters("SELECT * FROM whole"))
 def doc_language(spark, sf_dir):
-    return _script(tables.russian(spark, sf_dir))
+    """Letters of the prose decide, not those of code."""
+    return _script(tables.russian(spark, sf_dir).select("doc_id", rules_ru.prose(F.col("text")).alias("text")))
 
 
 @query(_letters(O.DOCUMENTS))
@@ -224,43 +229,63 @@ def script_letters(spark, sf_dir):
 _PUNCTUATION = f"len({O.every('text', '[,;]')}) + len({O.every('text', chr(92) + 's[—–]' + chr(92) + 's')})"
 
 
-@query(O.russian_ctes(O.RUSSIAN) + f" SELECT doc_id, CAST(sent AS INT) AS sent, CAST({_PUNCTUATION} AS INT) AS n FROM sents WHERE NOT {O.rx('text', '(^|[^' + chr(92) + 'p{L}])(а|но|при этом)($|[^' + chr(92) + 'p{L}])')}")
+@query(O.russian_ctes(O.RUSSIAN) + f" SELECT doc_id, CAST(sent AS INT) AS sent, CAST({_PUNCTUATION} AS INT) AS n FROM sents")
 def clause_marks(spark, sf_dir):
-    s = F.col("text")
-    rows = rules_ru.sentences(tables.russian(spark, sf_dir)).where(~s.rlike(r"(^|[^\p{L}])(а|но|при этом)($|[^\p{L}])"))
-    return rows.select("doc_id", "sent", rules_ru.clause_breaks(s).alias("n"))
+    """Commas, semicolons and dashes of every sentence."""
+    marks = F.regexp_count("around", F.lit(r"[,;]|(?<=\s)[—–](?=\s)"))
+    return rules_ru.placed(tables.russian(spark, sf_dir)).select("doc_id", "sent", marks.alias("n"))
 
 
-@query()
+@query(O.finding_ctes(O.RUSSIAN) + " SELECT doc_id, CAST(sent AS INT) AS sent, CAST(n AS INT) AS n FROM breaks")
 def clause_breaks(spark, sf_dir):
-    """All sentences, with conjunctions; ``clause_marks`` and its twin have those without any."""
-    return rules_ru.sentences(tables.russian(spark, sf_dir)).select("doc_id", "sent", rules_ru.clause_breaks(F.col("text")).alias("n"))
+    """Marks and conjunctions of every sentence."""
+    return rules_ru.placed(tables.russian(spark, sf_dir)).select("doc_id", "sent", rules_ru.clause_breaks(F.col("around")).alias("n"))
 
 
-_TOKENS = f"SELECT doc_id, sent, unnest({O.every('text', T.PROSE_TOKEN)}) AS tok FROM sents"
+def _of_rule(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    found = gate_ru.text_findings(tables.russian(spark, sf_dir), lexicon_ru.SEED).where(F.col("rule") == rule)
+    return found.groupBy("doc_id", "match").agg(F.count("*").alias("n"))
 
 
-@query(
-    O.russian_ctes(O.RUSSIAN)
-    + f", t AS ({_TOKENS}) SELECT doc_id, CAST(sent AS INT) AS sent, tok AS match, count(*) AS n FROM t WHERE {O.rx('tok', '[A-Za-z]')} AND {O.rx('tok', chr(92) + 'p{Cyrillic}')}"
-    + f" AND NOT (starts_with(lower(tok), 'не-') AND NOT {O.rx('substr(tok, 4)', chr(92) + 'p{Cyrillic}')}) GROUP BY ALL"
-)
+@query(O.finding_ctes(O.RUSSIAN) + " SELECT doc_id, tok AS match, count(*) AS n FROM glued GROUP BY ALL")
 def glued_tokens(spark, sf_dir):
-    found = rules_ru.findings(tables.russian(spark, sf_dir)).where("rule = 'glued'")
-    return found.groupBy("doc_id", "sent", "match").agg(F.count("*").alias("n"))
+    return _of_rule(spark, sf_dir, "glued")
 
 
-@query()
+@query(O.finding_ctes(O.RUSSIAN) + " SELECT doc_id, tok AS match, count(*) AS n FROM latin GROUP BY ALL")
 def latin_prose(spark, sf_dir):
-    found = rules_ru.findings(tables.russian(spark, sf_dir)).where("rule = 'latin-prose'")
-    return found.groupBy("doc_id", "sent", "match").agg(F.count("*").alias("n"))
+    return _of_rule(spark, sf_dir, "latin-prose")
 
 
-@query()
+@query(O.finding_ctes(O.RUSSIAN) + " SELECT rule, hard, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM found GROUP BY ALL")
+def ru_finding_counts(spark, sf_dir):
+    found = gate_ru.text_findings(tables.russian(spark, sf_dir), lexicon_ru.SEED)
+    return found.groupBy("rule", "hard").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(
+    O.finding_ctes(O.RUSSIAN)
+    + f", c AS (SELECT doc_id, count(*) FILTER (hard) AS hard, count(*) FILTER (NOT hard) AS soft FROM found GROUP BY doc_id)"
+    f" SELECT d.doc_id, coalesce(hard, 0) AS hard, coalesce(soft, 0) AS soft, CAST(coalesce(hard, 0) > 0 AS INT) AS exit_code FROM ({O.RUSSIAN}) d LEFT JOIN c ON c.doc_id = d.doc_id"
+)
 def verdict(spark, sf_dir):
     return rules_ru.verdict(tables.russian(spark, sf_dir))
 
 
+@query()
+def gate_findings(spark, sf_dir):
+    """Findings of rewrites against their sources, with places and hints."""
+    return gate_ru.analyse(tables.pairs(spark, sf_dir))
+
+
+@query()
+def report_ru(spark, sf_dir):
+    """The text and JSON reports of rewrites."""
+    pairs = tables.pairs(spark, sf_dir)
+    docs = pairs.select(F.col("pair_id").alias("doc_id"), F.lit("text").alias("name"), F.lit("source").alias("source"), fidelity.source_language(F.col("src_text")).alias("lang"))
+    return gate_ru.reports(docs, gate_ru.analyse(pairs))
+
+
 def _lost(kind: str) -> Query:
     return lambda spark, sf_dir: fidelity.compare(tables.pairs(spark, sf_dir)).where(F.col("kind") == kind).select("pair_id", "match")
 
@@ -272,9 +297,11 @@ ORACLES |= {
     "fidelity_file_line": f"WITH p AS ({O.PAIRS}), s AS (SELECT DISTINCT pair_id, out_text, unnest({O.every('src_text', fidelity.FILE_LINE)}) AS match FROM p)"
     " SELECT pair_id, match FROM s WHERE NOT contains(out_text, match)",
     "fidelity_number": f"WITH p AS ({O.PAIRS}), s AS (SELECT DISTINCT pair_id, out_text, unnest({O.every(O.prose('src_text'), fidelity.NUMBER)}) AS match FROM p),"
-    " f AS (SELECT *, CASE WHEN regexp_matches(match, '^\\d+\\.\\d+$') THEN [match, replace(match, '.', ',')]"
-    " WHEN regexp_matches(match, '^\\d+,\\d{3}$') THEN [match, replace(match, ',', ''), replace(match, ',', ' '), replace(match, ',', chr(160))] ELSE [match] END AS forms FROM s)"
+    " f AS (SELECT *, [match] || CASE WHEN regexp_matches(match, '[.,]') THEN [replace(match, '.', ','), replace(match, ',', '.')] ELSE [] END"
+    " || CASE WHEN regexp_matches(match, '^\\d+,\\d{3}$') THEN [replace(match, ',', ''), replace(match, ',', ' '), replace(match, ',', chr(160))] ELSE [] END AS forms FROM s)"
     " SELECT pair_id, match FROM f WHERE len(list_filter(forms, lambda x: regexp_matches(out_text, '(?:^|[^0-9])' || replace(x, '.', '\\.') || '(?:[^0-9]|$)'))) = 0",
+    "fidelity_path": O.path_sql(),
+    "fidelity_hedge": O.hedge_sql(),
 }
 
 
@@ -323,16 +350,7 @@ def report_json_en(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(line))).alias("report"))
 
 
-def _values(rows: list[dict]) -> str:
-    """Patterns of single words as DuckDB values: row_id, head (prefix and stem), class."""
-    out = [(i, p + w["stem"], c) for i, r in enumerate(rows) for phrase in lexicon_ru.parse_term(r["term"]) if len(phrase) == 1 for w in phrase for p in w["prefixes"] for c in w["classes"] or " "]
-    return "(VALUES " + ", ".join(f"({i}, {O.q(h)}, {O.q(c)})" for i, h, c in out) + ")"
-
-
-_ENDS = "(VALUES " + ", ".join(f"({O.q(c)}, {O.q(e)})" for c, e in [("n", e) for e in lexicon_ru.NOUN_ENDINGS] + [("v", e) for e in lexicon_ru.verb_endings()] + [(" ", "")]) + ")"
-
-
-@query("SELECT ending FROM " + _ENDS + " AS e(class, ending) WHERE class = 'v'")
+@query("SELECT ending FROM " + O._ENDS + " AS e(class, ending) WHERE class = 'v'")
 def verb_endings(spark, sf_dir):
     return lexicon_ru.endings(spark).where("class = 'v'").select("ending")
 
@@ -342,43 +360,21 @@ def ru_surface_forms(spark, sf_dir):
     return lexicon_ru.surface_forms(spark, lexicon_ru.SEED["ru-non-approved"])
 
 
-def _match_sql(table: str, where: str = "") -> str:
-    """Distinct words split into head and tail wherever possible: another algorithm than expansion."""
-    return (
-        f"SELECT DISTINCT w.word, p.row_id FROM splits w JOIN {_values(lexicon_ru.SEED[table])} AS p(row_id, head, class) ON w.head = p.head"
-        f" JOIN ends e ON e.class = p.class AND e.ending = w.tail {where}"
-    )
-
-
-_LOANS = [i for i, r in enumerate(lexicon_ru.SEED["ru-allowed"]) if r["class"] in ("loanword", "latin")]
-
-
-@query(
-    O.russian_ctes(O.RUSSIAN)
-    + f""", ends AS (SELECT * FROM {_ENDS} AS e(class, ending)),
-t AS (SELECT doc_id, sent, i - 1 AS ord, ts[i] AS tok FROM (SELECT doc_id, sent, {O.every('text', T.PROSE_TOKEN)} AS ts FROM sents), unnest(range(1, len(ts) + 1)) AS u(i)),
-parts AS (SELECT *, regexp_split_to_array(tok, '[-''’]') AS ps FROM t),
-cands AS (SELECT doc_id, sent, ord, 0 AS cand, tok AS raw FROM parts UNION ALL SELECT doc_id, sent, ord, i, ps[i] FROM parts, unnest(range(1, len(ps) + 1)) AS u(i) WHERE len(ps) > 1),
-words AS (SELECT *, replace(lower(raw), 'ё', 'е') AS word FROM cands),
-splits AS (SELECT word, left(word, n) AS head, substr(word, n + 1) AS tail FROM (SELECT DISTINCT word FROM words), unnest(range(1, length(word) + 1)) AS u(n)),
-allowed AS ({_match_sql('ru-allowed')}), banned AS ({_match_sql('ru-non-approved')}),
-left_over AS (SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM words v JOIN allowed a ON a.word = v.word WHERE v.cand = 0 AND v.doc_id = w.doc_id AND v.sent = w.sent AND v.ord = w.ord)
-              AND NOT (cand > 0 AND word IN (SELECT word FROM allowed WHERE row_id IN ({', '.join(map(str, _LOANS))}))))
-SELECT doc_id, CAST(sent AS INT) AS sent, CAST(ord AS INT) AS ord, row_id, arg_min(l.word, cand) AS match FROM left_over l JOIN banned b ON b.word = l.word GROUP BY ALL"""
-)
+@query(O.finding_ctes(O.RUSSIAN) + " SELECT doc_id, CAST(sent AS INT) AS sent, CAST(ord AS INT) AS ord, row_id, match FROM lexicon")
 def ru_lexicon(spark, sf_dir):
     return lexicon_ru.single_words(tables.russian(spark, sf_dir)).select("doc_id", "sent", "ord", "row_id", "match")
 
 
-@query()
+@query(O.finding_ctes(O.RUSSIAN) + " SELECT CASE WHEN soft THEN 'domain' ELSE 'lexicon' END AS rule, NOT soft AS hard, row_id, count(*) AS n FROM lex GROUP BY ALL")
 def ru_domain_sense(spark, sf_dir):
     found = lexicon_ru.single_words(tables.russian(spark, sf_dir))
     return found.groupBy("rule", "hard", "row_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(O.finding_ctes(O.RUSSIAN) + " SELECT doc_id, CAST(sent AS INT) AS sent, CAST(n AS BIGINT) AS n FROM phrases WHERE n > 0")
 def ru_phrases(spark, sf_dir):
-    return lexicon_ru.phrases(tables.russian(spark, sf_dir), lexicon_ru.SEED["ru-non-approved"])
+    found = lexicon_ru.phrases(tables.russian(spark, sf_dir), lexicon_ru.SEED["ru-non-approved"])
+    return found.groupBy("doc_id", "sent").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -386,6 +382,13 @@ def lookup_ru(spark, sf_dir):
     return lexicon_ru.lookup(spark, ["деплоить", "код написан", "узлов", "нет"])
 
 
+@query()
+def lookup_lines_ru(spark, sf_dir):
+    """Entries of all five tables for the words of part types and some Russian ones."""
+    types = [r.w for r in tables.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("w")).distinct().orderBy("w").collect()]
+    return lexicon_ru.lookup_lines(spark, [*types, "деплоить", "журн", "wait 5 ms", "recommended", "нет"])
+
+
 def _clusters(docs: str) -> str:
     ends = f"NOT opaque AND tok NOT IN {O.listed(rules_en.NUMBER_WORDS)} AND (tok IN {O.listed(rules_en.FUNCTION_WORDS + dictionary.verbs())} OR (ends_with(tok, 'ly') AND length(tok) > 3))"
     return (
@@ -432,22 +435,13 @@ def glossary_terms(spark, sf_dir):
     return glossary.known_forms(glossary.terms(spark))
 
 
-_BARE = ["лог", "лога", "логи"]
-
-
-@query(
-    f"WITH p AS ({O.PAIRS}), t AS (SELECT pair_id, unnest({O.every("replace(lower(out_text), 'ё', 'е')", T.PROSE_TOKEN)}) AS w FROM p"
-    f" WHERE {O.rx('src_text', '(?i)(^|[^a-z])(log|log file)($|[^a-z])')})"
-    f" SELECT pair_id, w AS match, count(*) AS n FROM t WHERE w IN {O.listed(_BARE)} GROUP BY ALL"
-)
+@query(O.never_ctes() + " SELECT pair_id, match, count(*) AS n FROM violations GROUP BY ALL")
 def glossary_never(spark, sf_dir):
-    found = glossary.violations(tables.pairs(spark, sf_dir)).where(F.col("match").isin(_BARE))
-    return found.groupBy("pair_id", "match").agg(F.count("*").alias("n"))
+    return glossary.violations(tables.pairs(spark, sf_dir)).groupBy("pair_id", "match").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(O.never_ctes() + " SELECT pair_id, CAST(row_id AS INT) AS row_id, match, count(*) AS n FROM violations GROUP BY ALL")
 def glossary_violations(spark, sf_dir):
-    """All rows and inflections; ``glossary_never`` and its twin have three forms of the first row."""
     return glossary.violations(tables.pairs(spark, sf_dir)).groupBy("pair_id", "row_id", "match").agg(F.count("*").alias("n"))
 
 
