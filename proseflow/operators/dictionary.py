@@ -5,10 +5,15 @@ Dictionaries are parameters; the seed is a small one of facts that users replace
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseflow.functions import text as T
+from proseflow.operators import rules_en
 
 # (word, part of speech, other forms)
 APPROVED = [
@@ -26,6 +31,160 @@ NOT_APPROVED = [
 DEINFLECT = [("ies", "y"), ("es", ""), ("s", ""), ("ed", ""), ("ed", "e"), ("ing", ""), ("ing", "e"), ("er", ""), ("est", ""), ("ly", "")]
 
 
+# Words of a form or note cell that are no forms, parts of speech that end a run of nouns,
+# verbs that are nothing else, words that a verb follows, and endings of verbs.
+FORM_STOP = (
+    "no other verb forms also for example use this word only as an adjective or the a in of not to do with that is it you and when but form same plural "
+    "noun singular adverb these words before after used meaning meanings sense context refer"
+).split()
+FUNCTION_POS = "prep conj art pron adv".split()
+ALWAYS_VERB = (
+    "may might should would could shall ought ensure take perform provide obtain require allow enable indicate occur avoid achieve verify confirm assure "
+    "determine establish maintain prevent proceed remain become seem appear consist contain possess acquire utilize utilise employ conduct carry commence "
+    "cease terminate initiate activate deactivate locate relocate accomplish facilitate eliminate exceed persist arise happen depend rely refer reinstall retighten"
+).split()
+VERB_SLOT = "to you we they it can will must not do does did and then or always never carefully slowly immediately also only".split()
+VERB_ENDINGS = ("ize", "ise", "ify", "ate", "en")
+BE_FORMS = "is was are were be".split()
+#: What keeps the strength of a hedge, in words of our own.
+HEDGE_HINTS = {
+    "may": "POSSIBLY; it stays a possibility", "might": "POSSIBLY; it stays a possibility", "perhaps": "POSSIBLY; it stays a possibility",
+    "likely": "VERY POSSIBLE; it does not become a fact", "probably": "VERY POSSIBLE; it does not become a fact", "probable": "VERY POSSIBLE; it does not become a fact",
+    "unlikely": "NOT VERY POSSIBLE; it can occur", "should": "advice is WE RECOMMEND, an obligation is MUST",
+}
+
+
+class Dictionary:
+    """A dictionary on the driver: its entries, the index of their forms, and sets of words that rules ask for.
+
+    Its size is that of the word lists, whatever the documents.  Of words that share a form the
+    first in order wins, but forms of BE are always BE's.  A word that is not approved is known
+    with and without what stands in parentheses.
+    """
+
+    def __init__(self, approved: list[dict], not_approved: list[dict]):
+        self.approved: dict[str, list[dict]] = {}
+        self.banned: dict[str, list[dict]] = {}
+        for e in approved:
+            self.approved.setdefault(e["word"].lower(), []).append(e)
+        for e in not_approved:
+            whole = e["word"].lower()
+            bare = re.sub(r"\s*\(.*?\)\s*", " ", whole).strip()
+            for key in dict.fromkeys([bare, whole]):
+                self.banned.setdefault(key, []).append(e)
+        self.forms: dict[str, str] = {}
+        for base, entries in self.approved.items():
+            for e in entries:
+                listed = re.findall(r"[a-z][a-z'\-]*", f"{e.get('forms') or ''} {e.get('note') or ''}".lower())
+                own = [base, *(w for w in listed if w not in FORM_STOP and len(w) > 1)]
+                if e["pos"] == "n":
+                    own += plural_list(base)
+                if e["pos"] == "v" and not e.get("forms"):
+                    own += [base + "s", base + "ed"]
+                for form in own:
+                    self.forms.setdefault(form, base)
+        self.forms |= dict.fromkeys(BE_FORMS, "be")
+        for form in ("makes sure", "made sure"):
+            self.forms.setdefault(form, "make sure")
+
+    def has_pos(self, word: str, *pos: str) -> bool:
+        return any(e["pos"] in pos for e in self.approved.get(word, []))
+
+    def is_verb(self, word: str) -> bool:
+        return self.has_pos(self.forms.get(word, word), "v")
+
+    def is_function(self, word: str) -> bool:
+        return word in rules_en.FUNCTION_WORDS or self.has_pos(word, *FUNCTION_POS)
+
+    def all_verb(self, word: str) -> bool:
+        return all(e["pos"] == "v" for e in self.banned.get(word, []))
+
+    def nounish(self, word: str) -> bool:
+        return self.has_pos(word, "n") or any(x.endswith("(TN)") for e in self.banned.get(word, []) for x in e.get("use_instead") or [])
+
+    def looks_verb(self, word: str) -> bool:
+        return word in ALWAYS_VERB or word.endswith(VERB_ENDINGS) or word.startswith("re") and word[2:] in self.approved
+
+    @functools.cached_property
+    def sets(self) -> dict[str, list[str]]:
+        """Sorted lists for ``isin``: forms and words not approved, and those of both that rules treat alike."""
+        every = {*self.forms, *self.approved, *self.banned, *rules_en.FUNCTION_WORDS}
+        base = lambda w: self.forms.get(w, w)
+        noun = lambda es: any(e["pos"] in ("n", "adj") for e in es)
+        chosen = {
+            "forms": self.forms, "banned": self.banned,
+            "verbs": [w for w in every if self.is_verb(w)], "functions": [w for w in every if self.is_function(w)],
+            "verb_bases": [w for w in every if self.is_verb(base(w))], "function_bases": [w for w in every if self.is_function(base(w))],
+            "all_verb": [w for w in self.banned if self.all_verb(w)], "nounish": [w for w in self.banned if self.nounish(w)],
+            "looks_verb": [w for w in self.banned if self.looks_verb(w)],
+            "no_adverbs": [w for w in every if noun(self.approved.get(self.forms.get(w, ""), [])) or noun(self.banned.get(w, []))],
+            "acronyms": {*self.forms, *self.banned},
+        }
+        return {k: sorted(v) or ["\0"] for k, v in chosen.items()}
+
+    def bases(self, spark: SparkSession) -> DataFrame:
+        """``base, alts, pos, hint``: what to show for a word that is not approved, and hints for hedges."""
+        rows = []
+        for w in dict.fromkeys([*self.banned, *HEDGE_HINTS]):
+            es = self.banned.get(w, [])
+            alts = [", ".join(e.get("use_instead") or []) or e.get("note") or "" for e in es]
+            rows.append((w, "; ".join(alts), "/".join(e["pos"] for e in es), HEDGE_HINTS.get(w)))
+        return spark.createDataFrame(rows, "base string, alts string, pos string, hint string")
+
+    def lookup_lines(self, word: str, deeper: bool = True) -> list[str]:
+        """Entries of a word as lines: two approved examples, three others or as many as have a wrong counterpart."""
+        w = word.strip().lower()
+        base, out = self.forms.get(w, w), []
+        for e in self.approved.get(base, []):
+            out.append(f"  APPROVED  {e['word']} ({e['pos']}): " + "; ".join(e.get("meaning") or []))
+            out += [f"    {title}: {e[key]}" for title, key in (("forms", "forms"), ("note", "note"), ("for other meanings use", "for_other_meanings_use")) if e.get(key)]
+            out += [f"    e.g. {x}" for x in (e.get("examples") or [])[:2]]
+        for e in [*self.banned.get(w, []), *(self.banned.get(base, []) if base != w else [])]:
+            wrong = e.get("incorrect_example") or []
+            out.append(f"  NOT APPROVED  {e['word']} ({e['pos']})  ->  {', '.join(e.get('use_instead') or [])} {e.get('note') or ''}".rstrip())
+            for k, x in enumerate((e.get("example") or [])[: len(wrong) or 3]):
+                out.append(f"    Example: {x}")
+                out += [f"    not: {wrong[k]}"] if k < len(wrong) and wrong[k] else []
+        if not out and deeper:
+            for suffix, instead in DEINFLECT[:7]:
+                stem = w[: len(w) - len(suffix)] + instead
+                if not out and w.endswith(suffix) and len(w) > len(suffix) + 2 and (stem in self.approved or stem in self.banned):
+                    out = [f'  (see "{stem}")', *self.lookup_lines(stem, deeper=False)]
+        if not out:
+            out = ["  not in the dictionary: a technical noun or verb, or to be replaced"]
+        if deeper and w in HEDGE_HINTS:
+            out.append(f"  keep the strength: {HEDGE_HINTS[w]}")
+        return [f"== {w} ==", *out]
+
+
+def plural_list(noun: str) -> list[str]:
+    """As ``text.plurals``, for words on the driver."""
+    out = [noun + "s"]
+    out += [noun + "es"] if noun.endswith(("s", "x", "z", "ch", "sh")) else []
+    out += [noun[:-1] + "ies"] if len(noun) > 1 and noun[-1] == "y" and noun[-2] not in "aeiou" else []
+    out += [noun[:-1] + "ves"] if noun.endswith("f") else []
+    return out + ([noun[:-2] + "ves"] if noun.endswith("fe") else [])
+
+
+def read(spark: SparkSession, path: str) -> Dictionary:
+    """A dictionary of ``{approved: [...], non_approved: [...]}`` from a JSON file; keys that are not known are ignored."""
+    rows = spark.read.text(path, wholetext=True).collect()  # a word list, not documents
+    raw = json.loads(rows[0].value)
+    return Dictionary(raw.get("approved") or [], raw.get("non_approved") or [])
+
+
+@functools.cache
+def seed() -> Dictionary:
+    given = [{"word": w, "pos": p, "forms": f} for w, p, f in APPROVED]
+    return Dictionary(given, [{"word": w, "pos": p, "use_instead": [i] if i else []} for w, p, i in NOT_APPROVED])
+
+
+def lookup_report(spark: SparkSession, words: list[str], own: Dictionary | None = None) -> DataFrame:
+    """``place, word, lines``: a look-up for each word, in order."""
+    own = own or seed()
+    return spark.createDataFrame([(i, w, own.lookup_lines(w)) for i, w in enumerate(words)], "place int, word string, lines array<string>")
+
+
 def approved(spark: SparkSession, rows=APPROVED) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, word string, pos string, forms string")
 
@@ -41,13 +200,15 @@ def verbs(approved_rows=APPROVED, banned_rows=NOT_APPROVED) -> list[str]:
 
 
 def form_index(entries: DataFrame) -> DataFrame:
-    """``form, base``: of words that share a form, the first wins; forms of BE go to ``be``."""
-    word, forms = F.col("word"), F.filter(F.split("forms", " "), lambda f: F.length(f) > 1)
+    """``form, base``: of words that share a form, the first wins; forms of BE go to ``be``, those of MAKE SURE to it."""
+    word = F.col("word")
+    listed = F.array_except(F.filter(F.regexp_extract_all(F.lower("forms"), F.lit(r"[a-z][a-z'\-]*"), F.lit(0)), lambda f: F.length(f) > 1), F.array(*map(F.lit, FORM_STOP)))
     none = F.array().cast("array<string>")
     made = F.when(F.col("pos") == "n", T.plurals(word)).when((F.col("pos") == "v") & (F.col("forms") == ""), F.array(F.concat(word, F.lit("s")), F.concat(word, F.lit("ed")))).otherwise(none)
-    every = entries.select("ord", "word", F.posexplode(F.concat(F.array(word), forms, made)).alias("step", "form"))
-    first = every.groupBy("form").agg(F.min_by("word", F.struct("ord", "step")).alias("base"))
-    return first.withColumn("base", F.when(F.col("form").isin("is", "was", "are", "were", "be"), "be").otherwise(F.col("base")))
+    every = entries.select("ord", "word", F.posexplode(F.concat(F.array(word), listed, made)).alias("step", "form"))
+    sure = entries.where("word = 'make sure'").select(F.lit(1 << 30).alias("ord"), "word", F.lit(0).alias("step"), F.explode(F.array(F.lit("makes sure"), F.lit("made sure"))).alias("form"))
+    be = entries.sparkSession.createDataFrame([(-1, "be", 0, f) for f in BE_FORMS], "ord int, word string, step int, form string")
+    return every.unionByName(sure).unionByName(be).groupBy("form").agg(F.min_by("word", F.struct("ord", "step")).alias("base"))
 
 
 def lookup(words: DataFrame, forms: DataFrame, banned: DataFrame, glossary: list[str] = ()) -> DataFrame:
@@ -73,7 +234,13 @@ def lookup(words: DataFrame, forms: DataFrame, banned: DataFrame, glossary: list
     )
 
 
-def word_hits(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id, base, kind, count``: words of documents that are not approved, by base; the first kind seen stays."""
-    hits = tokens.where("NOT opaque AND length(tok) > 1").join(found, tokens.tok == found.word).where("kind IN ('non_approved', 'unknown')")
-    return hits.groupBy("doc_id", "base").agg(F.min_by("kind", F.struct("sent", "ord")).alias("kind"), F.count("*").alias("count"))
+def found(tok: Column, own: Dictionary, glossary: list[str] = ()) -> Column:
+    """``kind, hit``: as ``lookup``, inside a row; ``hit`` is the string that the dictionary has."""
+    forms, banned = own.sets["forms"], own.sets["banned"]
+    answer = lambda kind, hit: F.struct(F.lit(kind).alias("kind"), hit.alias("hit"))
+    out = F.when(tok.isin(sorted(glossary) or ["\0"]), answer("glossary", tok)).when(tok.isin(forms), answer("approved", tok)).when(tok.isin(banned), answer("non_approved", tok))
+    for suffix, instead in DEINFLECT:
+        stem = F.concat(F.left(tok, F.length(tok) - len(suffix)), F.lit(instead))
+        fits = tok.endswith(suffix) & (F.length(tok) > len(suffix) + 2)
+        out = out.when(fits & stem.isin(forms), answer("approved-inflected", stem)).when(fits & stem.isin(banned), answer("non_approved", stem))
+    return out.otherwise(answer("unknown", tok))

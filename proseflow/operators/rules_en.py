@@ -126,18 +126,146 @@ def noun_clusters(tokens: Column, verbs: list[str]) -> Column:
     return F.transform(placed_clusters(tokens, verbs), lambda c: c["match"])
 
 
-def sentence_findings(sentence: Column, mode: str = "auto", verbs: list[str] | None = None) -> Column:
+def judged(tokens: Column, own, glossary: list[str] = ()) -> Column:
+    """Tokens with what the dictionary says of them in their place.
+
+    ``tok, opaque, plain, phrase, still, number, prev, next, kind, hit, maybe_noun, ends``: ``kind`` is that of the
+    look-up after the excuse of a noun, ``ends`` whether the token ends a run of nouns.
+    """
+    from proseflow.operators import dictionary
+
+    sets = own.sets
+
+    def one(t: Column, i: Column) -> Column:
+        tok = t["tok"]
+        phrase = ~t["opaque"] & tok.contains("_")
+        number = ~t["opaque"] & tok.isin(NUMBER_WORDS)
+        still = ~t["opaque"] & ((F.length(tok) < 2) | tok.isin("been", "being"))
+        plain = ~t["opaque"] & ~phrase & ~still & ~number
+        prev = F.coalesce(F.when(i > 0, F.replace(F.get(tokens, i - 1)["tok"], F.lit("_"), F.lit(" "))), F.lit(""))
+        after = F.get(tokens, i + 1)
+        following = F.when(after.isNull(), "").when(after["opaque"], "<").otherwise(after["tok"])
+        found = F.when(plain, dictionary.found(tok, own, glossary))
+        return F.struct(tok.alias("tok"), t["opaque"].alias("opaque"), plain.alias("plain"), phrase.alias("phrase"), still.alias("still"), number.alias("number"), prev.alias("prev"), following.alias("next"), found.alias("f"))
+
+    def two(t: Column, i: Column) -> Column:
+        kind, hit, prev = t["f"]["kind"], t["f"]["hit"], t["prev"]
+        banned, all_verb, noun = kind == "non_approved", hit.isin(sets["all_verb"]), hit.isin(sets["nounish"])
+        determined = banned & prev.isin(DETERMINERS) & all_verb
+        free = banned & ~prev.isin(DETERMINERS) & (i > 0) & ~prev.isin(dictionary.VERB_SLOT)
+        maybe = free & all_verb & ~hit.isin(sets["looks_verb"]) & (noun | ~prev.isin(sets["functions"]))
+        final = F.when(determined, F.when(noun, "approved").otherwise("unknown")).otherwise(kind)
+        known = kind == "glossary"
+        function = F.when(known, hit.isin(sets["functions"])).otherwise(hit.isin(sets["function_bases"]))
+        verb = F.when(known, hit.isin(sets["verbs"])).otherwise(hit.isin(sets["verb_bases"]))
+        adverb = t["tok"].endswith("ly") & (F.length(t["tok"]) > 3) & ~known & ~t["tok"].isin(sets["no_adverbs"])
+        ends = t["plain"] & (function | verb | ((final == "non_approved") & all_verb & ~maybe) | adverb)
+        own_ = [t[c].alias(c) for c in ("tok", "opaque", "plain", "phrase", "still", "number", "prev", "next")]
+        return F.struct(*own_, final.alias("kind"), hit.alias("hit"), F.coalesce(maybe, F.lit(False)).alias("maybe_noun"), F.coalesce(ends, F.lit(False)).alias("ends"))
+
+    return T.let(F.transform(tokens, one), lambda ts: F.transform(ts, two))
+
+
+def judged_findings(judged_: Column, own) -> Column:
+    """Tense, passive, -ing and noun cluster findings of judged tokens, in the order of the rules."""
+    finding = lambda rule, kind, match: F.struct(rule.alias("rule"), F.lit(kind).alias("kind"), match.alias("match"))
+    none = F.expr("array()").cast("array<struct<rule:string,kind:string,match:string>>")
+
+    def of_token(t: Column) -> Column:
+        tok, prev = t["tok"], t["prev"]
+        participle = tok.endswith("ed") | tok.isin(PARTICIPLES)
+        verbal = (t["next"] == "") | t["next"].isin(sorted({*own.sets["functions"], *own.sets["verbs"], *BE}))
+        ing = t["plain"] & (t["kind"] != "glossary") & T.is_ing_form(tok)
+        both = F.concat_ws(" ", prev, tok)
+        return F.array_compact(F.array(
+            F.when(~t["opaque"] & tok.isin("been", "being"), finding(F.lit("3.4"), "tense", tok)),
+            F.when(ing, finding(F.when(prev.isin(DETERMINERS) | ~verbal, "3.5?").otherwise("3.5"), "ing", tok)),
+            F.when(t["plain"] & prev.isin(HAVE) & participle & (tok != "need"), finding(F.lit("3.4"), "tense", both)),
+            F.when(t["plain"] & prev.isin(BE) & participle, finding(F.when(t["next"] == "by", "3.6").otherwise("3.6?"), "passive", both)),
+        ))
+
+    empty = F.expr("array()").cast("array<string>")
+    cluster = lambda run: F.when(F.size(run) >= 4, F.array(finding(F.lit("2.1"), "noun-cluster", F.array_join(run, " ")))).otherwise(none)
+
+    def step(s: Column, t: Column) -> Column:
+        found = F.concat(s["out"], of_token(t))
+        longer = F.array_append(s["run"], t["tok"])
+        return (
+            F.when(t["phrase"], F.struct(empty.alias("run"), found.alias("out")))
+            .when(t["still"], F.struct(s["run"].alias("run"), found.alias("out")))
+            .when(t["ends"], F.struct(empty.alias("run"), F.concat(found, cluster(s["run"])).alias("out")))
+            .otherwise(F.struct(longer.alias("run"), found.alias("out")))
+        )
+
+    start = F.struct(empty.alias("run"), none.alias("out"))
+    return F.aggregate(judged_, start, step, lambda s: F.concat(s["out"], cluster(s["run"])))
+
+
+def clusters_of(judged_: Column) -> Column:
+    """Runs of four judged tokens or more that are noun-like, as text."""
+    empty = F.expr("array()").cast("array<string>")
+    start = F.struct(empty.alias("run"), empty.alias("out"))
+    closed = lambda s: F.when(F.size(s["run"]) >= 4, F.array_append(s["out"], F.array_join(s["run"], " "))).otherwise(s["out"])
+
+    def step(s: Column, t: Column) -> Column:
+        return (
+            F.when(t["phrase"], F.struct(empty.alias("run"), s["out"].alias("out")))
+            .when(t["still"], s)
+            .when(t["ends"], F.struct(empty.alias("run"), closed(s).alias("out")))
+            .otherwise(F.struct(F.array_append(s["run"], t["tok"]).alias("run"), s["out"].alias("out")))
+        )
+
+    return F.aggregate(judged_, start, step, closed)
+
+
+def hits_of(judged_: Column) -> Column:
+    """``ord, base, kind`` for the words that are not approved, may not be as a verb, or are not known."""
+    kind = lambda t: F.when(t["maybe_noun"], "maybe_noun").otherwise(t["kind"])
+    bad = lambda t, i: F.when(t["plain"] & t["kind"].isin("non_approved", "unknown"), F.struct(i.alias("ord"), t["hit"].alias("base"), kind(t).alias("kind")))
+    return F.array_compact(F.transform(judged_, bad))
+
+
+def word_hits(docs: DataFrame, own, glossary: list[str] = (), terms: list[str] = ()) -> DataFrame:
+    """``doc_id, base, kind, count, first, example, alts, pos, hint``: words to change, by base.
+
+    Kind, example and ``first`` (sentence and place) are those of the first use.  Words meet the
+    dictionary inside their sentence; only what is to be reported is grouped.
+    """
+    judged_ = judged(S.tokens_of(F.col("text"), terms), own, glossary)
+    rows = S.shown_sentences(docs).select("doc_id", "sent", short(F.col("shown")).alias("example"), F.inline(T.let(judged_, hits_of)))
+    at = F.struct("sent", "ord")
+    found = rows.groupBy("doc_id", "base").agg(F.min_by(F.struct("kind", "example"), at).alias("x"), F.count("*").alias("count"), F.min(at).alias("first"))
+    found = found.join(own.bases(docs.sparkSession), "base", "left")
+    shown = lambda c: F.when(F.col("x.kind") == "unknown", "").otherwise(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    return found.select("doc_id", "base", "x.kind", "count", "first", "x.example", shown("alts"), shown("pos"), "hint")
+
+
+def short(sentence: Column) -> Column:
+    """A sentence to show: 87 characters and three dots if it has more than 90."""
+    return F.when(F.length(sentence) > 90, F.concat(F.left(sentence, F.lit(87)), F.lit("..."))).otherwise(sentence)
+
+
+def sentence_findings(sentence: Column, mode: str = "auto", verbs: list[str] | None = None, own=None, glossary: list[str] = (), terms: list[str] = ()) -> Column:
     """Findings of a sentence, ``rule, kind, match``, in the order of the rules.
 
     verbs: approved verbs and their forms; noun clusters (2.1), which they end, are found only with them.
+    own: a dictionary in their place, which also knows nouns, function words and adverbs.
     """
-    words = T.let(S.tokens_of(sentence), lambda tokens: word_findings(tokens, None if verbs is None else placed_clusters(tokens, verbs)))
-    return F.concat(T.let(S.marked(sentence), lambda masked: _whole(masked, mode)), words)
 
+    def of(masked: Column) -> Column:
+        tokens = S.plain_tokens(masked, terms)
+        if own is not None:
+            words = T.let(judged(tokens, own, glossary), lambda ts: judged_findings(ts, own))
+            return F.concat(_whole(masked, mode, own.sets["verbs"]), words)
+        words = T.let(tokens, lambda ts: word_findings(ts, None if verbs is None else placed_clusters(ts, verbs)))
+        return F.concat(_whole(masked, mode, verbs), words)
 
-def _whole(masked: Column, mode: str) -> Column:
+    return T.let(S.marked(sentence), of)
+
+
+def _whole(masked: Column, mode: str, verbs: list[str] | None = None) -> Column:
     """Findings of a sentence as a whole: length, semicolon, contractions, Latin, pronoun."""
-    procedural = mode_of(masked, mode) == "procedural"
+    procedural = mode_of(masked, mode, verbs) == "procedural"
     finding = lambda rule, kind, match: F.struct(rule.alias("rule"), F.lit(kind).alias("kind"), match.alias("match"))
     limit = F.when(procedural, LIMITS["procedural"]).otherwise(LIMITS["descriptive"])
     long_ = lambda n: F.when(n > limit, finding(F.when(procedural, "5.1").otherwise("6.3"), "length", n.cast("string")))
@@ -148,13 +276,17 @@ def _whole(masked: Column, mode: str) -> Column:
     return F.array_compact(F.concat(first, short, last))
 
 
-def findings(docs: DataFrame, mode: str = "auto", verbs: list[str] | None = None) -> DataFrame:
-    """``doc_id, para, sent, seq, rule, kind, match``: paragraph findings have sentence 0; noun clusters need ``verbs``."""
-    paras = S.paragraphs(docs).where("NOT is_heading AND NOT is_list")
-    n = F.size(S.sentences_of(F.col("block")))
-    long_ = paras.where(n > PARAGRAPH_LIMIT).select("doc_id", "para", F.lit(0).alias("sent"), F.lit(0).alias("seq"), F.lit("6.6").alias("rule"), F.lit("paragraph").alias("kind"), n.cast("string").alias("match"))
-    own = S.sentences(docs).select("doc_id", "para", "sent", F.posexplode(sentence_findings(F.col("text"), mode, verbs)).alias("seq", "f"))
-    return long_.unionByName(own.select("doc_id", "para", "sent", (F.col("seq") + 1).alias("seq"), "f.rule", "f.kind", "f.match"))
+def findings(docs: DataFrame, mode: str = "auto", verbs: list[str] | None = None, own=None, glossary: list[str] = (), terms: list[str] = ()) -> DataFrame:
+    """``doc_id, para, sent, seq, rule, kind, match``: paragraph findings have sentence 0; noun clusters need ``verbs`` or a dictionary.
+
+    glossary: words that count as known; terms: those of several words, longest first.
+    """
+    each = sentence_findings(F.col("text"), mode, verbs, own, glossary, terms)
+    numbered = F.transform(each, lambda f, k: F.struct(F.col("sent").alias("sent"), (k + 1).alias("seq"), f["rule"].alias("rule"), f["kind"].alias("kind"), f["match"].alias("match")))
+    long_ = F.struct(F.lit(0).alias("sent"), F.lit(0).alias("seq"), F.lit("6.6").alias("rule"), F.lit("paragraph").alias("kind"), F.col("n").cast("string").alias("match"))
+    every = F.when(F.col("n") > PARAGRAPH_LIMIT, F.concat(F.array(long_), numbered)).otherwise(numbered)
+    rows = S.counted_sentences(docs).select("doc_id", "para", F.explode(every).alias("f"))
+    return rows.select("doc_id", "para", "f.*")
 
 
 def ordered(found: DataFrame) -> DataFrame:
@@ -164,3 +296,75 @@ def ordered(found: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     by = Window.partitionBy("doc_id").orderBy("kind_rank", "para", "sent", "seq")
     return found.withColumn("kind_rank", rank).withColumn("place", F.row_number().over(by))
+
+
+def auto_glossary(docs: DataFrame, own=None) -> DataFrame:
+    """``doc_id, term, kind, count, first``: code-like tokens that count as known, the kind that of the first."""
+    terms = S.auto_terms(F.col("text"), own.sets["acronyms"] if own is not None else ())
+    rows = S.sentences(docs).select("doc_id", "sent", F.posexplode(terms).alias("ord", "x"))
+    at = F.struct("sent", "ord")
+    return rows.groupBy("doc_id", F.col("x.term").alias("term")).agg(F.min_by("x.kind", at).alias("kind"), F.count("*").alias("count"), F.min(at).alias("first"))
+
+
+_MESSAGES = {
+    "length": "%s words are too many for one sentence", "paragraph": "a paragraph of %s sentences; six are the most", "tense": '"%s" is no simple tense',
+    "passive": '"%s" may be passive voice', "ing": '"%s" ends in -ing', "punctuation": "a semicolon (%s)", "contraction": '"%s" is to be written in full',
+    "noun-cluster": 'nouns in a row: "%s"', "latin": 'the Latin abbreviation "%s"', "pronoun": 'the pronoun "%s"',
+}
+
+
+def _message(kind: Column, match: Column) -> Column:
+    out = match
+    for k, m in _MESSAGES.items():
+        out = F.when(kind == k, F.format_string(m, match)).otherwise(out)
+    return out
+
+
+def reports(docs: DataFrame, own, mode: str = "auto", glossary: list[str] = (), terms: list[str] = ()) -> DataFrame:
+    """``doc_id, text, json``: the report of each document.
+
+    JSON: ``findings`` as they come, ``words`` in the order of their first use, ``auto_glossary``.
+    Text: a summary, and sections of words by frequency, hedges, code, and findings by kind.
+    """
+    found = findings(docs, mode, None, own, glossary, terms)
+    where = F.when(F.col("sent") == 0, F.format_string("para %d", "para")).otherwise(F.format_string("para %d, sentence %d", "para", "sent"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    item = F.struct("rule", "kind", _message(F.col("kind"), F.col("match")).alias("message"), where.alias("where"))
+    row = F.struct("para", "sent", "seq", rank.alias("rank"), item.alias("item"))
+    by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("findings"))
+    hit = F.struct("first", "base", F.struct("kind", "alts", "count", "example", "pos", "hint").alias("w"))
+    words = word_hits(docs, own, glossary, terms).groupBy("doc_id").agg(F.sort_array(F.collect_list(hit)).alias("words"))
+    auto = auto_glossary(docs, own).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", F.struct("term", "kind", "count").alias("a")))).alias("auto"))
+    rows = docs.select("doc_id").join(by_doc, "doc_id", "left").join(words, "doc_id", "left").join(auto, "doc_id", "left")
+    for c in ("findings", "words", "auto"):
+        rows = rows.withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
+    pair = lambda x: F.concat(F.regexp_extract(F.to_json(F.struct(x["base"].alias("k"))), r"^\{\"k\":(.*)\}$", 1), F.lit(":"), F.to_json(x["w"]))
+    json = F.concat(
+        F.lit('{"findings":'), F.to_json(F.transform("findings", lambda x: x["item"])), F.lit(',"words":{'), F.array_join(F.transform("words", pair), ","),
+        F.lit('},"auto_glossary":'), F.to_json(F.transform("auto", lambda x: x["a"])), F.lit("}"),
+    )
+
+    def of_kind(kind: str) -> Column:
+        some = F.filter("words", lambda x: x["w"]["kind"] == kind)
+        return F.array_sort(some, lambda a, b: F.when(a["w"]["count"] > b["w"]["count"], -1).when(a["w"]["count"] < b["w"]["count"], 1).when(a["first"] < b["first"], -1).when(a["first"] > b["first"], 1).otherwise(0))
+
+    rows = rows.withColumns({k: of_kind(k) for k in ("non_approved", "maybe_noun", "unknown")})
+    times = lambda x: F.concat(x["base"], F.lit(" x"), x["w"]["count"].cast("string"))
+    none = F.array().cast("array<string>")
+    section = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(title), F.lit("-" * 60)), lines, F.array(F.lit("")))).otherwise(none)
+    hedged = F.filter(F.concat("non_approved", "maybe_noun", "unknown"), lambda x: x["w"]["hint"].isNotNull())
+    ranked = F.array_sort("findings", lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).when(F.struct(a["para"], a["sent"], a["seq"]) < F.struct(b["para"], b["sent"], b["seq"]), -1).otherwise(1))
+    summary = F.format_string("findings %d, words not approved %d, not as a verb %d, not known %d", *(F.size(c) for c in ("findings", "non_approved", "maybe_noun", "unknown")))
+    unknown = F.when(F.size("unknown") > 0, F.array(F.concat(F.lit("  "), F.array_join(F.transform("unknown", times), ", ")))).otherwise(none)
+    clean = F.when(F.size("findings") + F.size("words") == 0, F.array(F.lit("nothing found"))).otherwise(none)
+    lines = F.concat(
+        F.array(F.lit("DICTIONARY CHECK"), F.lit("=" * 60), summary, F.lit("")),
+        section("WORDS NOT APPROVED", F.transform("non_approved", lambda x: F.concat(F.lit("  "), x["base"], F.lit(" ("), x["w"]["pos"], F.lit(") x"), x["w"]["count"].cast("string"), F.lit("  ->  "), x["w"]["alts"]))),
+        section("NOT APPROVED AS A VERB", F.transform("maybe_noun", lambda x: F.concat(F.lit("  "), times(x), F.lit("  ->  "), x["w"]["alts"]))),
+        section("NOT IN THE DICTIONARY", unknown),
+        section("HEDGES", F.transform(hedged, lambda x: F.concat(F.lit("  "), times(x), F.lit("  ->  "), x["w"]["hint"]))),
+        section("CODE-LIKE TOKENS", F.transform("auto", lambda x: F.format_string("  %s (%s) x%d", x["a"]["term"], x["a"]["kind"], x["a"]["count"]))),
+        section("STRUCTURE AND GRAMMAR", F.transform(ranked, lambda x: F.format_string("  [%s] %s   (%s)", x["item"]["rule"], x["item"]["message"], x["item"]["where"]))),
+        clean,
+    )
+    return rows.select("doc_id", F.array_join(lines, "\n").alias("text"), json.alias("json"))

@@ -6,7 +6,7 @@ window and no shuffle is needed before an aggregate asks for one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseflow.functions import text as T
@@ -23,8 +23,8 @@ _SENTENCE_END = (
 )
 
 
-def strip_code(text: Column) -> Column:
-    """Code blocks become empty lines and inline spans one word, ``CODESPAN``.
+def strip_code(text: Column, inline: bool = True) -> Column:
+    """Code blocks become empty lines and, if ``inline``, inline spans one word, ``CODESPAN``.
 
     A fold over the lines keeps the opener of a fence, whether an indented block or a list
     goes on, and whether the last line was blank.
@@ -45,7 +45,7 @@ def strip_code(text: Column) -> Column:
         opens = plain & (fence != "")
         marker = line.rlike(T.LIST_MARKER)
         code = inside | block | opens
-        kept = F.when(code, "").when(empty, line).otherwise(F.regexp_replace(line, INLINE_CODE, "CODESPAN"))
+        kept = F.when(code, "").when(empty, line).otherwise(F.regexp_replace(line, INLINE_CODE, "CODESPAN") if inline else line)
         return F.struct(
             F.when(closes, "").when(opens, fence).otherwise(s["open"]).alias("open"),
             F.when(plain, False).when(block, True).otherwise(s["indented"]).alias("indented"),
@@ -109,12 +109,35 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """``doc_id, para, sent, text``; ``sent`` counts through the document and skips headings."""
-    blocks = paragraphs_of(strip_code(T.lf_normalised(F.col("text"))))
-    by_para = F.transform(blocks, lambda b, i: F.when(is_heading_block(b), F.expr("array()").cast("array<struct<para:int,text:string>>")).otherwise(
-        F.transform(sentences_of(b), lambda s: F.struct((i + 1).alias("para"), s.alias("text")))
-    ))
-    flat = docs.select("doc_id", F.posexplode(F.flatten(by_para)).alias("sent", "s"))
-    return flat.select("doc_id", F.col("s.para").alias("para"), (F.col("sent") + 1).alias("sent"), F.col("s.text").alias("text"))
+    return counted_sentences(docs).drop("n")
+
+
+def counted_sentences(docs: DataFrame, *others: str) -> DataFrame:
+    """``doc_id, para, sent, text, n`` and other columns: ``n`` is how many sentences a paragraph of prose has, given with its first."""
+    none = F.expr("array()").cast("array<struct<para:int,text:string,n:int>>")
+
+    def of(b: Column, i: Column) -> Column:
+        listed = is_list_block(b)
+        each = lambda ss: F.transform(ss, lambda s, k: F.struct((i + 1).alias("para"), s.alias("text"), F.when((k == 0) & ~listed, F.size(ss)).alias("n")))
+        return F.when(is_heading_block(b), none).otherwise(T.let(sentences_of(b), each))
+
+    by_para = F.transform(paragraphs_of(strip_code(T.lf_normalised(F.col("text")))), of)
+    flat = docs.select("doc_id", *others, F.posexplode(F.flatten(by_para)).alias("sent", "s"))
+    return flat.select("doc_id", F.col("s.para").alias("para"), (F.col("sent") + 1).alias("sent"), F.col("s.text").alias("text"), F.col("s.n").alias("n"), *others)
+
+
+def shown_sentences(docs: DataFrame) -> DataFrame:
+    """``sentences`` with ``shown``, the sentence with its inline code back in place."""
+    spans = F.when(F.col("text").contains("`"), F.regexp_extract_all(strip_code(T.lf_normalised(F.col("text")), inline=False), F.lit(INLINE_CODE), F.lit(0)))
+    rows = docs.select("doc_id", "text", spans.alias("spans"))
+    each = counted_sentences(rows, "spans")
+    used = F.size(F.split("text", "CODESPAN")) - 1
+    before = F.sum(used).over(Window.partitionBy("doc_id").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1))
+    plain = each.where("spans IS NULL OR size(spans) = 0").select("doc_id", "para", "sent", "text", F.col("text").alias("shown"))
+    coded = each.where("size(spans) > 0").withColumn("before", F.coalesce(before, F.lit(0)))
+    at = lambda i: (F.col("before") + i - 1).cast("int")
+    put = F.transform(F.split("text", "CODESPAN"), lambda p, i: F.concat(F.when(i > 0, F.coalesce(F.get("spans", at(i)), F.lit("CODESPAN"))).otherwise(""), p))
+    return plain.unionByName(coded.select("doc_id", "para", "sent", "text", F.array_join(put, "").alias("shown")))
 
 
 def marked(sentence: Column) -> Column:
@@ -130,25 +153,43 @@ def marked(sentence: Column) -> Column:
     return T.let(plain, lambda x: F.when(looks(x), F.array_join(F.transform(chunks(x), one), "")).otherwise(x))
 
 
-def auto_terms(sentence: Column) -> Column:
-    """Code-like tokens of a sentence, ``term, kind``; a shouted sentence has no acronyms."""
+def auto_terms(sentence: Column, known: list[str] = ()) -> Column:
+    """Code-like tokens of a sentence, ``term, kind``; a shouted sentence has no acronyms, and words of ``known`` are none."""
     plain = F.translate(sentence, "’", "'")
     cores = F.transform(F.filter(T.fields(plain), lambda x: x.rlike(r"[._/:(A-Z-]")), T.core_of)
     found = F.transform(cores, lambda c: F.struct(c.alias("term"), T.code_kind(c).alias("kind")))
-    return F.filter(found, lambda x: (x["kind"] != "") & ((x["kind"] != "acronym") | ~T.is_shouted(plain)))
+    some = F.filter(found, lambda x: x["kind"] != "")
+    word = lambda x: F.lower(x["term"]).isin(sorted(known)) if known else F.lit(False)
+    quiet = lambda xs: T.let(T.is_shouted(plain), lambda loud: F.filter(xs, lambda x: (x["kind"] != "acronym") | ~(loud | word(x))))
+    return T.let(some, lambda xs: F.when(F.exists(xs, lambda x: x["kind"] == "acronym"), quiet(xs)).otherwise(xs))
 
 
-def tokens_of(sentence: Column) -> Column:
+def _joined(work: Column, phrases: list[str], by) -> Column:
+    """Each phrase, in order and in any case, replaced where it stands between word ends.  Most sentences have none: they are asked once."""
+    word = r"[\p{L}\p{N}_]"
+    replaced = work
+    for phrase in phrases:
+        replaced = F.regexp_replace(replaced, rf"(?iu)(?<!{word}){T.escaped(phrase)}(?!{word})", by(phrase))
+    return F.when(work.rlike("(?iu)" + "|".join(map(T.escaped, phrases))), replaced).otherwise(work)
+
+
+def tokens_of(sentence: Column, terms: list[str] = ()) -> Column:
     """Tokens for the word rules: ``tok`` in lower case, ``opaque`` for names and code.
 
     Parentheses, quotations, list markers and labels go; set phrases are one token joined by
-    ``_``; words in capitals and contractions vanish; a possessive loses its ending.
+    ``_``; words in capitals, code spans and contractions vanish; a possessive loses its ending.
+    terms: of several words, longest first; each is one opaque token.
     """
-    work = F.regexp_replace(F.regexp_replace(marked(sentence), r"\([^()]*\)", " "), "\"[^\"]+\"|“[^”]+”", " ")
+    return plain_tokens(marked(sentence), terms)
+
+
+def plain_tokens(masked: Column, terms: list[str] = ()) -> Column:
+    """``tokens_of`` a sentence that is ``marked`` already."""
+    work = F.regexp_replace(F.regexp_replace(masked, r"\([^()]*\)", " "), "\"[^\"]+\"|“[^”]+”", " ")
     work = F.regexp_replace(F.regexp_replace(work, T.LIST_MARKER, ""), T.LABEL, "")
-    word = r"[\p{L}\p{N}_]"
-    for phrase in PHRASES:
-        work = F.regexp_replace(work, rf"(?iu)(?<!{word}){phrase}(?!{word})", phrase.replace(" ", "_"))
+    if terms:
+        work = T.let(work, lambda w: _joined(w, list(terms), lambda p: "GLOSSARYTERM"))
+    work = T.let(work, lambda w: _joined(w, PHRASES, lambda p: p.replace(" ", "_")))
     raw = F.regexp_extract_all(work, F.lit(r"[A-Za-z][A-Za-z'\-_]*"), F.lit(0))
 
     def one(tok: Column, i: Column) -> Column:
@@ -157,11 +198,11 @@ def tokens_of(sentence: Column) -> Column:
         return F.when(~gone, T.let(F.substring_index(tok, "'", 1), lambda bare: token(bare, i)))
 
     def token(bare: Column, i: Column) -> Column:
-        auto = (bare == "GLOSSARYAUTO") | (bare == "CODESPAN")
+        auto, term = bare == "GLOSSARYAUTO", bare == "GLOSSARYTERM"
         upper = T.is_upper_word(bare)
-        gone = ~auto & upper & (F.length(bare) > 1)
-        opaque = auto | ((i > 0) & bare.rlike("^[A-Z]") & ~upper & ~bare.contains("_"))
-        return F.when(~gone, F.struct(F.when(auto, "<code>").otherwise(F.lower(bare)).alias("tok"), opaque.alias("opaque")))
+        gone = ~auto & ~term & upper & (F.length(bare) > 1)
+        opaque = auto | term | ((i > 0) & bare.rlike("^[A-Z]") & ~upper & ~bare.contains("_"))
+        return F.when(~gone, F.struct(F.when(auto, "<code>").when(term, "<term>").otherwise(F.lower(bare)).alias("tok"), opaque.alias("opaque")))
 
     return F.array_compact(F.transform(raw, one))
 

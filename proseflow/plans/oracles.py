@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from proseflow.functions import text as T
+from proseflow.operators import dictionary as D
 from proseflow.operators import fidelity as FI
 from proseflow.operators import glossary as G
 from proseflow.operators import lexicon_ru as L
@@ -140,7 +141,7 @@ def token_ctes(docs: str) -> str:
     return chunk_ctes(docs) + f""",
 raw AS (SELECT doc_id, sent, i, ts[i] AS tok FROM (SELECT doc_id, sent, {every(work, r"[A-Za-z][A-Za-z'\-_]*")} AS ts FROM masked), unnest(range(1, len(ts) + 1)) AS t(i)),
 bare AS (SELECT *, split_part(tok, '''', 1) AS b FROM raw WHERE NOT (contains(tok, '''') AND (ends_with(lower(tok), 'n''t') OR lower(tok) IN {listed(T.CONTRACTIONS)}))),
-flagged AS (SELECT *, b IN ('GLOSSARYAUTO', 'CODESPAN') AS auto, {upper('b')} AS up FROM bare),
+flagged AS (SELECT *, b = 'GLOSSARYAUTO' AS auto, {upper('b')} AS up FROM bare),
 toks AS (SELECT doc_id, sent, row_number() OVER (PARTITION BY doc_id, sent ORDER BY i) AS ord, CASE WHEN auto THEN '<code>' ELSE lower(b) END AS tok,
                 auto OR (i > 1 AND {rx('b', '^[A-Z]')} AND NOT up AND NOT contains(b, '_')) AS opaque
          FROM flagged WHERE auto OR NOT (up AND length(b) > 1)),
@@ -148,21 +149,76 @@ near AS (SELECT *, coalesce(replace(lag(tok) OVER w, '_', ' '), '') AS prev, lea
          FROM toks WINDOW w AS (PARTITION BY doc_id, sent ORDER BY ord))"""
 
 
+def judged_ctes(docs: str) -> str:
+    """Tokens with what the seed dictionary says of them: candidates of de-inflection meet its words by a join."""
+    own = D.seed()
+    has = lambda x, name: f"{x} IN {listed(own.sets[name])}"
+    rules = ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(D.DEINFLECT, 1))
+    return token_ctes(docs) + f""",
+shaped AS (SELECT *, NOT opaque AND contains(tok, '_') AS phrase, NOT opaque AND (length(tok) < 2 OR tok IN ('been', 'being')) AS still,
+                  NOT opaque AND tok IN {listed(E.NUMBER_WORDS)} AS number FROM near),
+plain AS (SELECT *, NOT opaque AND NOT phrase AND NOT still AND NOT number AS plain FROM shaped),
+tries AS (SELECT tok, 0 AS step, tok AS form FROM (SELECT DISTINCT tok FROM plain WHERE plain) UNION ALL
+          SELECT tok, k, left(tok, length(tok) - length(suf)) || rep FROM (SELECT DISTINCT tok FROM plain WHERE plain), (VALUES {rules}) AS v(k, suf, rep) WHERE ends_with(tok, suf) AND length(tok) > length(suf) + 2),
+hits AS (SELECT tok, step, form, {has('form', 'forms')} AS good FROM tries WHERE {has('form', 'forms')} OR {has('form', 'banned')} QUALIFY row_number() OVER (PARTITION BY tok ORDER BY step) = 1),
+looked AS (SELECT p.*, CASE WHEN h.form IS NULL THEN 'unknown' WHEN NOT good THEN 'non_approved' WHEN step = 0 THEN 'approved' ELSE 'approved-inflected' END AS kind0, coalesce(h.form, p.tok) AS hit
+           FROM plain p LEFT JOIN hits h ON h.tok = p.tok AND p.plain),
+excused AS (SELECT *, plain AND kind0 = 'non_approved' AND prev IN {listed(E.DETERMINERS)} AND {has('hit', 'all_verb')} AS noun,
+                   plain AND kind0 = 'non_approved' AND prev NOT IN {listed(E.DETERMINERS)} AND ord > 1 AND prev NOT IN {listed(D.VERB_SLOT)} AND {has('hit', 'all_verb')}
+                   AND NOT {has('hit', 'looks_verb')} AND ({has('hit', 'nounish')} OR NOT {has('prev', 'functions')}) AS maybe FROM looked),
+judged AS (SELECT *, CASE WHEN noun THEN CASE WHEN {has('hit', 'nounish')} THEN 'approved' ELSE 'unknown' END ELSE kind0 END AS kind FROM excused),
+ended AS (SELECT *, plain AND ({has('hit', 'function_bases')} OR {has('hit', 'verb_bases')} OR (kind = 'non_approved' AND {has('hit', 'all_verb')} AND NOT maybe)
+                 OR (ends_with(tok, 'ly') AND length(tok) > 3 AND NOT {has('tok', 'no_adverbs')})) AS ends FROM judged),
+runs AS (SELECT *, CASE WHEN phrase THEN 2 WHEN ends THEN 1 ELSE 0 END AS brk,
+                coalesce(sum(CASE WHEN phrase OR ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ended WHERE NOT still),
+clusters AS (SELECT doc_id, sent, coalesce(max(ord) FILTER (brk = 1), 1000000) AS ord, string_agg(tok, ' ' ORDER BY ord) FILTER (brk = 0) AS match FROM runs GROUP BY doc_id, sent, g
+             HAVING count(*) FILTER (brk = 0) >= 4 AND max(brk) < 2)"""
+
+
 _ING = f"(ends_with(tok, 'ing') AND tok NOT IN {listed(T.APPROVED_ING)} AND NOT ends_with(tok, 'thing') AND {rx('tok', '[aeiouy].*ing$')})"
 _PART = f"(ends_with(tok, 'ed') OR tok IN {listed(E.PARTICIPLES)})"
-_PLAIN = f"(NOT opaque AND NOT contains(tok, '_') AND length(tok) >= 2 AND tok NOT IN {listed(E.NUMBER_WORDS)})"
-_AFTER = f"(nxt IS NULL OR (NOT nxt_opaque AND nxt IN {listed(E.FUNCTION_WORDS + E.BE)}))"
-
-
-def word_findings(docs: str) -> str:
-    return token_ctes(docs) + f"""
-SELECT doc_id, sent, ord, '3.4' AS rule, 'tense' AS kind, tok AS match FROM near WHERE {_PLAIN} AND tok IN ('been', 'being')
-UNION ALL SELECT doc_id, sent, ord, CASE WHEN prev IN {listed(E.DETERMINERS)} OR NOT {_AFTER} THEN '3.5?' ELSE '3.5' END, 'ing', tok FROM near
-  WHERE {_PLAIN} AND tok NOT IN ('been', 'being') AND {_ING}
-UNION ALL SELECT doc_id, sent, ord, '3.4', 'tense', prev || ' ' || tok FROM near
-  WHERE {_PLAIN} AND tok NOT IN ('been', 'being') AND prev IN {listed(E.HAVE)} AND {_PART} AND tok <> 'need'
-UNION ALL SELECT doc_id, sent, ord, CASE WHEN nxt = 'by' AND NOT nxt_opaque THEN '3.6' ELSE '3.6?' END, 'passive', prev || ' ' || tok FROM near
-  WHERE {_PLAIN} AND tok NOT IN ('been', 'being') AND prev IN {listed(E.BE)} AND {_PART}"""
+
+
+def token_findings() -> str:
+    """Findings of judged tokens, with the order of those of one token."""
+    own = D.seed()
+    after = f"(nxt IS NULL OR (NOT nxt_opaque AND nxt IN {listed(sorted({*own.sets['functions'], *own.sets['verbs'], *E.BE}))}))"
+    return f"""SELECT doc_id, sent, ord, 0 AS sub, '3.4' AS rule, 'tense' AS kind, tok AS match FROM ended WHERE NOT opaque AND tok IN ('been', 'being')
+UNION ALL SELECT doc_id, sent, ord, 1, CASE WHEN prev IN {listed(E.DETERMINERS)} OR NOT {after} THEN '3.5?' ELSE '3.5' END, 'ing', tok FROM ended WHERE plain AND {_ING}
+UNION ALL SELECT doc_id, sent, ord, 2, '3.4', 'tense', prev || ' ' || tok FROM ended WHERE plain AND prev IN {listed(E.HAVE)} AND {_PART} AND tok <> 'need'
+UNION ALL SELECT doc_id, sent, ord, 3, CASE WHEN nxt = 'by' AND NOT nxt_opaque THEN '3.6' ELSE '3.6?' END, 'passive', prev || ' ' || tok FROM ended WHERE plain AND prev IN {listed(E.BE)} AND {_PART}
+UNION ALL SELECT doc_id, sent, ord, 4, '2.1', 'noun-cluster', match FROM clusters"""
+
+
+def finding_en_ctes(docs: str) -> str:
+    """All findings with the seed dictionary: ``every(doc_id, para, sent, seq, rule, kind, match)``."""
+    verbs = D.seed().sets["verbs"]
+    plain_text = f"replace(text, '’', {q(chr(39))})"
+    apostrophe = every(plain_text, r"[\pL\pN_]+'(?i:t|s|re|ve|ll|d|m)\b")
+    first = lambda words, tail: first_bounded("text", words, tail)
+    possessive = q("'s")
+    return judged_ctes(docs) + f""",
+whole AS (SELECT doc_id, para, sent, text, {mode('text', verbs)} AS mode, {words('text')} AS n FROM masked),
+shorts AS (SELECT doc_id, sent, i, ms[i] AS m FROM (SELECT doc_id, sent, {apostrophe} AS ms FROM masked), unnest(range(1, len(ms) + 1)) AS u(i)),
+marks AS (SELECT doc_id, sent, 0 AS stage, 0 AS ord, 0 AS sub, CASE mode WHEN 'procedural' THEN '5.1' ELSE '6.3' END AS rule, 'length' AS kind, CAST(n AS VARCHAR) AS match
+          FROM whole WHERE n > CASE mode WHEN 'procedural' THEN {E.LIMITS['procedural']} ELSE {E.LIMITS['descriptive']} END
+  UNION ALL SELECT doc_id, sent, 1, 0, 0, '8.1', 'punctuation', ';' FROM whole WHERE contains(text, ';')
+  UNION ALL SELECT doc_id, sent, 2, i, 0, '4.2', 'contraction', m FROM shorts WHERE NOT ends_with(lower(m), {possessive}) OR lower(m) IN {listed(T.CONTRACTIONS)}
+  UNION ALL SELECT doc_id, sent, 3, 0, 0, 'GR-6', 'latin', {first(T.LATIN, False)} FROM whole WHERE {first(T.LATIN, False)} <> ''
+  UNION ALL SELECT doc_id, sent, 4, 0, 0, 'GR-7', 'pronoun', {first(T.PRONOUNS, True)} FROM whole WHERE {first(T.PRONOUNS, True)} <> ''
+  UNION ALL SELECT doc_id, sent, 5, ord, sub, rule, kind, match FROM ({token_findings()})),
+every AS (SELECT m.doc_id, s.para, m.sent, row_number() OVER (PARTITION BY m.doc_id, m.sent ORDER BY stage, ord, sub) AS seq, rule, kind, match FROM marks m JOIN sents s ON s.doc_id = m.doc_id AND s.sent = m.sent
+  UNION ALL SELECT doc_id, para, 0, 0, '6.6', 'paragraph', CAST(k AS VARCHAR) FROM (SELECT s.doc_id, s.para, count(*) AS k FROM sents s JOIN paras p ON p.doc_id = s.doc_id AND p.para = s.para WHERE NOT listy GROUP BY s.doc_id, s.para) WHERE k > {E.PARAGRAPH_LIMIT})"""
+
+
+def bases() -> str:
+    """``base, alts, pos, hint`` of the seed dictionary as DuckDB values."""
+    own, rows = D.seed(), []
+    for w in {*own.banned, *D.HEDGE_HINTS}:
+        es = own.banned.get(w, [])
+        hint = q(D.HEDGE_HINTS[w]) if w in D.HEDGE_HINTS else "NULL"
+        rows.append(f"({q(w)}, {q('; '.join(', '.join(e['use_instead']) for e in es))}, {q('/'.join(e['pos'] for e in es))}, {hint})")
+    return "(VALUES " + ", ".join(sorted(rows)) + ") AS b(base, alts, pos, hint)"
 
 
 def first_bounded(text: str, alternatives: list[str], tail: bool) -> str:

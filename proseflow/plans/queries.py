@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseflow.functions import text as T
@@ -83,17 +83,18 @@ def token_counts(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("opaque").alias("n_opaque"), F.count_if(F.col("ord") == 1).alias("n_first"))
 
 
-def _word_findings(docs: DataFrame) -> DataFrame:
-    rows = segments.sentences(docs).select("doc_id", "sent", F.explode(T.let(segments.tokens_of(F.col("text")), lambda tokens: rules_en.word_findings(tokens))).alias("f"))
-    return rows.groupBy("doc_id", "sent", "f.rule", "f.kind", "f.match").agg(F.count("*").alias("n"))
+def _judged(docs: DataFrame) -> tuple[DataFrame, Column]:
+    return segments.sentences(docs), rules_en.judged(segments.tokens_of(F.col("text")), dictionary.seed())
 
 
-_COUNTED = " SELECT doc_id, CAST(sent AS INT) AS sent, rule, kind, match, count(*) AS n FROM found GROUP BY ALL"
+def _word_findings(docs: DataFrame) -> DataFrame:
+    rows, judged = _judged(docs)
+    found = F.filter(T.let(judged, lambda ts: rules_en.judged_findings(ts, dictionary.seed())), lambda f: f["kind"] != "noun-cluster")
+    return rows.select("doc_id", "sent", F.explode(found).alias("f")).groupBy("doc_id", "sent", "f.rule", "f.kind", "f.match").agg(F.count("*").alias("n"))
 
 
 def _counted(docs: str) -> str:
-    head, tail = O.word_findings(docs).rsplit("\nSELECT doc_id, sent, ord, '3.4' AS rule", 1)
-    return head + ", found AS (SELECT doc_id, sent, ord, '3.4' AS rule" + tail + ")" + _COUNTED
+    return O.judged_ctes(docs) + f", found AS ({O.token_findings()}) SELECT doc_id, CAST(sent AS INT) AS sent, rule, kind, match, count(*) AS n FROM found WHERE kind <> 'noun-cluster' GROUP BY ALL"
 
 
 @query(_counted(O.ENGLISH))
@@ -162,14 +163,21 @@ def code_tokens_documents(spark, sf_dir):
     return _auto(documents(spark, sf_dir))
 
 
-@query()
+_RANK = "list_position([" + ", ".join(f"'{k}'" for k in rules_en.KINDS) + "], kind)"
+
+
+@query(
+    O.finding_en_ctes(O.ENGLISH)
+    + f" SELECT doc_id, CAST(para AS INT) AS para, CAST(sent AS INT) AS sent, CAST(seq AS INT) AS seq, rule, kind, match, CAST({_RANK} AS INT) AS kind_rank,"
+    f" CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, para, sent, seq) AS INT) AS place FROM every"
+)
 def findings_en_ordered(spark, sf_dir):
-    return rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir), verbs=dictionary.verbs()))
+    return rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir), own=dictionary.seed()))
 
 
-@query()
+@query(O.finding_en_ctes(O.DOCUMENTS) + " SELECT rule, kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM every GROUP BY ALL")
 def finding_counts(spark, sf_dir):
-    return rules_en.findings(documents(spark, sf_dir), verbs=dictionary.verbs()).groupBy("rule", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return rules_en.findings(documents(spark, sf_dir), own=dictionary.seed()).groupBy("rule", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query(f"WITH {O.masked(O.RUSSIAN)} SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM prose_lines GROUP BY doc_id")
@@ -337,17 +345,33 @@ def word_lookup(spark, sf_dir):
     return _looked_up(spark, segments.tokens(tables.english(spark, sf_dir)))
 
 
-@query()
+@query(
+    O.judged_ctes(O.ENGLISH)
+    + f""", h AS (SELECT doc_id, hit AS base, CASE WHEN maybe THEN 'maybe_noun' ELSE kind END AS kind, sent, ord FROM judged WHERE plain AND kind IN ('non_approved', 'unknown')),
+g AS (SELECT doc_id, base, arg_min(kind, sent * 100000 + ord) AS kind, count(*) AS count FROM h GROUP BY ALL)
+SELECT doc_id, g.base, g.kind, count, CASE WHEN g.kind = 'unknown' THEN '' ELSE coalesce(alts, '') END AS alts, CASE WHEN g.kind = 'unknown' THEN '' ELSE coalesce(pos, '') END AS pos, hint
+FROM g LEFT JOIN {O.bases()} ON b.base = g.base"""
+)
 def word_hits(spark, sf_dir):
-    tokens = segments.tokens(tables.english(spark, sf_dir))
-    return dictionary.word_hits(tokens, _looked_up(spark, tokens))
+    return rules_en.word_hits(tables.english(spark, sf_dir), dictionary.seed()).select("doc_id", "base", "kind", "count", "alts", "pos", "hint")
+
+
+@query(O.judged_ctes(O.ENGLISH) + ", g AS (SELECT hit AS base, count(*) AS n FROM judged WHERE plain AND kind IN ('non_approved', 'unknown') GROUP BY hit) SELECT base, n, hint FROM g JOIN " + O.bases() + " USING (base) WHERE hint IS NOT NULL")
+def hedge_hints(spark, sf_dir):
+    found = rules_en.word_hits(tables.english(spark, sf_dir), dictionary.seed()).where("hint IS NOT NULL")
+    return found.groupBy("base", "hint").agg(F.sum("count").alias("n")).select("base", "n", "hint")
 
 
 @query()
 def report_json_en(spark, sf_dir):
-    found = rules_en.findings(tables.english(spark, sf_dir), verbs=dictionary.verbs())
-    line = F.struct("para", "sent", "seq", "rule", "kind", "match")
-    return found.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(line))).alias("report"))
+    return rules_en.reports(tables.english(spark, sf_dir), dictionary.seed()).select("doc_id", F.col("json").alias("report"))
+
+
+@query()
+def lookup_en(spark, sf_dir):
+    """Entries for the words of part types and those of the seed that are not approved."""
+    types = [r.w for r in tables.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("w")).distinct().orderBy("w").collect()]
+    return dictionary.lookup_report(spark, [*types, *(w for w, _, _ in dictionary.NOT_APPROVED), "removing", "may", "thing"])
 
 
 @query("SELECT ending FROM " + O._ENDS + " AS e(class, ending) WHERE class = 'v'")
@@ -390,21 +414,13 @@ def lookup_lines_ru(spark, sf_dir):
 
 
 def _clusters(docs: str) -> str:
-    ends = f"NOT opaque AND tok NOT IN {O.listed(rules_en.NUMBER_WORDS)} AND (tok IN {O.listed(rules_en.FUNCTION_WORDS + dictionary.verbs())} OR (ends_with(tok, 'ly') AND length(tok) > 3))"
-    return (
-        O.token_ctes(docs)
-        + f""", marks AS (SELECT *, CASE WHEN NOT opaque AND contains(tok, '_') THEN 2 WHEN {ends} THEN 1 ELSE 0 END AS brk FROM toks
-  WHERE opaque OR NOT (length(tok) < 2 OR tok IN ('been', 'being'))),
-runs AS (SELECT *, coalesce(sum(CASE WHEN brk > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marks),
-found AS (SELECT doc_id, sent, g, string_agg(tok, ' ' ORDER BY ord) FILTER (brk = 0) AS cluster FROM runs GROUP BY doc_id, sent, g
-          HAVING count(*) FILTER (brk = 0) >= 4 AND max(brk) < 2)
-SELECT doc_id, CAST(sent AS INT) AS sent, cluster, count(*) AS n FROM found GROUP BY ALL"""
-    )
+    return O.judged_ctes(docs) + " SELECT doc_id, CAST(sent AS INT) AS sent, match AS cluster, count(*) AS n FROM clusters GROUP BY ALL"
 
 
 def _noun_clusters(docs: DataFrame) -> DataFrame:
-    found = F.explode(rules_en.noun_clusters(segments.tokens_of(F.col("text")), dictionary.verbs())).alias("cluster")
-    return segments.sentences(docs).select("doc_id", "sent", found).groupBy("doc_id", "sent", "cluster").agg(F.count("*").alias("n"))
+    rows, judged = _judged(docs)
+    found = F.explode(T.let(judged, rules_en.clusters_of)).alias("cluster")
+    return rows.select("doc_id", "sent", found).groupBy("doc_id", "sent", "cluster").agg(F.count("*").alias("n"))
 
 
 @query(_clusters(O.ENGLISH))
@@ -417,17 +433,14 @@ def noun_clusters_documents(spark, sf_dir):
     return _noun_clusters(documents(spark, sf_dir))
 
 
-@query(O.sentence_ctes(O.ENGLISH) + f" SELECT doc_id, CAST(sent AS INT) AS sent, {O.mode('text', dictionary.verbs())} AS mode FROM sents")
+@query(O.sentence_ctes(O.ENGLISH) + f" SELECT doc_id, CAST(sent AS INT) AS sent, {O.mode('text', dictionary.seed().sets["verbs"])} AS mode FROM sents")
 def sentence_mode(spark, sf_dir):
-    return segments.sentences(tables.english(spark, sf_dir)).select("doc_id", "sent", rules_en.mode_of(F.col("text"), verbs=dictionary.verbs()).alias("mode"))
+    return segments.sentences(tables.english(spark, sf_dir)).select("doc_id", "sent", rules_en.mode_of(F.col("text"), verbs=dictionary.seed().sets["verbs"]).alias("mode"))
 
 
 @query()
 def report_text_en(spark, sf_dir):
-    """Lines of a report in order, one array for each document."""
-    found = rules_en.ordered(rules_en.findings(tables.english(spark, sf_dir), verbs=dictionary.verbs()))
-    line = F.format_string("%-5s %-12s para %d, sentence %d: %s", "rule", "kind", "para", "sent", "match")
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x")).select("doc_id", F.col("x.line").alias("lines"))
+    return rules_en.reports(tables.english(spark, sf_dir), dictionary.seed()).select("doc_id", F.split("text", "\n").alias("lines"))
 
 
 @query()

@@ -16,7 +16,7 @@ def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENTS) -> D
 
 def findings(stream: DataFrame, mode: str = "auto") -> DataFrame:
     """Findings of each document as it arrives."""
-    return rules_en.findings(stream, mode, dictionary.verbs())
+    return rules_en.findings(stream, mode, own=dictionary.seed())
 
 
 def counts(stream: DataFrame) -> DataFrame:
