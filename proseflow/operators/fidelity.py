@@ -90,15 +90,15 @@ def lost_file_lines(source: Column, target: Column) -> Column:
 
 def paths(source: Column, target: Column) -> Column:
     """Paths of the source's prose that are neither in the target nor part of a place in a file: ``match, at``."""
-    places = _names(found_in(source, FILE_LINE))
     trimmed = F.transform(found_in(R.prose(source), PATH), lambda x: F.struct(F.regexp_replace(x["match"], r"\.+$", "").alias("match"), x["at"].alias("at")))
 
-    def is_path(x: Column) -> Column:
+    def is_path(x: Column, places: Column) -> Column:
         v = x["match"]
         return (v.startswith("/") | v.startswith("./") | F.substring_index(v, "/", -1).rlike(FILE_NAME)) & v.rlike("[A-Za-z]") & ~F.exists(places, lambda p: p.contains(v))
 
     first = T.let(trimmed, lambda xs: F.filter(xs, lambda x, i: F.array_position(_names(xs), x["match"]) == i + 1))
-    return F.filter(first, lambda x: is_path(x) & ~target.contains(x["match"]))
+    places = _names(found_in(source, FILE_LINE))
+    return T.let(places, lambda known: F.filter(first, lambda x: is_path(x, known) & ~target.contains(x["match"])))
 
 
 def lost_paths(source: Column, target: Column) -> Column:

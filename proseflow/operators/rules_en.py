@@ -136,7 +136,7 @@ def judged(tokens: Column, own, glossary: list[str] = ()) -> Column:
 
     sets = own.sets
 
-    def one(t: Column, i: Column) -> Column:
+    def one(tokens: Column, t: Column, i: Column) -> Column:
         tok = t["tok"]
         phrase = ~t["opaque"] & tok.contains("_")
         number = ~t["opaque"] & tok.isin(NUMBER_WORDS)
@@ -163,7 +163,9 @@ def judged(tokens: Column, own, glossary: list[str] = ()) -> Column:
         own_ = [t[c].alias(c) for c in ("tok", "opaque", "plain", "phrase", "still", "number", "prev", "next")]
         return F.struct(*own_, final.alias("kind"), hit.alias("hit"), F.coalesce(maybe, F.lit(False)).alias("maybe_noun"), F.coalesce(ends, F.lit(False)).alias("ends"))
 
-    return T.let(F.transform(tokens, one), lambda ts: F.transform(ts, two))
+    # Neighbours are taken from the bound array: an unbound one would be made again for each of them.
+    looked_up = lambda bound: F.transform(bound, lambda t, i: one(bound, t, i))
+    return T.let(tokens, lambda bound: T.let(looked_up(bound), lambda ts: F.transform(ts, two)))
 
 
 def judged_findings(judged_: Column, own) -> Column:
