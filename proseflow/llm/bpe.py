@@ -16,7 +16,9 @@ import hashlib
 import json
 import struct
 import unicodedata
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseflow.llm.chunk_table import ChunkTable
 from proseflow.llm.common import in_arrow
 
 #: Entries of a cache of chunks, and a third of it those of the cache of pre-tokens; a full one is emptied.
-CACHE = 900_000
+CACHE = 300_000
 #: Characters of what is cached at most: a longer chunk is not likely to come again.
 LONGEST = 64
+#: Bytes of text that are looked up together.
+BLOCK = 1 << 18
 
 
 def byte_alphabet() -> list[str]:
@@ -138,6 +143,7 @@ class Encoder:
         self.words = _Cache(self._word, 3)
         self.chunks = _Cache(self._chunk)
         self.spaced = _Cache(self._spaced)
+        self.table = ChunkTable(self._made)
 
     def _word(self, word: str) -> bytes:
         """A pre-token."""
@@ -170,20 +176,85 @@ class Encoder:
         parts = self.cut_special(text) if self.special else [text]
         return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._chunk(x) for x in parts if x)
 
+    def _plain(self, text: str) -> bool:
+        """Whether the argument for chunks fails."""
+        if "<|" in text and any(x in text for x in self.special):
+            return True
+        if self.kind == "word":
+            return not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)) or _CONTROL(text) is not None
+        return _crossed(text)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text and any(x in text for x in self.special):
+        if self._plain(text):
             return self.whole(text)
         if self.kind == "word":
-            if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)) or _CONTROL(text):
-                return self.whole(text)
             return b"".join(map(self.chunks.__getitem__, text.lower().split()))
-        if _crossed(text):
-            return self.whole(text)
         first, *rest = text.split(" ")
         return self._chunk(first) + b"".join(map(self.spaced.__getitem__, rest))
 
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """What a call gives for each text, in order; chunks of some BLOCK bytes are looked up together."""
+        block, size = [], 0
+        for text in texts:
+            pieces = self._pieces(text)
+            if len(pieces) == 1:
+                block += pieces
+                size += len(pieces[0])
+                if size < BLOCK:
+                    continue
+            yield from self._looked_up(block)
+            if not pieces:
+                yield self(text)
+            elif len(pieces) > 1:
+                yield b"".join(x for piece in pieces for x in self._looked_up([piece]))
+            block, size = [], 0
+        yield from self._looked_up(block)
+
+    def _pieces(self, text: str | None) -> list[bytes]:
+        """A text whose chunks begin at its spaces, cut at spaces if long; nothing if it must go by itself."""
+        if not text:
+            return [b""]
+        if self._plain(text):
+            return []
+        if self.kind == "word":
+            text = " ".join(["", *text.lower().split()])
+        raw = text.encode()
+        pieces, a = [], 0
+        while len(raw) - a > BLOCK and (cut := raw.find(b" ", a + BLOCK)) > 0:
+            pieces.append(raw[a:cut])
+            a = cut
+        pieces.append(raw[a:])
+        return pieces if max(map(len, pieces)) <= 2 * BLOCK else []
+
+    def _made(self, raw: bytes) -> bytes:
+        """A chunk with the space before it."""
+        chunk = raw.decode()
+        if chunk[0] != " ":
+            return self._chunk(chunk)
+        return self._chunk(chunk[1:]) if self.kind == "word" else self._spaced(chunk[1:])
+
+    def _looked_up(self, texts: list[bytes]) -> list[bytes]:
+        raw = b"".join(texts)
+        if not raw:
+            return [b""] * len(texts)
+        ends = np.cumsum([len(x) for x in texts])
+        b = np.frombuffer(raw, np.uint8)
+        begins = b == 32
+        begins[0] = True
+        if self.kind == "byte":  # a line end between two characters that are no white space is a pre-token
+            line = np.flatnonzero(b[1:-1] == 10) + 1
+            left, right = b[line - 1], b[line + 1]
+            line = line[(left > 32) & (left < 127) & (right > 32) & ((right < 127) | (right > 0xC2) & (right < 0xE0))]
+            begins[line] = begins[line + 1] = True
+        begins[ends[ends < len(raw)]] = True
+        starts = np.flatnonzero(begins)
+        ids, sizes = self.table.encode(raw, starts)
+        before = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, ends)]
+        data = ids.tobytes()
+        return [data[4 * a : 4 * e] for a, e in pairwise([0, *before.tolist()])]
+
 
 #: Split on by Python, but no white space to the library.
 _CONTROL = regex.compile("[\x1c-\x1f]").search

@@ -158,9 +158,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, own in zip(batch.column(0).to_pylist(), enc.many(x.as_py() for x in batch.column(1)), strict=True):
                 ids.append(doc_id)
-                parts.append(enc(text) + end)
+                parts.append(own + end)
                 size += len(parts[-1]) // 4
                 if size >= SHARD:
                     yield row()

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from proseflow.llm import bpe, packing, token_file
+from proseflow.llm import bpe, chunk_table, packing, token_file
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 BITS = ["a", "the", " ", "  ", "\n", "\t", " \n", "\n ", "é", "É", "Σ", "1", "23", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "!", "...", " ", "　", "漢字", "²", "\x1c", "🙂", "İ", "Word", "."]
@@ -31,6 +31,31 @@ def test_encoder_equals_library(path, own):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(path, text), text
 
 
+@pytest.mark.parametrize(("path", "own"), [(BYTE, False), (BYTE, True), (WORD, False)])
+@pytest.mark.parametrize("block", [1, 50, 1 << 20])
+def test_many_equals_library(path, own, block, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    texts = TEXTS + ["many words of " * 200 + "z" * 300 + " " + "漢" * 90, "a " * 30 + "b" * 64 + " " + "b" * 63]
+    texts += ["One.\nTwo\nÉté\n\nx\n", "\nx\n", "a\n\u00a0b\u00a0\nc\n\u3000d\n\u2028\ne\n\u0085f\n's\n"]
+    encode = bpe.Encoder(path, own)
+    for _ in range(2):
+        got = list(encode.many(texts))
+        assert len(got) == len(texts)
+        for text, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == ids_of(path, text), text
+    assert list(encode.many([])) == []
+
+
+def test_full_chunk_table_is_emptied(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 60)
+    monkeypatch.setattr(chunk_table, "ENTRIES", 40)
+    monkeypatch.setattr(chunk_table, "SLOT_BITS", 6)
+    encode = bpe.Encoder(BYTE)
+    texts = [" ".join(random.Random(k).choices("abcdefgh", k=3)) + f" {k} w{k % 50}." for k in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode.many(texts)] == [ids_of(BYTE, x) for x in texts]
+    assert encode.table.n <= 40
+
+
 def test_full_cache_is_emptied(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 9)
     encode = bpe.Encoder(BYTE)
