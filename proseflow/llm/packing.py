@@ -142,8 +142,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = enc(text) + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), enc.many(x.as_py() for x in batch.column(1)), strict=True):
+                own += end
                 held.append((doc_id, 0, own, len(own) // 4))
                 size += len(own) // 4
                 if size >= BLOCK:
