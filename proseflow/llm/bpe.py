@@ -139,6 +139,7 @@ class Encoder:
             self.bytes_of: list[bytes] = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
             for token, i in [*ids.items(), *self.special.items()]:
                 self.bytes_of[i] = bytes(shown[c] for c in token) if all(c in shown for c in token) else token.encode()
+            self.decimals = list(map(str, range(len(self.bytes_of))))
             self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.words = _Cache(self._word, 3)
         self.chunks = _Cache(self._chunk)
@@ -290,13 +291,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(tokenizer, own=True)
-        vocab = enc.bytes_of.__getitem__
+        vocab, decimal = enc.bytes_of.__getitem__, enc.decimals.__getitem__
         counts, hashes, decodes, all_ids, all_texts = [], [], [], [], []
-        for text in batch.column(1).to_pylist():
-            ids = np.frombuffer(enc(text), "<u4").tolist()
+        for packed in enc.many(x.as_py() for x in batch.column(1)):
+            ids = np.frombuffer(packed, "<u4").tolist()
             raw = b"".join(map(vocab, ids))
             counts.append(len(ids))
-            hashes.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            hashes.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
             try:
                 raw.decode()
             except UnicodeDecodeError:
