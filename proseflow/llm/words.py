@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries of the word cache; a full one is emptied.  Words of more bytes than LONGEST are not cached.
-CACHE, LONGEST = 600_000, 64
+CACHE, LONGEST = 250_000, 64
 
 
 class _Hashes(dict):
