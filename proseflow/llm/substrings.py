@@ -37,7 +37,7 @@ ANCHOR = 24
 #: Different runs of an anchor that one suffix array takes.
 LARGE = 20_000
 #: Bytes of text whose runs make a block, and runs that make a task of suffix arrays, about.
-BLOCK_BYTES, BLOCK_RUNS = 8_000_000, 20_000
+BLOCK_BYTES, BLOCK_RUNS = 4_000_000, 20_000
 #: Longer texts are cut into overlapping slices.
 SLICE = 1_000_000
 #: Bytes of text whose runs are worked out at once, and whose runs leave a task together.
