@@ -64,14 +64,15 @@ def release() -> None:
             pass
 
 
-def stored(df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, Callable[[], None]]:
+def stored(df: DataFrame, compression: str = "zstd", partition_by: str | None = None) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` written as a table in the shared folder and read again, and what deletes the table.
 
     Cuts lineage: a lost executor costs no more than the tasks that ran on it.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), functools.partial(_delete, spark, path)
 
 

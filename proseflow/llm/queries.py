@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseflow.llm import bpe, embeddings, htmltext, langid, linedup, minhash, packing, quality, substrings, token_file
+from proseflow.llm import bpe, chat, embeddings, htmltext, langid, lexical, linedup, minhash, packing, quality, substrings, token_file, trie
 from proseflow.llm.common import table
 
 
@@ -66,6 +67,23 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations")).drop("p1", "p2")
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("record")
+    )
+    probe = json.dumps({"messages": [{"role": role, "content": chat.PROBE} for role in ("user", "assistant")]})
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(probe).alias("record"))
+    return chat.read_back(chat.format_turns(chat.turns_from(rows).unionByName(chat.turns_from(more))))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_packing": op2_packing,
@@ -77,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
     "op10_lines": op10_lines,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat": op12_chat,
+    "op13_search": op13_search,
 }
 
-ORACLES: dict[str, str] = {"op10_lines": linedup.ORACLE}
+ORACLES: dict[str, str] = {"op10_lines": linedup.ORACLE, "op11_prefix_trie": trie.ORACLE, "op12_chat": chat.ORACLE, "op13_search": lexical.ORACLE}
