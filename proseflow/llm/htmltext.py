@@ -24,7 +24,8 @@ from proseflow.llm.common import in_arrow, join_skewed, stored
 _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 _QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute in full, so that what its value holds is never taken for another one.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 #: Words of a text; in scripts without spaces each character counts as one.
@@ -50,15 +51,15 @@ STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 NOT_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer footers masthead cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
+    "alert popup modal overlay newsletter subscribe subscription signup login search share sharing social tags related recommended "
     "recommendations comment comments disqus respond reply replies feedback toolbar pagination pager skip copyright legal disclaimer".split()
 )
 #: Of these, words that the text itself may be about.
 AMBIGUOUS = frozenset("notice notices alert search share social related recommended respond reply replies feedback skip copyright legal disclaimer promotion".split())
 #: What may stand beside such a word in a name without changing what the name marks.
 FILLER = frozenset(
-    "article area bar block body bottom box button center col column container content entry form global group header holder inline inner item items left "
-    "link links list main message module nav outer page panel post posts reader right row section site slot small sticky text thread title top unit user "
+    "area article articles bar block body bottom box button buttons center col column container content entry form global group header holder icon icons inline inner "
+    "item items left link links list main message module nav outer page panel policy post posts reader right row section site slot small sticky stories story text thread title top unit user "
     "users view wide wrap wrapper".split()
 )
 HEADER = frozenset("header topbar".split())
@@ -107,7 +108,7 @@ def _node(tag: str, attributes: str) -> Node:
             drop |= "display:none" in value.replace(" ", "").lower()
         elif key == "aria-hidden":
             drop |= value.lower() == "true"
-        else:
+        elif key == "hidden":
             drop = True
     return Node(tag, name, frozenset(words), frozenset(marks), drop)
 

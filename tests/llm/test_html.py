@@ -124,3 +124,26 @@ def test_vote_against_plain_count(spark):
         assert sorted((str(r.page_id), r.text) for r in htmltext.main_text(df).collect()) == few and len(few) == 14
     finally:
         htmltext.BROADCAST_HOSTS = limit
+
+
+BODY = "The valley lies between two hills and the river runs through it for many miles."
+
+
+@pytest.mark.parametrize("html", [
+    f'<article data-title="Hidden valleys"><p>{BODY}</p></article>', f'<div title="the hidden valley"><p>{BODY}</p></div>', f'<p title="A hidden gem">{BODY}</p>',
+    f'<p data-class="ad">{BODY}</p>', f"<article data-x='role=\"dialog\"'><p>{BODY}</p></article>", f'<p title="id=ad class=menu style=display:none">{BODY}</p>',
+    f'<p data-hidden>{BODY}</p>', f'<p data-hidden=1 lang=en>{BODY}</p>', f'<article alt="x > hidden"><p>{BODY}</p></article>',
+])
+def test_values_of_attributes_are_no_attributes(html):
+    assert htmltext.extract(html, None) == BODY
+    assert htmltext.extract(f"<nav>menu</nav>{html}", None) == BODY
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'hidden=""', "hidden='until-found'", 'aria-hidden="true"', 'ROLE="dialog"', "title='x' hidden", 'style="display: none"'])
+def test_hidden_elements(attributes):
+    assert htmltext.extract(f"<article><p>{BODY}</p><div {attributes}>Do not read this text at all.</div></article>", None) == BODY
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "related-articles", "social-icons", "cookie-policy", "tags", "post-tags"])
+def test_names_of_lists_beside_the_text(name):
+    assert htmltext.extract(f'<article><p>{BODY}</p><p>{BODY}</p><div class="{name}"><p>Tell your friends about this one now.</p></div></article>', None) == f"{BODY}\n\n{BODY}"
