@@ -32,11 +32,93 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements that a fold appends to one array before it begins another, and pieces of text that it cuts at once.
+FOLD_BLOCK, CUT_BLOCK = 64, 512
+
+
+def fold_list(items: Column, start: Column, step, element: str) -> Column:
+    """The arrays that a fold over ``items`` gives, one after the other, in time linear in the items.
+
+    step: (state, item) -> (next state, array of elements), columns both; state is like
+    ``start`` and element the type of an element.  An array is copied when something is
+    appended, so elements go to blocks of a fixed size, and full blocks to an array of blocks.
+    """
+    none = F.expr("array()").cast(f"array<{element}>")
+    begin = F.struct(start.alias("state"), none.alias("block"), F.expr("array()").cast(f"array<array<{element}>>").alias("done"))
+
+    def merged(a: Column, x: Column) -> Column:
+        state, out = step(a["state"], x)
+        full = F.size(a["block"]) >= FOLD_BLOCK
+
+        def added(r: Column) -> Column:
+            block = F.when(full, r["out"]).otherwise(F.concat(a["block"], r["out"]))
+            return F.struct(r["state"].alias("state"), block.alias("block"), F.when(full, F.array_append(a["done"], a["block"])).otherwise(a["done"]).alias("done"))
+
+        return let(F.struct(state.alias("state"), out.alias("out")), added)
+
+    return F.aggregate(items, begin, merged, lambda a: F.flatten(F.array_append(a["done"], a["block"])))
+
+
+def in_blocks(items: Column, size: int) -> Column:
+    """The array cut into arrays of ``size`` elements, the last one shorter."""
+    part = lambda b: F.transform(F.sequence(b * size, F.least((b + 1) * size, F.size(items)) - 1), lambda i: F.get(items, i.cast("int")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), part)
+    return F.when(F.size(items) > 0, blocks).otherwise(F.array().cast("array<array<string>>"))
+
+
+def cut_like(text: Column, pieces: Column) -> Column:
+    """``text`` cut into pieces as long as those given.
+
+    A place in a string is found by counting from its front, so text is cut for CUT_BLOCK
+    pieces at once, and these from that cut.
+    """
+    length = lambda ps: F.aggregate(ps, F.lit(0), lambda n, p: (n + F.length(p)).cast("int"))
+
+    def cut(whole: Column, sizes: Column) -> Column:
+        return fold_list(sizes, F.lit(1), lambda at, n: ((at + n).cast("int"), F.array(F.substr(whole, at, n))), "string")
+
+    def of(blocks: Column) -> Column:
+        parts = cut(text, F.transform(blocks, length))
+        return F.flatten(F.zip_with(blocks, parts, lambda ps, whole: cut(whole, F.transform(ps, lambda p: F.length(p)))))
+
+    return let(in_blocks(pieces, CUT_BLOCK), of)
+
+
+def first_of_each(found: Column) -> Column:
+    """Of structs with the same ``match`` the first in order of the other fields, in that order.
+
+    ``found``: bound (``let``) structs of ``match, line, col``.
+    """
+    by_match = F.array_sort(found)
+    firsts = let(by_match, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["match"] != x["match"])))
+    placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x["line"].alias("line"), x["col"].alias("col"), x["match"].alias("match"))))
+    return F.transform(placed, lambda x: F.struct(x["match"].alias("match"), x["line"].alias("line"), x["col"].alias("col")))
+
+
 def escaped(literal: str) -> str:
     """A literal as a pattern that Java and RE2 read alike."""
     return "".join("\\" + c if c in r"\.+*?()[]{}|^$" else c for c in literal)
 
 
+def trie_pattern(words: list[str]) -> str:
+    """A pattern for the longest of ``words`` at a place: one way through a tree of letters, however many there are."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def of(node: dict) -> str:
+        ways = [escaped(c) + of(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        inner = ways[0] if len(ways) == 1 and "" not in node else "(?:" + "|".join(ways) + ")"
+        return inner + "?" * ("" in node)
+
+    return of(tree)
+
+
 NUMBER = r"[+\-−]?\d[\d,.:/]*"
 WORD_UNIT = (
     r"\([^()]*\)|\"[^\"]+\"|“[^”]+”|"

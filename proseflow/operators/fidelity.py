@@ -28,47 +28,51 @@ HEDGES = {
 }
 
 
+_PLACED = "struct<match:string,line:int,col:int>"
+
+
 def found_in(text: Column, pattern: str) -> Column:
-    """First occurrences of what matches, ``match, at``: ``at`` counts characters from 0."""
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<match:string,at:int>>").alias("out"), F.lit(False).alias("inside"))
+    """First occurrences of what matches, ``match, line, col``; a match lies within a line."""
+    none = F.expr("array()").cast(f"array<{_PLACED}>")
+
+    def of_line(line: Column, i: Column) -> Column:
+        pieces = F.split(F.regexp_replace(line, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
 
-    def step(s: Column, x: Column) -> Column:
-        known = F.exists(s["out"], lambda o: o["match"] == x)
-        out = F.when(s["inside"] & ~known, F.array_append(s["out"], F.struct(x.alias("match"), s["at"].alias("at")))).otherwise(s["out"])
-        return F.struct((s["at"] + F.length(x)).cast("int").alias("at"), out.alias("out"), (~s["inside"]).alias("inside"))
+        def step(s: Column, x: Column) -> tuple[Column, Column]:
+            item = F.array(F.struct(x.alias("match"), (i + 1).cast("int").alias("line"), s["col"].alias("col")))
+            return F.struct((s["col"] + F.length(x)).cast("int").alias("col"), (~s["inside"]).alias("inside")), F.when(s["inside"], item).otherwise(none)
 
-    return F.aggregate(pieces, begin, step)["out"]
+        start = F.struct(F.lit(1).alias("col"), F.lit(False).alias("inside"))
+        return T.let(pieces, lambda ps: F.when(F.size(ps) > 1, T.fold_list(ps, start, step, _PLACED)).otherwise(none))
+
+    return T.let(F.flatten(F.transform(F.split(text, "\n", -1), of_line)), T.first_of_each)
 
 
 def code_of(text: Column) -> Column:
     """First occurrences of code, ``match, line, col``: inline spans and fenced blocks, trimmed, empty ones left out."""
+    none = F.expr("array()").cast(f"array<{_PLACED}>")
 
     def of_line(x: Column, i: Column) -> Column:
         pieces = F.regexp_extract_all(x, F.lit(rf"{R.INLINE}|`+|[^`]+"), F.lit(0))
-        begin = F.struct(F.lit(1).alias("at"), F.expr("array()").cast("array<struct<match:string,line:int,col:int>>").alias("out"))
 
-        def step(s: Column, p: Column) -> Column:
+        def step(at: Column, p: Column) -> tuple[Column, Column]:
             inner = T.trimmed(F.regexp_replace(p, "^`+|`+$", ""))
-            item = F.struct(inner.alias("match"), (i + 1).cast("int").alias("line"), s["at"].alias("col"))
-            return F.struct((s["at"] + F.length(p)).cast("int").alias("at"), F.when(p.rlike("^`+[^`]"), F.array_append(s["out"], item)).otherwise(s["out"]).alias("out"))
+            item = F.struct(inner.alias("match"), (i + 1).cast("int").alias("line"), at.alias("col"))
+            return (at + F.length(p)).cast("int"), F.when(p.rlike("^`+[^`]"), F.array(item)).otherwise(none)
 
-        none = F.expr("array()").cast("array<struct<match:string,line:int,col:int>>")
-        return F.when(x.contains("`"), F.aggregate(pieces, begin, step)["out"]).otherwise(none)
+        return F.when(x.contains("`"), T.fold_list(pieces, F.lit(1), step, _PLACED)).otherwise(none)
 
-    def of(lines: Column, blocks: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            own = F.filter(blocks, lambda b: b["first"] == i)
-            body = lambda b: F.array_join(F.transform(F.slice(lines, b["first"] + 2, b["last"] - b["first"] - 1), lambda y: F.regexp_replace(y, "[ \t\r]+$", "")), "\n")
-            fenced = F.transform(own, lambda b: F.struct(T.trimmed(body(b)).alias("match"), (i + 1).cast("int").alias("line"), F.lit(1).alias("col")))
-            inside = F.exists(blocks, lambda b: (b["first"] <= i) & (i <= b["last"]))
-            return F.when(inside, fenced).otherwise(of_line(x, i))
+    def of_block(lines: Column, b: Column) -> Column:
+        between = F.when(b["last"] - b["first"] > 1, F.sequence(b["first"] + 1, b["last"] - 1)).otherwise(F.array().cast("array<int>"))
+        body = F.array_join(F.transform(between, lambda i: F.regexp_replace(F.get(lines, i), "[ \t\r]+$", "")), "\n")
+        return F.struct(T.trimmed(body).alias("match"), (b["first"] + 1).cast("int").alias("line"), F.lit(1).alias("col"))
 
-        return F.flatten(F.transform(lines, one))
+    def of(lines: Column) -> Column:
+        inline = F.flatten(T.let(R.fenced_lines(lines), lambda inside: F.transform(lines, lambda x, i: F.when(F.get(inside, i), none).otherwise(of_line(x, i)))))
+        return F.concat(inline, F.transform(R.fenced_blocks(lines), lambda b: of_block(lines, b)))
 
-    every = T.let(F.split(text, "\n", -1), lambda lines: T.let(R._fences(lines), lambda blocks: of(lines, blocks)))
-    some = F.filter(every, lambda x: x["match"] != "")
-    return T.let(some, lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, lambda y: y["match"]), x["match"]) == i + 1))
+    every = T.let(F.split(text, "\n", -1), of)
+    return F.when(text.rlike("`|~~~"), T.let(F.filter(every, lambda x: x["match"] != ""), T.first_of_each)).otherwise(none)
 
 
 def _names(found: Column) -> Column:
@@ -80,7 +84,7 @@ def lost_code(source: Column, target: Column) -> Column:
 
 
 def file_lines(source: Column, target: Column) -> Column:
-    """Places in files, code included, that are not in the target: ``match, at``."""
+    """Places in files, code included, that are not in the target: ``match, line, col``."""
     return F.filter(found_in(source, FILE_LINE), lambda x: ~target.contains(x["match"]))
 
 
@@ -89,15 +93,15 @@ def lost_file_lines(source: Column, target: Column) -> Column:
 
 
 def paths(source: Column, target: Column) -> Column:
-    """Paths of the source's prose that are neither in the target nor part of a place in a file: ``match, at``."""
-    trimmed = F.transform(found_in(R.prose(source), PATH), lambda x: F.struct(F.regexp_replace(x["match"], r"\.+$", "").alias("match"), x["at"].alias("at")))
+    """Paths of the source's prose that are neither in the target nor part of a place in a file: ``match, line, col``."""
+    trimmed = F.transform(found_in(R.prose(source), PATH), lambda x: F.struct(F.regexp_replace(x["match"], r"\.+$", "").alias("match"), x["line"].alias("line"), x["col"].alias("col")))
 
     def is_path(x: Column, places: Column) -> Column:
         v = x["match"]
-        return (v.startswith("/") | v.startswith("./") | F.substring_index(v, "/", -1).rlike(FILE_NAME)) & v.rlike("[A-Za-z]") & ~F.exists(places, lambda p: p.contains(v))
+        return (v.startswith("/") | v.startswith("./") | F.substring_index(v, "/", -1).rlike(FILE_NAME)) & v.rlike("[A-Za-z]") & ~places.contains(v)
 
-    first = T.let(trimmed, lambda xs: F.filter(xs, lambda x, i: F.array_position(_names(xs), x["match"]) == i + 1))
-    places = _names(found_in(source, FILE_LINE))
+    first = T.let(trimmed, T.first_of_each)
+    places = F.array_join(_names(found_in(source, FILE_LINE)), "\n")
     return T.let(places, lambda known: F.filter(first, lambda x: is_path(x, known) & ~target.contains(x["match"])))
 
 
@@ -106,7 +110,7 @@ def lost_paths(source: Column, target: Column) -> Column:
 
 
 def numbers(source: Column, target: Column, english: Column | None = None) -> Column:
-    """Numbers of the source's prose of which no spelling stands in the target between other characters than digits: ``match, at``.
+    """Numbers of the source's prose of which no spelling stands in the target between other characters than digits: ``match, line, col``.
 
     english: whether the source is; only then do other spellings count.
     """
@@ -158,16 +162,19 @@ def source_language(source: Column) -> Column:
 def hedges(docs: DataFrame, rows: list[dict], english: bool) -> DataFrame:
     """``doc_id, strength, nth, line, col, match``: hedges in order; of those that start at one word the longest of a strength.
 
-    English ``could`` before ``not`` is none.
+    English ``could`` before ``not`` is none, also where a sentence ends between the two.
     """
     strength = docs.sparkSession.createDataFrame([(i, r["strength"]) for i, r in enumerate(rows)], "row_id int, strength string")
     hits = lexicon_ru.english_phrases_of(docs, rows) if english else lexicon_ru.placed_phrases(docs, rows, "russian", 1)
     hits = hits.join(strength, "row_id")
     best = hits.groupBy("doc_id", "strength", "line", "col", "sent", "ord").agg(F.max_by("match", F.struct("size", "match")).alias("match"))
     if english:
-        words = lexicon_ru.token_words(docs).select("doc_id", "sent", "ord", F.lower("tok").alias("tok"))
-        before = words.where("tok = 'not'").select("doc_id", "sent", (F.col("ord") - 1).alias("ord"))
-        past = words.where("tok = 'could'").join(before, ["doc_id", "sent", "ord"], "left_semi").select("doc_id", "sent", "ord")
+        words = lexicon_ru.token_words(docs).select("doc_id", "sent", "ord", "last", F.lower("tok").alias("tok"))
+        # The token before the first of a sentence is the last of the sentence before, which has one.
+        inner = F.col("ord") > 0
+        before = words.where("tok = 'not'").select("doc_id", (F.col("sent") - F.when(inner, 0).otherwise(1)).alias("sent"), F.when(inner, F.col("ord") - 1).alias("at"))
+        met = words.where("tok = 'could'").join(before, ["doc_id", "sent"])
+        past = met.where("at = ord OR (at IS NULL AND last)").select("doc_id", "sent", "ord")
         best = best.join(past, ["doc_id", "sent", "ord"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", "strength").orderBy("line", "col")) - 1
     return best.select("doc_id", "strength", nth.alias("nth"), "line", "col", "match")
@@ -212,16 +219,9 @@ def findings(pairs: DataFrame, rows: list[dict] = lexicon_ru.FULL["hedges-en-ru"
     spans = T.let(_names(code_of(target)), lambda known: F.filter(code_of(source), lambda x: ~F.array_contains(known, x["match"])))
 
     def placed(found: Column, kind: int, name: str) -> Column:
-        def one(x: Column) -> Column:
-            before = F.left(source, x["at"])
-            line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-            col = F.length(F.substring_index(before, "\n", -1)) + 1
-            return F.struct(F.lit(kind).alias("rank"), F.lit(name).alias("kind"), x["match"].alias("match"), line.alias("line"), col.alias("col"))
-
-        return F.transform(found, one)
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("rank"), F.lit(name).alias("kind"), x["match"].alias("match"), x["line"].alias("line"), x["col"].alias("col")))
 
-    code = F.transform(spans, lambda x: F.struct(F.lit(0).alias("rank"), F.lit("code").alias("kind"), x["match"].alias("match"), x["line"].alias("line"), x["col"].alias("col")))
-    lost = F.concat(code, placed(file_lines(source, target), 1, "file:line"), placed(paths(source, target), 2, "path"), placed(numbers(source, target, english), 3, "number"))
+    lost = F.concat(placed(spans, 0, "code"), placed(file_lines(source, target), 1, "file:line"), placed(paths(source, target), 2, "path"), placed(numbers(source, target, english), 3, "number"))
     items = pairs.select("pair_id", F.posexplode(lost).alias("at", "f"))
     items = items.select("pair_id", F.col("at").alias("seq"), "f.kind", F.lit("source").alias("where"), "f.line", "f.col", "f.match", F.lit("в тексте этого нет").alias("hint"))
     order = F.create_map(*(F.lit(x) for i, k in enumerate(lexicon_ru.STRENGTHS) for x in (k, i)))

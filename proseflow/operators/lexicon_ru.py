@@ -176,6 +176,16 @@ def endings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "class string, ending string")
 
 
+def longest_endings(words: DataFrame) -> DataFrame:
+    """``word, ending``: the longest verb ending of each distinct ``words(word)`` that has one and is longer: tails meet endings by equality."""
+    tails = verb_endings()
+    longest = max(map(len, tails))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - 1))
+    every = words.select("word").distinct().where(F.length("word") > 1).select("word", F.explode(F.transform(lengths, lambda n: F.right(F.col("word"), n))).alias("ending"))
+    own = endings(words.sparkSession).where("class = 'v'").select("ending")
+    return every.join(own, "ending").groupBy("word").agg(F.max_by("ending", F.length("ending")).alias("ending"))
+
+
 def surface_forms(spark: SparkSession, rows: list[dict], column: str = "term") -> DataFrame:
     """``row_id, phrase, pos, size, form``: all that the patterns match but numbers (``form`` null)."""
     joined = patterns(spark, rows, column).join(endings(spark), "class")
@@ -186,10 +196,10 @@ def surface_forms(spark: SparkSession, rows: list[dict], column: str = "term") -
 def candidates(docs: DataFrame, of_document: Column | None = None, of_sentence: Column | None = None) -> DataFrame:
     """``doc_id, sent, ord, cand, tok, word, line, col, part``: each token (cand 0) and, if it has several, its parts.
 
-    part: the candidate as it stands, at ``line`` and ``col``.  of_document, of_sentence: flags
-    over ``text`` and over ``raw``, the sentence with its code, carried along under these names.
+    part: the candidate as it stands, at ``line`` and ``col``.  of_document, of_sentence: row
+    numbers over ``text`` and over ``raw``, the sentence with its code, carried along under these names.
     """
-    none = F.lit(None).cast("array<boolean>")
+    none = F.lit(None).cast("array<int>")
     rows = rules_ru.placed(docs, (none if of_document is None else of_document).alias("of_document"))
     flag = none if of_sentence is None else of_sentence
     rows = rows.select("doc_id", "sent", "line", "of_document", flag.alias("of_sentence"), F.posexplode(rules_ru.placed_tokens(F.col("text"), F.col("col"))).alias("ord", "t"))
@@ -197,9 +207,8 @@ def candidates(docs: DataFrame, of_document: Column | None = None, of_sentence:
     whole = F.struct(F.col("tok").alias("part"), F.col("at").cast("int").alias("col"))
 
     def split(parts: Column) -> Column:
-        begin = F.struct(F.col("at").cast("int").alias("at"), F.expr("array()").cast("array<struct<part:string,col:int>>").alias("out"))
-        step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).cast("int").alias("at"), F.array_append(s["out"], F.struct(x.alias("part"), s["at"].alias("col"))).alias("out"))
-        return F.concat(F.array(whole), F.aggregate(parts, begin, step)["out"])
+        step = lambda at, x: ((at + F.length(x) + 1).cast("int"), F.array(F.struct(x.alias("part"), at.alias("col"))))
+        return F.concat(F.array(whole), T.fold_list(parts, F.col("at").cast("int"), step, "struct<part:string,col:int>"))
 
     every = T.let(rules_ru.parts_of(F.col("tok")), lambda p: F.when(F.size(p) > 1, split(p)).otherwise(F.array(whole)))
     rows = rows.select("doc_id", "sent", "ord", "tok", "line", "of_document", "of_sentence", F.posexplode(every).alias("cand", "p"))
@@ -210,8 +219,31 @@ def _cues(cell: str) -> list[str]:
     return [c.strip().lower().replace("ё", "е") for c in cell.split(",") if c.strip()]
 
 
-def _has_cue(text: Column, cues: list[str]) -> Column:
-    return text.rlike(r"(?<![\p{L}\p{Nd}_])(?:" + "|".join(map(T.escaped, cues)) + ")") if cues else F.lit(False)
+def cue_rows(text: Column, cells: list[str]) -> Column:
+    """Indices of the cells with a cue that begins a word of the text.
+
+    All cues are one tree of letters that the text is searched with once, so the cost does not
+    grow with the table; a cue that begins a longer one is found with it.
+    """
+    owners: dict[str, set[int]] = {}
+    for i, cell in enumerate(cells):
+        for cue in _cues(cell):
+            owners.setdefault(cue, set()).add(i)
+    if not owners:
+        return F.array().cast("array<int>")
+    rows = {cue: sorted(set().union(*(own for c, own in owners.items() if cue.startswith(c)))) for cue in owners}
+    table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "map<string,array<int>>")
+    found = F.regexp_extract_all(T.normalised(text), F.lit(r"(?<![\p{L}\p{Nd}_])(?:" + T.trie_pattern(list(owners)) + ")"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(found), lambda c: table[c])))
+
+
+def sense_flags(domain: list[dict]) -> tuple[Column, Column]:
+    """For ``candidates``: the rows of the domain table with a cue in the document, and with a cue of slang in the sentence."""
+    return cue_rows(F.col("text"), [r["domain_cues"] for r in domain]), cue_rows(F.col("raw"), [r["slang_cues"] for r in domain])
+
+
+def flagged(rows: str, row: str) -> Column:
+    return F.coalesce(F.array_contains(F.col(rows), F.col(row)), F.lit(False))
 
 
 def single_words(docs: DataFrame, lexicon: dict[str, list[dict]] = SEED) -> DataFrame:
@@ -230,11 +262,9 @@ def single_words(docs: DataFrame, lexicon: dict[str, list[dict]] = SEED) -> Data
     # One row for each form that the tables know, so that tokens are joined once.
     known = allowed.unionByName(banned, allowMissingColumns=True).unionByName(sense, allowMissingColumns=True).groupBy(F.col("form").alias("word"))
     known = known.agg(F.max("whole").alias("whole"), F.max("part").alias("fine_part"), F.collect_set("row").alias("rows"), F.min("domain").alias("domain"))
-    in_domain = T.let(T.normalised(F.col("text")), lambda t: F.array(*(_has_cue(t, _cues(r["domain_cues"])) for r in domain), F.lit(False)))
-    in_slang = T.let(T.normalised(F.col("raw")), lambda t: F.array(*(_has_cue(t, _cues(r["slang_cues"])) for r in domain), F.lit(False)))
-    met = candidates(docs, in_domain, in_slang).join(known, "word")
-    slang = F.coalesce(F.get("of_sentence", "domain"), F.lit(False))
-    soft = F.coalesce(F.get("of_document", "domain"), F.lit(False)) & ~slang
+    met = candidates(docs, *sense_flags(domain)).join(known, "word")
+    slang = flagged("of_sentence", "domain")
+    soft = flagged("of_document", "domain") & ~slang
     hit = F.struct("cand", "word", "fine_part", "rows", soft.alias("soft"), slang.alias("slang"), "line", "col", F.col("part").alias("as_is"))
     found = met.groupBy("doc_id", "sent", "ord").agg(F.max((F.col("cand") == 0) & F.coalesce("whole", F.lit(False))).alias("fine"), F.collect_list(hit).alias("hits"))
     usable = F.filter("hits", lambda h: (h["cand"] == 0) | ~F.coalesce(h["fine_part"], F.lit(False)))
@@ -251,19 +281,13 @@ def phrases(docs: DataFrame, rows: list[dict]) -> DataFrame:
 
 
 def token_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, sent, line, ord, tok, col, joined, word``: tokens; ``joined`` if only spaces part one from the token before."""
+    """``doc_id, sent, line, ord, tok, col, joined, last, word``: tokens; ``joined`` if only spaces part one from the token before, ``last`` in its sentence."""
     rows = rules_ru.placed(docs)
 
-    def joined(tokens: Column, text: Column, start: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            before = F.get(tokens, i - 1)
-            end = before["col"] + F.length(before["tok"])
-            gap = F.substr(text, end - start + 1, t["col"] - end)
-            return F.struct(t["tok"].alias("tok"), t["col"].alias("col"), F.when(i > 0, gap.rlike(r"^[ \t\x{A0}]+$")).otherwise(False).alias("joined"))
-
-        return F.transform(tokens, one)
+    def one(t: Column, i: Column, n: Column) -> Column:
+        return F.struct(t["tok"].alias("tok"), t["col"].alias("col"), ((i > 0) & t["gap"].rlike(r"^[ \t\x{A0}]+$")).alias("joined"), (i == n - 1).alias("last"))
 
-    each = T.let(rules_ru.placed_tokens(F.col("text"), F.col("col")), lambda t: joined(t, F.col("text"), F.col("col")))
+    each = T.let(rules_ru.placed_tokens(F.col("text"), F.col("col")), lambda ts: F.transform(ts, lambda t, i: one(t, i, F.size(ts))))
     rows = rows.select("doc_id", "sent", "line", F.posexplode(each).alias("ord", "t")).select("doc_id", "sent", "line", "ord", "t.*")
     return rows.withColumn("word", T.normalised(F.col("tok")))
 
@@ -317,15 +341,23 @@ def english_phrases_of(docs: DataFrame, rows: list[dict]) -> DataFrame:
 LOOKED_UP = {"glossary-en-ru": ("never", True), "hedges-en-ru": ("russian", True), "ru-non-approved": ("term", False), "ru-allowed": ("term", False), "ru-domain": ("term", False)}
 
 
-def lookup(spark: SparkSession, terms: list[str], lexicon: dict[str, list[dict]] = SEED) -> DataFrame:
+def _terms(spark: SparkSession, terms: list[str] | DataFrame) -> DataFrame:
+    """``term`` of a list or of a table's column, each once."""
+    given = terms if isinstance(terms, DataFrame) else spark.createDataFrame([(t,) for t in terms], "term string")
+    return given.select("term").where("term IS NOT NULL").distinct()
+
+
+def lookup(spark: SparkSession, terms: list[str] | DataFrame, lexicon: dict[str, list[dict]] = SEED) -> DataFrame:
     """``term, table, row_id``: rows of all tables with a phrase that the term matches word by word.
 
-    English patterns match too, and a row of the glossary whose Russian cells hold the term, if
-    it has three letters or more.
+    terms: a list, or a table with a column ``term``.  English patterns match too, and a row of
+    the glossary whose Russian cells hold the term, if it has three letters or more.
     """
     fold = lambda x: x.lower().replace("ё", "е")
-    wanted = [(t, k, fold(w), w.lower(), len(t.split())) for t in dict.fromkeys(terms) for k, w in enumerate(t.split())]
-    words = spark.createDataFrame(wanted, "term string, pos int, word string, low string, n int")
+    asked = _terms(spark, terms)
+    parts = T.fields(F.col("term"))
+    words = asked.select("term", F.size(parts).alias("n"), F.posexplode(parts).alias("pos", "raw"))
+    words = words.select("term", "n", "pos", T.normalised(F.col("raw")).alias("word"), F.lower("raw").alias("low"))
     number = F.col("word").rlike(r"^\p{Nd}+$")
     # Each word under its spelling and, if it is a number, the sign for numbers: joins by equality.
     russian = words.unionByName(words.where(number).withColumn("word", F.lit("#")))
@@ -345,14 +377,16 @@ def lookup(spark: SparkSession, terms: list[str], lexicon: dict[str, list[dict]]
             hit = given.join(forms.select("row_id", "phrase", "pos", "size", "word"), ["pos", "word"]).where("n = size")
             hit = hit.groupBy("term", "n", "row_id", "phrase").agg(F.count_distinct("pos").alias("k")).where("k = n")
             out = out.unionByName(hit.select("term", F.lit(name).alias("table"), "row_id"))
-        if name == "glossary-en-ru":
-            held = [(t, name, i) for t in dict.fromkeys(terms) if len(fold(t)) >= 3 for i, r in enumerate(rows) if fold(t) in fold(r["preferred"]) or fold(t) in fold(r["also_ok"])]
-            out = out.unionByName(spark.createDataFrame(held, "term string, table string, row_id int"))
+        if name == "glossary-en-ru":  # all that the cells hold, so that this too is a join by equality
+            cells = [(fold(r[c]), i) for i, r in enumerate(rows) for c in ("preferred", "also_ok")]
+            held = sorted({(x[a:b], i) for x, i in cells for a in range(len(x)) for b in range(a + 3, len(x) + 1)})
+            within = spark.createDataFrame(held, "folded string, row_id int")
+            out = out.unionByName(asked.withColumn("folded", T.normalised(F.col("term"))).join(within, "folded").select("term", F.lit(name).alias("table"), "row_id"))
     return out.distinct()
 
 
-def lookup_lines(spark: SparkSession, terms: list[str], lexicon: dict[str, list[dict]] = FULL) -> DataFrame:
-    """``term, found, lines, entries``: a look-up as text and as JSON, for each term in order; ``found`` counts its rows.
+def lookup_lines(spark: SparkSession, terms: list[str] | DataFrame, lexicon: dict[str, list[dict]] = FULL) -> DataFrame:
+    """``term, found, lines, entries``: a look-up as text and as JSON for each term; ``found`` counts its rows.
 
     The status of a look-up is 1 if the sum of ``found`` is 0.
     """
@@ -366,10 +400,10 @@ def lookup_lines(spark: SparkSession, terms: list[str], lexicon: dict[str, list[
     rows = spark.createDataFrame(cells, "rank int, table string, row_id int, line string, entry string")
     hits = lookup(spark, terms, lexicon).join(rows, ["table", "row_id"])
     found = hits.groupBy("term").agg(F.count("*").alias("found"), F.sort_array(F.collect_list(F.struct("rank", "row_id", "line", "entry"))).alias("x"))
-    asked = spark.createDataFrame([(i, t) for i, t in enumerate(dict.fromkeys(terms))], "place int, term string")
+    asked = _terms(spark, terms)
     lines = F.coalesce(F.transform("x.line", lambda x: F.concat("term", F.lit(" → "), x)), F.array(F.concat("term", F.lit(": no entry"))))
     entries = F.concat(F.lit("["), F.coalesce(F.array_join("x.entry", ","), F.lit("")), F.lit("]"))
-    return asked.join(found, "term", "left").select("place", "term", F.coalesce("found", F.lit(0)).alias("found"), lines.alias("lines"), entries.alias("entries"))
+    return asked.join(found, "term", "left").select("term", F.coalesce("found", F.lit(0)).alias("found"), lines.alias("lines"), entries.alias("entries"))
 
 
 def status(lines: DataFrame) -> DataFrame:

@@ -44,186 +44,143 @@ PARAGRAPH_LIMIT = 6
 FINDINGS = "array<struct<seq:int,rule:string,kind:string,match:string>>"
 
 
-def mode_of(sentence: Column, mode: str = "auto", verbs: list[str] | None = None) -> Column:
-    """``procedural`` or ``descriptive``.  verbs: approved verbs and their forms, if a dictionary is at hand."""
+def mode_of(sentence: Column, mode: str = "auto", is_verb=None) -> Column:
+    """``procedural`` or ``descriptive``.  is_verb: of a word, whether it is a form of an approved verb, if a dictionary is at hand."""
     if mode != "auto":
         return F.lit(mode)
-    verbs = verbs or ["\0"]
+    is_verb = is_verb or (lambda word: F.lit(False))
     first = F.regexp_replace(F.regexp_replace(sentence, T.LIST_MARKER, ""), T.SAFETY_LABEL, "")
     head = F.lower(F.regexp_extract(first, "[A-Za-z']+", 0))
     after_comma = F.lower(F.regexp_extract(first, f",{T.WS}*([A-Za-z']+)", 1))
     note = sentence.rlike(rf"(?i)^NOTE{T.WS}*:")
     return (
         F.when(note | (head == ""), "descriptive")
-        .when(head.isin(CONDITION_HEADS) & after_comma.isin(verbs), "procedural")
-        .when(head.isin(IMPERATIVE_HEADS) | (head.isin(verbs) & ~head.isin("it", "this", "there")), "procedural")
+        .when(head.isin(CONDITION_HEADS) & is_verb(after_comma), "procedural")
+        .when(head.isin(IMPERATIVE_HEADS) | (~head.isin("it", "this", "there") & is_verb(head)), "procedural")
         .otherwise("descriptive")
     )
 
 
-def word_findings(tokens: Column, clusters: Column | None = None) -> Column:
-    """Tense, passive and -ing findings of a sentence's tokens, each noun cluster after those of the token that ends it."""
-
-    def one(t: Column, i: Column) -> Column:
-        tok, prev, after = t["tok"], F.when(i > 0, F.get(tokens, i - 1)["tok"]), F.get(tokens, i + 1)
-        plain = ~t["opaque"] & ~tok.contains("_") & (F.length(tok) >= 2) & ~tok.isin(NUMBER_WORDS)
-        be_word = tok.isin("been", "being")
-        participle = tok.endswith("ed") | tok.isin(PARTICIPLES)
-        prev = F.coalesce(F.replace(prev, F.lit("_"), F.lit(" ")), F.lit(""))
-        following = F.when(after.isNotNull() & ~after["opaque"], after["tok"])
-        verbal = after.isNull() | F.coalesce(following.isin(FUNCTION_WORDS + BE), F.lit(False))
-        ing = T.is_ing_form(tok)
-        return F.array(
-            F.when(plain & be_word, F.struct(F.lit("3.4").alias("rule"), F.lit("tense").alias("kind"), tok.alias("match"))),
-            F.when(plain & ~be_word & ing, F.struct(F.when(prev.isin(DETERMINERS) | ~verbal, "3.5?").otherwise("3.5").alias("rule"), F.lit("ing").alias("kind"), tok.alias("match"))),
-            F.when(plain & ~be_word & prev.isin(HAVE) & participle & (tok != "need"), F.struct(F.lit("3.4").alias("rule"), F.lit("tense").alias("kind"), F.concat_ws(" ", prev, tok).alias("match"))),
-            F.when(
-                plain & ~be_word & prev.isin(BE) & participle,
-                F.struct(F.when(F.coalesce(following == "by", F.lit(False)), "3.6").otherwise("3.6?").alias("rule"), F.lit("passive").alias("kind"), F.concat_ws(" ", prev, tok).alias("match")),
-            ),
-        )
-
-    if clusters is None:
-        return F.array_compact(F.flatten(F.transform(tokens, one)))
-
-    def joined(found: Column) -> Column:
-        of = lambda cs: F.transform(cs, lambda c: F.struct(F.lit("2.1").alias("rule"), F.lit("noun-cluster").alias("kind"), c["match"].alias("match")))
-        each = F.transform(tokens, lambda t, i: F.concat(one(t, i), of(F.filter(found, lambda c: c["at"] == i))))
-        return F.array_compact(F.concat(F.flatten(each), of(F.filter(found, lambda c: c["at"] == F.size(tokens)))))
-
-    return T.let(clusters, joined)
-
-
-def placed_clusters(tokens: Column, verbs: list[str]) -> Column:
-    """Runs of four noun-like tokens or more: ``at``, the place of the token that ends each, and ``match``, its text.
-
-    A function word, a verb or an adverb in -ly ends a run; a set phrase drops it unreported;
-    single letters and been, being neither lengthen nor end it.
+def judged(tokens: Column, glossary: list[str] = ()) -> Column:
+    """Tokens with what the dictionary that is attached says of them in their place.
+
+    ``tok, opaque, plain, phrase, still, prev, prev_bits, next, next_bits, bits, kind, hit, maybe_noun, ends``: ``kind``
+    is that of the look-up after the excuse of a noun, ``ends`` whether the token ends a run of nouns.  One probe a
+    token; neighbours give what was found for them.
     """
-    empty = F.expr("array()").cast("array<string>")
-    none = F.expr("array()").cast("array<struct<at:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("run"), none.alias("out"))
-    found = lambda s: F.struct(s["at"].alias("at"), F.array_join(s["run"], " ").alias("match"))
-    reported = lambda s: F.when(F.size(s["run"]) >= 4, F.array_append(s["out"], found(s))).otherwise(s["out"])
+    from proseflow.operators import dictionary as D
+
+    def one(t: Column) -> Column:
+        tok, opaque = t["tok"], t["opaque"]
+        phrase = ~opaque & tok.contains("_")
+        found = D.probe(F.when(tok.contains("_"), F.replace(tok, F.lit("_"), F.lit(" "))).otherwise(tok))
+        bits = lambda f: F.coalesce(f["bits"], F.lit(0))
+
+        def of(f: Column) -> Column:
+            still = ~opaque & ((F.length(tok) < 2) | (bits(f).bitwiseAND(D.IS_STILL) != 0))
+            plain = ~opaque & ~phrase & ~still & (bits(f).bitwiseAND(D.IS_NUMBER) == 0)
+            kind, hit, of_hit = F.coalesce(f["kind"], F.lit(D.UNKNOWN)), F.coalesce(f["hit"], tok), F.coalesce(f["of_hit"], F.lit(0))
+            if glossary:
+                given = tok.isin(sorted(glossary))
+                kind, hit, of_hit = F.when(given, D.GLOSSARY).otherwise(kind), F.when(given, tok).otherwise(hit), F.when(given, bits(f)).otherwise(of_hit)
+            own = [tok.alias("tok"), opaque.alias("opaque"), plain.alias("plain"), phrase.alias("phrase"), still.alias("still"), bits(f).alias("bits")]
+            return F.struct(*own, kind.alias("kind"), hit.alias("hit"), of_hit.alias("of_hit"))
+
+        return T.let(found, of)
+
+    def two(tokens: Column, t: Column, i: Column) -> Column:
+        before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
+        prev_bits = F.coalesce(before["bits"], F.lit(0))
+        hidden = after["opaque"] | after["phrase"]
+        next_bits = F.when(after.isNull() | hidden, 0).otherwise(after["bits"])
+        following = F.when(after.isNull(), "").when(after["opaque"], "<").otherwise(after["tok"])
+        of_hit = lambda bit: t["of_hit"].bitwiseAND(bit) != 0
+        of_prev = lambda bit: prev_bits.bitwiseAND(bit) != 0
+        known, banned = t["kind"] == D.GLOSSARY, t["plain"] & (t["kind"] == D.NON_APPROVED)
+        verb_only, noun, determined = of_hit(D.ALL_VERB), of_hit(D.NOUNISH), of_prev(D.IS_DETERMINER)
+        maybe = banned & ~determined & (i > 0) & ~of_prev(D.IS_SLOT) & verb_only & ~of_hit(D.LOOKS_VERB) & (noun | ~of_prev(D.FUNCTION))
+        final = F.when(banned & determined & verb_only, F.when(noun, D.APPROVED_KIND).otherwise(D.UNKNOWN)).otherwise(t["kind"])
+        ends = F.when(known, of_hit(D.FUNCTION | D.VERB)).otherwise(of_hit(D.FUNCTION_BASE | D.VERB_BASE))
+        adverb = ~known & t["tok"].endswith("ly") & (F.length(t["tok"]) > 3) & (t["bits"].bitwiseAND(D.NO_ADVERB) == 0)
+        ends = t["plain"] & (ends | adverb | ((final == D.NON_APPROVED) & verb_only & ~maybe))
+        return F.struct(
+            *(t[c].alias(c) for c in ("tok", "opaque", "plain", "phrase", "still", "bits", "hit")), F.when(t["plain"], final).alias("kind"),
+            F.coalesce(F.replace(before["tok"], F.lit("_"), F.lit(" ")), F.lit("")).alias("prev"), prev_bits.alias("prev_bits"), following.alias("next"), next_bits.alias("next_bits"),
+            maybe.alias("maybe_noun"), ends.alias("ends"),
+        )
 
-    def step(s: Column, t: Column) -> Column:
-        tok, after = t["tok"], (s["at"] + 1).alias("at")
-        phrase = ~t["opaque"] & tok.contains("_")
-        still = ~t["opaque"] & ((F.length(tok) < 2) | tok.isin("been", "being"))
-        ends = ~t["opaque"] & ~tok.isin(NUMBER_WORDS) & (tok.isin(FUNCTION_WORDS + verbs) | (tok.endswith("ly") & (F.length(tok) > 3)))
-        return (
-            F.when(phrase, F.struct(after, empty.alias("run"), s["out"].alias("out")))
-            .when(still, F.struct(after, s["run"].alias("run"), s["out"].alias("out")))
-            .when(ends, F.struct(after, empty.alias("run"), reported(s).alias("out")))
-            .otherwise(F.struct(after, F.array_append(s["run"], tok).alias("run"), s["out"].alias("out")))
-        )
+    # Neighbours are taken from the bound array: an unbound one would be made again for each of them.
+    return T.let(F.transform(tokens, one), lambda ts: F.transform(ts, lambda t, i: two(ts, t, i)))
 
-    return F.aggregate(tokens, start, step, reported)
 
+_RUN = 4
+_FINDING = "struct<rule:string,kind:string,match:string>"
 
-def noun_clusters(tokens: Column, verbs: list[str]) -> Column:
-    """Texts of the runs of ``placed_clusters``."""
-    return F.transform(placed_clusters(tokens, verbs), lambda c: c["match"])
 
+def _runs(judged_: Column) -> Column:
+    """Each token as a letter: in a run of nouns, neither in nor at the end of one, at its end, at the end of a run that is dropped."""
+    letter = lambda t: F.when(t["phrase"], "p").when(t["still"], "s").when(t["ends"], "e").otherwise("n")
+    return F.array_join(F.transform(judged_, letter), "")
 
-def judged(tokens: Column, own, glossary: list[str] = ()) -> Column:
-    """Tokens with what the dictionary says of them in their place.
 
-    ``tok, opaque, plain, phrase, still, number, prev, next, kind, hit, maybe_noun, ends``: ``kind`` is that of the
-    look-up after the excuse of a noun, ``ends`` whether the token ends a run of nouns.
-    """
-    from proseflow.operators import dictionary
+def _has_run(judged_: Column) -> Column:
+    return F.when(F.size(judged_) >= _RUN, _runs(judged_).rlike("(?:ns*){%d}" % _RUN)).otherwise(False)
 
-    sets = own.sets
 
-    def one(tokens: Column, t: Column, i: Column) -> Column:
-        tok = t["tok"]
-        phrase = ~t["opaque"] & tok.contains("_")
-        number = ~t["opaque"] & tok.isin(NUMBER_WORDS)
-        still = ~t["opaque"] & ((F.length(tok) < 2) | tok.isin("been", "being"))
-        plain = ~t["opaque"] & ~phrase & ~still & ~number
-        prev = F.coalesce(F.when(i > 0, F.replace(F.get(tokens, i - 1)["tok"], F.lit("_"), F.lit(" "))), F.lit(""))
-        after = F.get(tokens, i + 1)
-        following = F.when(after.isNull(), "").when(after["opaque"], "<").otherwise(after["tok"])
-        found = F.when(plain, dictionary.found(tok, own, glossary))
-        return F.struct(tok.alias("tok"), t["opaque"].alias("opaque"), plain.alias("plain"), phrase.alias("phrase"), still.alias("still"), number.alias("number"), prev.alias("prev"), following.alias("next"), found.alias("f"))
-
-    def two(t: Column, i: Column) -> Column:
-        kind, hit, prev = t["f"]["kind"], t["f"]["hit"], t["prev"]
-        banned, all_verb, noun = kind == "non_approved", hit.isin(sets["all_verb"]), hit.isin(sets["nounish"])
-        determined = banned & prev.isin(DETERMINERS) & all_verb
-        free = banned & ~prev.isin(DETERMINERS) & (i > 0) & ~prev.isin(dictionary.VERB_SLOT)
-        maybe = free & all_verb & ~hit.isin(sets["looks_verb"]) & (noun | ~prev.isin(sets["functions"]))
-        final = F.when(determined, F.when(noun, "approved").otherwise("unknown")).otherwise(kind)
-        known = kind == "glossary"
-        function = F.when(known, hit.isin(sets["functions"])).otherwise(hit.isin(sets["function_bases"]))
-        verb = F.when(known, hit.isin(sets["verbs"])).otherwise(hit.isin(sets["verb_bases"]))
-        adverb = t["tok"].endswith("ly") & (F.length(t["tok"]) > 3) & ~known & ~t["tok"].isin(sets["no_adverbs"])
-        ends = t["plain"] & (function | verb | ((final == "non_approved") & all_verb & ~maybe) | adverb)
-        own_ = [t[c].alias(c) for c in ("tok", "opaque", "plain", "phrase", "still", "number", "prev", "next")]
-        return F.struct(*own_, final.alias("kind"), hit.alias("hit"), F.coalesce(maybe, F.lit(False)).alias("maybe_noun"), F.coalesce(ends, F.lit(False)).alias("ends"))
-
-    # Neighbours are taken from the bound array: an unbound one would be made again for each of them.
-    looked_up = lambda bound: F.transform(bound, lambda t, i: one(bound, t, i))
-    return T.let(tokens, lambda bound: T.let(looked_up(bound), lambda ts: F.transform(ts, two)))
+def judged_findings(judged_: Column) -> Column:
+    """Tense, passive, -ing and noun cluster findings of judged tokens (bound), in the order of the rules."""
+    from proseflow.operators import dictionary as D
 
-
-def judged_findings(judged_: Column, own) -> Column:
-    """Tense, passive, -ing and noun cluster findings of judged tokens, in the order of the rules."""
     finding = lambda rule, kind, match: F.struct(rule.alias("rule"), F.lit(kind).alias("kind"), match.alias("match"))
-    none = F.expr("array()").cast("array<struct<rule:string,kind:string,match:string>>")
+    none = F.expr("array()").cast(f"array<{_FINDING}>")
 
     def of_token(t: Column) -> Column:
-        tok, prev = t["tok"], t["prev"]
-        participle = tok.endswith("ed") | tok.isin(PARTICIPLES)
-        verbal = (t["next"] == "") | t["next"].isin(sorted({*own.sets["functions"], *own.sets["verbs"], *BE}))
-        ing = t["plain"] & (t["kind"] != "glossary") & T.is_ing_form(tok)
-        both = F.concat_ws(" ", prev, tok)
-        return F.array_compact(F.array(
-            F.when(~t["opaque"] & tok.isin("been", "being"), finding(F.lit("3.4"), "tense", tok)),
-            F.when(ing, finding(F.when(prev.isin(DETERMINERS) | ~verbal, "3.5?").otherwise("3.5"), "ing", tok)),
-            F.when(t["plain"] & prev.isin(HAVE) & participle & (tok != "need"), finding(F.lit("3.4"), "tense", both)),
-            F.when(t["plain"] & prev.isin(BE) & participle, finding(F.when(t["next"] == "by", "3.6").otherwise("3.6?"), "passive", both)),
+        tok = t["tok"]
+        after_have, after_be = (t["prev_bits"].bitwiseAND(b) != 0 for b in (D.IS_HAVE, D.IS_BE))
+        participle = tok.endswith("ed") | (t["bits"].bitwiseAND(D.IS_PARTICIPLE) != 0)
+        verbal = (t["next"] == "") | (t["next_bits"].bitwiseAND(D.FUNCTION | D.VERB | D.IS_BE) != 0)
+        both = F.concat_ws(" ", t["prev"], tok)
+        stilled = ~t["opaque"] & (t["bits"].bitwiseAND(D.IS_STILL) != 0)
+        ing = t["plain"] & (t["kind"] != D.GLOSSARY) & T.is_ing_form(tok)
+        free = F.when((t["prev_bits"].bitwiseAND(D.IS_DETERMINER) != 0) | ~verbal, "3.5?").otherwise("3.5")
+        have = t["plain"] & after_have & participle & (tok != "need")
+        passive = t["plain"] & after_be & participle
+        found = F.array_compact(F.array(
+            F.when(stilled, finding(F.lit("3.4"), "tense", tok)), F.when(ing, finding(free, "ing", tok)), F.when(have, finding(F.lit("3.4"), "tense", both)),
+            F.when(passive, finding(F.when(t["next"] == "by", "3.6").otherwise("3.6?"), "passive", both)),
         ))
+        return F.when(~t["opaque"] & (stilled | tok.endswith("ing") | after_have | after_be), found).otherwise(none)
 
-    empty = F.expr("array()").cast("array<string>")
-    cluster = lambda run: F.when(F.size(run) >= 4, F.array(finding(F.lit("2.1"), "noun-cluster", F.array_join(run, " ")))).otherwise(none)
+    def cluster(run: Column, until: Column) -> Column:
+        nouns = F.filter(F.transform(F.sequence(run["since"], until - 1), lambda k: F.get(judged_, k)), lambda t: ~t["still"])
+        return F.array(finding(F.lit("2.1"), "noun-cluster", F.array_join(F.transform(nouns, lambda t: t["tok"]), " ")))
 
-    def step(s: Column, t: Column) -> Column:
-        found = F.concat(s["out"], of_token(t))
-        longer = F.array_append(s["run"], t["tok"])
-        return (
-            F.when(t["phrase"], F.struct(empty.alias("run"), found.alias("out")))
-            .when(t["still"], F.struct(s["run"].alias("run"), found.alias("out")))
-            .when(t["ends"], F.struct(empty.alias("run"), F.concat(found, cluster(s["run"])).alias("out")))
-            .otherwise(F.struct(longer.alias("run"), found.alias("out")))
-        )
+    def step(run: Column, x: Column) -> tuple[Column, Column]:
+        since, n = (lambda v: v.cast("int").alias("since")), (lambda v: v.cast("int").alias("n"))
+        longer = F.struct(since(F.when(run["n"] == 0, x["at"]).otherwise(run["since"])), n(run["n"] + 1))
+        after = F.when(x["over"], F.struct(since(F.lit(0)), n(F.lit(0)))).when(x["still"], run).otherwise(longer)
+        return after, F.when(x["reported"] & (run["n"] >= _RUN), F.concat(x["found"], cluster(run, x["at"]))).otherwise(x["found"])
 
-    start = F.struct(empty.alias("run"), none.alias("out"))
-    return F.aggregate(judged_, start, step, lambda s: F.concat(s["out"], cluster(s["run"])))
+    def item(t: Column, i: Column) -> Column:
+        return F.struct(i.cast("int").alias("at"), t["still"].alias("still"), (t["phrase"] | t["ends"]).alias("over"), t["ends"].alias("reported"), of_token(t).alias("found"))
 
+    end = F.struct(F.size(judged_).alias("at"), F.lit(False).alias("still"), F.lit(True).alias("over"), F.lit(True).alias("reported"), none.alias("found"))
+    start = F.struct(F.lit(0).alias("since"), F.lit(0).alias("n"))
+    with_runs = T.fold_list(F.concat(F.transform(judged_, item), F.array(end)), start, step, _FINDING)
+    return F.when(_has_run(judged_), with_runs).otherwise(F.flatten(F.transform(judged_, of_token)))
 
-def clusters_of(judged_: Column) -> Column:
-    """Runs of four judged tokens or more that are noun-like, as text."""
-    empty = F.expr("array()").cast("array<string>")
-    start = F.struct(empty.alias("run"), empty.alias("out"))
-    closed = lambda s: F.when(F.size(s["run"]) >= 4, F.array_append(s["out"], F.array_join(s["run"], " "))).otherwise(s["out"])
-
-    def step(s: Column, t: Column) -> Column:
-        return (
-            F.when(t["phrase"], F.struct(empty.alias("run"), s["out"].alias("out")))
-            .when(t["still"], s)
-            .when(t["ends"], F.struct(empty.alias("run"), closed(s).alias("out")))
-            .otherwise(F.struct(F.array_append(s["run"], t["tok"]).alias("run"), s["out"].alias("out")))
-        )
 
-    return F.aggregate(judged_, start, step, closed)
+def clusters_of(judged_: Column) -> Column:
+    """Runs of four judged tokens (bound) or more that are noun-like, as text."""
+    return F.transform(F.filter(judged_findings(judged_), lambda f: f["kind"] == "noun-cluster"), lambda f: f["match"])
 
 
 def hits_of(judged_: Column) -> Column:
     """``ord, base, kind`` for the words that are not approved, may not be as a verb, or are not known."""
-    kind = lambda t: F.when(t["maybe_noun"], "maybe_noun").otherwise(t["kind"])
-    bad = lambda t, i: F.when(t["plain"] & t["kind"].isin("non_approved", "unknown"), F.struct(i.alias("ord"), t["hit"].alias("base"), kind(t).alias("kind")))
+    from proseflow.operators import dictionary as D
+
+    kind = lambda t: F.when(t["maybe_noun"], "maybe_noun").when(t["kind"] == D.NON_APPROVED, "non_approved").otherwise("unknown")
+    bad = lambda t, i: F.when(t["plain"] & t["kind"].isin(D.NON_APPROVED, D.UNKNOWN), F.struct(i.alias("ord"), t["hit"].alias("base"), kind(t).alias("kind")))
     return F.array_compact(F.transform(judged_, bad))
 
 
@@ -233,8 +190,8 @@ def word_hits(docs: DataFrame, own, glossary: list[str] = (), terms: list[str] =
     Kind, example and ``first`` (sentence and place) are those of the first use.  Words meet the
     dictionary inside their sentence; only what is to be reported is grouped.
     """
-    judged_ = judged(S.tokens_of(F.col("text"), terms), own, glossary)
-    rows = S.shown_sentences(docs).select("doc_id", "sent", short(F.col("shown")).alias("example"), F.inline(T.let(judged_, hits_of)))
+    judged_ = judged(S.tokens_of(F.col("text"), terms), glossary)
+    rows = own.attached(S.shown_sentences(docs)).select("doc_id", "sent", short(F.col("shown")).alias("example"), F.inline(T.let(judged_, hits_of)))
     at = F.struct("sent", "ord")
     found = rows.groupBy("doc_id", "base").agg(F.min_by(F.struct("kind", "example"), at).alias("x"), F.count("*").alias("count"), F.min(at).alias("first"))
     found = found.join(own.bases(docs.sparkSession), "base", "left")
@@ -247,27 +204,20 @@ def short(sentence: Column) -> Column:
     return F.when(F.length(sentence) > 90, F.concat(F.left(sentence, F.lit(87)), F.lit("..."))).otherwise(sentence)
 
 
-def sentence_findings(sentence: Column, mode: str = "auto", verbs: list[str] | None = None, own=None, glossary: list[str] = (), terms: list[str] = ()) -> Column:
-    """Findings of a sentence, ``rule, kind, match``, in the order of the rules.
-
-    verbs: approved verbs and their forms; noun clusters (2.1), which they end, are found only with them.
-    own: a dictionary in their place, which also knows nouns, function words and adverbs.
-    """
+def sentence_findings(sentence: Column, mode: str = "auto", glossary: list[str] = (), terms: list[str] = ()) -> Column:
+    """Findings of a sentence, ``rule, kind, match``, in the order of the rules; a dictionary is attached."""
 
     def of(masked: Column) -> Column:
-        tokens = S.plain_tokens(masked, terms)
-        if own is not None:
-            words = T.let(judged(tokens, own, glossary), lambda ts: judged_findings(ts, own))
-            return F.concat(_whole(masked, mode, own.sets["verbs"]), words)
-        words = T.let(tokens, lambda ts: word_findings(ts, None if verbs is None else placed_clusters(ts, verbs)))
-        return F.concat(_whole(masked, mode, verbs), words)
+        return F.concat(_whole(masked, mode), T.let(judged(S.plain_tokens(masked, terms), glossary), judged_findings))
 
     return T.let(S.marked(sentence), of)
 
 
-def _whole(masked: Column, mode: str, verbs: list[str] | None = None) -> Column:
+def _whole(masked: Column, mode: str) -> Column:
     """Findings of a sentence as a whole: length, semicolon, contractions, Latin, pronoun."""
-    procedural = mode_of(masked, mode, verbs) == "procedural"
+    from proseflow.operators import dictionary as D
+
+    procedural = mode_of(masked, mode, lambda word: D.has(word, D.VERB)) == "procedural"
     finding = lambda rule, kind, match: F.struct(rule.alias("rule"), F.lit(kind).alias("kind"), match.alias("match"))
     limit = F.when(procedural, LIMITS["procedural"]).otherwise(LIMITS["descriptive"])
     long_ = lambda n: F.when(n > limit, finding(F.when(procedural, "5.1").otherwise("6.3"), "length", n.cast("string")))
@@ -278,16 +228,21 @@ def _whole(masked: Column, mode: str, verbs: list[str] | None = None) -> Column:
     return F.array_compact(F.concat(first, short, last))
 
 
-def findings(docs: DataFrame, mode: str = "auto", verbs: list[str] | None = None, own=None, glossary: list[str] = (), terms: list[str] = ()) -> DataFrame:
-    """``doc_id, para, sent, seq, rule, kind, match``: paragraph findings have sentence 0; noun clusters need ``verbs`` or a dictionary.
+def findings(docs: DataFrame, mode: str = "auto", own=None, glossary: list[str] = (), terms: list[str] = ()) -> DataFrame:
+    """``doc_id, para, sent, seq, rule, kind, match``: paragraph findings have sentence 0.
 
-    glossary: words that count as known; terms: those of several words, longest first.
+    own: a dictionary; without one no runs of nouns are told; glossary: words that count as known; terms:
+    those of several words, longest first.
     """
-    each = sentence_findings(F.col("text"), mode, verbs, own, glossary, terms)
+    from proseflow.operators import dictionary
+
+    each = sentence_findings(F.col("text"), mode, glossary, terms)
+    if own is None:
+        own, each = dictionary.Dictionary([], []), F.filter(each, lambda f: f["kind"] != "noun-cluster")
     numbered = F.transform(each, lambda f, k: F.struct(F.col("sent").alias("sent"), (k + 1).alias("seq"), f["rule"].alias("rule"), f["kind"].alias("kind"), f["match"].alias("match")))
     long_ = F.struct(F.lit(0).alias("sent"), F.lit(0).alias("seq"), F.lit("6.6").alias("rule"), F.lit("paragraph").alias("kind"), F.col("n").cast("string").alias("match"))
     every = F.when(F.col("n") > PARAGRAPH_LIMIT, F.concat(F.array(long_), numbered)).otherwise(numbered)
-    rows = S.counted_sentences(docs).select("doc_id", "para", F.explode(every).alias("f"))
+    rows = own.attached(S.counted_sentences(docs)).select("doc_id", "para", F.explode(every).alias("f"))
     return rows.select("doc_id", "para", "f.*")
 
 
@@ -302,8 +257,11 @@ def ordered(found: DataFrame) -> DataFrame:
 
 def auto_glossary(docs: DataFrame, own=None) -> DataFrame:
     """``doc_id, term, kind, count, first``: code-like tokens that count as known, the kind that of the first."""
-    terms = S.auto_terms(F.col("text"), own.sets["acronyms"] if own is not None else ())
-    rows = S.sentences(docs).select("doc_id", "sent", F.posexplode(terms).alias("ord", "x"))
+    from proseflow.operators import dictionary as D
+
+    own = own or D.Dictionary([], [])
+    terms = S.auto_terms(F.col("text"), lambda word: D.has(word, D.FORM | D.BANNED))
+    rows = own.attached(S.sentences(docs)).select("doc_id", "sent", F.posexplode(terms).alias("ord", "x"))
     at = F.struct("sent", "ord")
     return rows.groupBy("doc_id", F.col("x.term").alias("term")).agg(F.min_by("x.kind", at).alias("kind"), F.count("*").alias("count"), F.min(at).alias("first"))
 
@@ -328,7 +286,7 @@ def reports(docs: DataFrame, own, mode: str = "auto", glossary: list[str] = (),
     JSON: ``findings`` as they come, ``words`` in the order of their first use, ``auto_glossary``.
     Text: a summary, and sections of words by frequency, hedges, code, and findings by kind.
     """
-    found = findings(docs, mode, None, own, glossary, terms)
+    found = findings(docs, mode, own, glossary, terms)
     where = F.when(F.col("sent") == 0, F.format_string("para %d", "para")).otherwise(F.format_string("para %d, sentence %d", "para", "sent"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     item = F.struct("rule", "kind", _message(F.col("kind"), F.col("match")).alias("message"), where.alias("where"))

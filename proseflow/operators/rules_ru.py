@@ -19,31 +19,45 @@ _WORD = r"[\p{L}\p{Nd}_]"
 #: A stop with its closers before white space that no lower case follows.
 _STOP = rf"([.!?…][.!?…»\")*]*)(\s+)(?=[^\p{{Ll}}\s{ADDRESS}])"
 _CUT = "\ue002"
+#: A line that starts with a conjunction.
+_CONJUNCTION = r"^\s*(?:а|но|при)(?!\p{L})"
 
 #: A small list of Latin words that Russian prose may hold; users give their own.
 ALLOWED = frozenset("api json http sql linux docker kafka spark go".split())
 
 
-def _fences(lines: Column) -> Column:
-    """``first, last`` of the lines of each fenced block; one that is not closed goes on to the end.
+_FENCE = r"^\s*(```|~~~)"
+
+
+def fenced_lines(lines: Column) -> Column:
+    """Whether each line is in a fenced block, which its fences are part of; one that is not closed goes on to the end.
 
     A fence is a line that starts with three backticks or tildes; it closes at the next that starts with the same.
     """
-    starts = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, r"^\s*(```|~~~)", 1).alias("mark")))
-    none = F.expr("array()").cast("array<struct<first:int,last:int>>")
-    begin = F.struct(F.lit("").alias("open"), F.lit(0).alias("since"), none.alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        opens, closes = s["open"] == "", s["open"] == x["mark"]
-        block = F.struct(s["since"].alias("first"), x["at"].alias("last"))
-        return F.struct(
-            F.when(opens, x["mark"]).when(closes, "").otherwise(s["open"]).alias("open"),
-            F.when(opens, x["at"]).otherwise(s["since"]).alias("since"),
-            F.when(~opens & closes, F.array_append(s["out"], block)).otherwise(s["out"]).alias("out"),
+
+    def step(open_: Column, x: Column) -> tuple[Column, Column]:
+        mark = F.regexp_extract(x, _FENCE, 1)
+        inside = open_ != ""
+        return F.when(~inside, mark).when(mark == open_, "").otherwise(open_), F.array(inside | (mark != ""))
+
+    return T.fold_list(lines, F.lit(""), step, "boolean")
+
+
+def fenced_blocks(lines: Column) -> Column:
+    """``first, last``: the fences of each block; ``last`` is the number of lines if there is none."""
+    starts = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, _FENCE, 1).alias("mark")))
+    marks = F.concat(F.filter(starts, lambda x: x["mark"] != ""), F.array(F.struct(F.size(lines).alias("at"), F.lit("end").alias("mark"))))
+    begin = F.struct(F.lit("").alias("open"), F.lit(0).alias("since"))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        opens, closes = s["open"] == "", (s["open"] == x["mark"]) | (x["mark"] == "end")
+        state = F.struct(
+            F.when(opens, x["mark"]).when(closes, "").otherwise(s["open"]).alias("open"), F.when(opens, x["at"]).otherwise(s["since"]).cast("int").alias("since")
         )
+        block = F.array(F.struct(s["since"].alias("first"), x["at"].cast("int").alias("last")))
+        return state, F.when(~opens & closes, block).otherwise(F.expr("array()").cast("array<struct<first:int,last:int>>"))
 
-    rest = lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.array_append(s["out"], F.struct(s["since"].alias("first"), F.size(lines).alias("last"))))
-    return F.aggregate(F.filter(starts, lambda x: x["mark"] != ""), begin, step, rest)
+    return T.fold_list(marks, begin, step, "struct<first:int,last:int>")
 
 
 def _line(line: Column) -> Column:
@@ -59,8 +73,7 @@ def masked_lines(text: Column) -> Column:
 
     def of(lines: Column) -> Column:
         blank = lambda x: F.repeat(F.lit(CODE), F.length(x))
-        inside = lambda blocks, i: F.exists(blocks, lambda b: (b["first"] <= i) & (i <= b["last"]))
-        fenced = T.let(_fences(lines), lambda blocks: F.transform(lines, lambda x, i: F.when(inside(blocks, i), blank(x)).otherwise(_line(x))))
+        fenced = F.zip_with(lines, fenced_lines(lines), lambda x, inside: F.when(inside, blank(x)).otherwise(_line(x)))
         return F.when(text.rlike("```|~~~"), fenced).otherwise(F.transform(lines, _line))
 
     plain = F.split(text, "\n", -1)
@@ -80,31 +93,31 @@ def placed_sentences(text: Column) -> Column:
     in the document: a space in place of white space, and the last character before that.
     """
 
-    def of_line(line: Column, raw: Column, i: Column, lines: Column) -> Column:
-        pieces = F.split(F.regexp_replace(line, _STOP, f"$1$2{_CUT}"), _CUT, -1)
-        begin = F.struct(F.lit(1).alias("at"), F.expr("array()").cast("array<struct<at:int,piece:string>>").alias("out"))
-        step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("piece"))).alias("out"))
-        placed = F.when(F.size(pieces) == 1, F.array(F.struct(F.lit(1).alias("at"), line.alias("piece")))).otherwise(F.aggregate(pieces, begin, step)["out"])
+    def of_line(line: Column, raw: Column, i: Column, lines: Column, befores: Column) -> Column:
+        step = lambda at, x: ((at + F.length(x["piece"])).cast("int"), F.array(F.struct(at.alias("at"), x["piece"].alias("piece"), x["raw"].alias("raw"))))
+        with_raw = lambda ps: F.zip_with(ps, F.when(line == raw, ps).otherwise(T.cut_like(raw, ps)), lambda p, r: F.struct(p.alias("piece"), r.alias("raw")))
+        several = lambda ps: T.fold_list(with_raw(ps), F.lit(1), step, "struct<at:int,piece:string,raw:string>")
+        alone = F.array(F.struct(F.lit(1).alias("at"), line.alias("piece"), raw.alias("raw")))
+        placed = T.let(F.split(F.regexp_replace(line, _STOP, f"$1$2{_CUT}"), _CUT, -1), lambda ps: F.when(F.size(ps) == 1, alone).otherwise(several(ps)))
         # Only a conjunction that starts a line asks what the lines before it end with.
-        before = F.when(
-            line.rlike(r"^\s*(?:а|но|при)(?!\p{L})"),
-            F.coalesce(F.element_at(F.filter(F.transform(F.slice(lines, 1, i), lambda x: F.regexp_extract(x, r"(\S)\s*$", 1)), lambda x: x != ""), -1), F.lit("")),
-        ).otherwise("")
+        before = F.when(line.rlike(_CONJUNCTION), F.get(befores, i)).otherwise("")
 
-        def one(p: Column, k: Column) -> Column:
+        def one(p: Column, k: Column, count: Column) -> Column:
             lead = F.length(F.regexp_extract(p["piece"], r"^\s*", 0))
-            first, last = k == 0, p["at"] + F.length(p["piece"]) > F.length(line)
+            first, last = k == 0, k == count - 1
             front = F.when(first, F.when(i == 0, "").otherwise(F.concat(before, F.lit(" ")))).otherwise(" ")
             return F.struct(
                 (i + 1).alias("line"), (p["at"] + lead).alias("col"), F.regexp_replace(p["piece"], r"^\s+|\s+\z", "").alias("text"),
-                F.regexp_replace(F.substr(raw, p["at"], F.length(p["piece"])), r"^\s+|\s+\z", "").alias("raw"),
+                F.regexp_replace(p["raw"], r"^\s+|\s+\z", "").alias("raw"),
                 F.concat(front, p["piece"], F.when(last & (i + 1 < F.size(lines)), " ").otherwise("")).alias("around"),
             )
 
-        return F.filter(T.let(placed, lambda found: F.transform(found, one)), lambda s: s["text"].rlike(_WORD))
+        return F.filter(T.let(placed, lambda found: F.transform(found, lambda p, k: one(p, k, F.size(found)))), lambda s: s["text"].rlike(_WORD))
 
     def of(lines: Column, raw: Column) -> Column:
-        return F.flatten(F.transform(lines, lambda x, i: of_line(x, F.get(raw, i), i, raw)))
+        ends = lambda last, x: (T.let(F.regexp_extract(x, r"(\S)\s*$", 1), lambda c: F.when(c == "", last).otherwise(c)), F.array(last))
+        befores = F.when(F.exists(lines, lambda x: x.rlike(_CONJUNCTION)), T.fold_list(raw, F.lit(""), ends, "string"))
+        return T.let(befores, lambda known: F.flatten(F.transform(lines, lambda x, i: of_line(x, F.get(raw, i), i, raw, known))))
 
     return T.let(F.split(text, "\n", -1), lambda raw: T.let(masked_lines(text), lambda lines: of(lines, raw)))
 
@@ -171,18 +184,19 @@ def placed(docs: DataFrame, *others: Column) -> DataFrame:
 
 
 def placed_tokens(sentence: Column, col: Column) -> Column:
-    """``tok, col``: the tokens of a sentence that starts in this column.
+    """``tok, col, gap``: the tokens of a sentence that starts in this column, and what stands before each.
 
     A pattern that covers the text gives tokens and gaps; lengths of what comes before are offsets.
     """
     pieces = F.regexp_extract_all(sentence, F.lit(rf"{T.PROSE_TOKEN}|[^\p{{L}}\p{{Nd}}_]+"), F.lit(0))
-    start = F.struct(col.cast("int").alias("at"), F.expr("array()").cast("array<struct<tok:string,col:int>>").alias("out"))
+    none = F.expr("array()").cast("array<struct<tok:string,col:int,gap:string>>")
 
-    def step(a: Column, x: Column) -> Column:
-        out = F.when(x.rlike("^" + _WORD), F.array_append(a["out"], F.struct(x.alias("tok"), a["at"].alias("col")))).otherwise(a["out"])
-        return F.struct((a["at"] + F.length(x)).alias("at"), out.alias("out"))
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        word = x.rlike("^" + _WORD)
+        state = F.struct((a["at"] + F.length(x)).cast("int").alias("at"), F.when(word, "").otherwise(x).alias("gap"))
+        return state, F.when(word, F.array(F.struct(x.alias("tok"), a["at"].alias("col"), a["gap"].alias("gap")))).otherwise(none)
 
-    return F.aggregate(pieces, start, step)["out"]
+    return T.fold_list(pieces, F.struct(col.cast("int").alias("at"), F.lit("").alias("gap")), step, "struct<tok:string,col:int,gap:string>")
 
 
 def tokens(docs: DataFrame) -> DataFrame:

@@ -29,10 +29,9 @@ def strip_code(text: Column, inline: bool = True) -> Column:
     A fold over the lines keeps the opener of a fence, whether an indented block or a list
     goes on, and whether the last line was blank.
     """
-    state = "open STRING, indented BOOLEAN, list BOOLEAN, blank BOOLEAN, lines ARRAY<STRING>"
-    start = F.from_json(F.lit('{"open":"","indented":false,"list":false,"blank":true,"lines":[]}'), state)
+    start = F.from_json(F.lit('{"open":"","indented":false,"list":false,"blank":true}'), "open STRING, indented BOOLEAN, list BOOLEAN, blank BOOLEAN")
 
-    def step(s: Column, line: Column) -> Column:
+    def step(s: Column, line: Column) -> tuple[Column, Column]:
         body = F.regexp_replace(line, r"^[ \t]+", "")
         fence = F.regexp_extract(body, r"^(`{3,}(?=[^`]*$)|~{3,})", 1)
         run = F.regexp_extract(body, r"^(`+|~+)\s*$", 1)
@@ -46,15 +45,15 @@ def strip_code(text: Column, inline: bool = True) -> Column:
         marker = line.rlike(T.LIST_MARKER)
         code = inside | block | opens
         kept = F.when(code, "").when(empty, line).otherwise(F.regexp_replace(line, INLINE_CODE, "CODESPAN") if inline else line)
-        return F.struct(
+        state = F.struct(
             F.when(closes, "").when(opens, fence).otherwise(s["open"]).alias("open"),
             F.when(plain, False).when(block, True).otherwise(s["indented"]).alias("indented"),
             F.when(plain & ~opens & marker, True).when(plain & ~opens & s["blank"] & ~deep, False).otherwise(s["list"]).alias("list"),
             empty.alias("blank"),
-            F.concat(s["lines"], F.array(kept)).alias("lines"),
         )
+        return state, F.array(kept)
 
-    folded = F.aggregate(F.split(text, "\n", -1), start, step, lambda s: F.array_join(s["lines"], "\n"))
+    folded = F.array_join(T.fold_list(F.split(text, "\n", -1), start, step, "string"), "\n")
     return F.when(text.rlike(r"[`~]|\n[ \t]|^[ \t]"), folded).otherwise(text)  # most texts have no code
 
 
@@ -153,13 +152,13 @@ def marked(sentence: Column) -> Column:
     return T.let(plain, lambda x: F.when(looks(x), F.array_join(F.transform(chunks(x), one), "")).otherwise(x))
 
 
-def auto_terms(sentence: Column, known: list[str] = ()) -> Column:
-    """Code-like tokens of a sentence, ``term, kind``; a shouted sentence has no acronyms, and words of ``known`` are none."""
+def auto_terms(sentence: Column, is_known=None) -> Column:
+    """Code-like tokens of a sentence, ``term, kind``; a shouted sentence has no acronyms, and words that are known (in lower case) are none."""
     plain = F.translate(sentence, "’", "'")
     cores = F.transform(F.filter(T.fields(plain), lambda x: x.rlike(r"[._/:(A-Z-]")), T.core_of)
     found = F.transform(cores, lambda c: F.struct(c.alias("term"), T.code_kind(c).alias("kind")))
     some = F.filter(found, lambda x: x["kind"] != "")
-    word = lambda x: F.lower(x["term"]).isin(sorted(known)) if known else F.lit(False)
+    word = lambda x: is_known(F.lower(x["term"])) if is_known else F.lit(False)
     quiet = lambda xs: T.let(T.is_shouted(plain), lambda loud: F.filter(xs, lambda x: (x["kind"] != "acronym") | ~(loud | word(x))))
     return T.let(some, lambda xs: F.when(F.exists(xs, lambda x: x["kind"] == "acronym"), quiet(xs)).otherwise(xs))
 

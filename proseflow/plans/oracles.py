@@ -23,6 +23,14 @@ def listed(words: list[str]) -> str:
     return "(" + ", ".join(map(q, words)) + ")"
 
 
+def array_of(words: list[str]) -> str:
+    return "[" + ", ".join(map(q, words)) + "]"
+
+
+def deinflect() -> str:
+    return "(VALUES " + ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(D.DEINFLECT, 1)) + ") AS v(k, suf, rep)"
+
+
 def rx(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, {q(pattern)})"
 
@@ -45,6 +53,9 @@ PAIRS = f"SELECT * FROM ({tables.pairs_sql()})"
 DOCUMENTS = "SELECT doc_id, text FROM documents"
 
 
+_LF_TEXT = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
 def upper(w: str) -> str:
     return f"({rx(w, '[[:upper:]]|' + chr(92) + 'p{Lu}')} AND NOT {rx(w, r'[\p{Ll}\p{Lt}]')})"
 
@@ -153,13 +164,12 @@ def judged_ctes(docs: str) -> str:
     """Tokens with what the seed dictionary says of them: candidates of de-inflection meet its words by a join."""
     own = D.seed()
     has = lambda x, name: f"{x} IN {listed(own.sets[name])}"
-    rules = ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(D.DEINFLECT, 1))
     return token_ctes(docs) + f""",
 shaped AS (SELECT *, NOT opaque AND contains(tok, '_') AS phrase, NOT opaque AND (length(tok) < 2 OR tok IN ('been', 'being')) AS still,
                   NOT opaque AND tok IN {listed(E.NUMBER_WORDS)} AS number FROM near),
 plain AS (SELECT *, NOT opaque AND NOT phrase AND NOT still AND NOT number AS plain FROM shaped),
 tries AS (SELECT tok, 0 AS step, tok AS form FROM (SELECT DISTINCT tok FROM plain WHERE plain) UNION ALL
-          SELECT tok, k, left(tok, length(tok) - length(suf)) || rep FROM (SELECT DISTINCT tok FROM plain WHERE plain), (VALUES {rules}) AS v(k, suf, rep) WHERE ends_with(tok, suf) AND length(tok) > length(suf) + 2),
+          SELECT tok, k, left(tok, length(tok) - length(suf)) || rep FROM (SELECT DISTINCT tok FROM plain WHERE plain), {deinflect()} WHERE ends_with(tok, suf) AND length(tok) > length(suf) + 2),
 hits AS (SELECT tok, step, form, {has('form', 'forms')} AS good FROM tries WHERE {has('form', 'forms')} OR {has('form', 'banned')} QUALIFY row_number() OVER (PARTITION BY tok ORDER BY step) = 1),
 looked AS (SELECT p.*, CASE WHEN h.form IS NULL THEN 'unknown' WHEN NOT good THEN 'non_approved' WHEN step = 0 THEN 'approved' ELSE 'approved-inflected' END AS kind0, coalesce(h.form, p.tok) AS hit
            FROM plain p LEFT JOIN hits h ON h.tok = p.tok AND p.plain),

@@ -84,12 +84,12 @@ def token_counts(spark, sf_dir):
 
 
 def _judged(docs: DataFrame) -> tuple[DataFrame, Column]:
-    return segments.sentences(docs), rules_en.judged(segments.tokens_of(F.col("text")), dictionary.seed())
+    return dictionary.seed().attached(segments.sentences(docs)), rules_en.judged(segments.tokens_of(F.col("text")))
 
 
 def _word_findings(docs: DataFrame) -> DataFrame:
     rows, judged = _judged(docs)
-    found = F.filter(T.let(judged, lambda ts: rules_en.judged_findings(ts, dictionary.seed())), lambda f: f["kind"] != "noun-cluster")
+    found = F.filter(T.let(judged, rules_en.judged_findings), lambda f: f["kind"] != "noun-cluster")
     return rows.select("doc_id", "sent", F.explode(found).alias("f")).groupBy("doc_id", "sent", "f.rule", "f.kind", "f.match").agg(F.count("*").alias("n"))
 
 
@@ -313,13 +313,18 @@ ORACLES |= {
 }
 
 
-def _forms(spark: SparkSession) -> DataFrame:
-    return dictionary.form_index(dictionary.approved(spark))
+_WORDS = "SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents"
+_FORMS = "(VALUES " + ", ".join(f"({O.q(f)}, {O.q(b)})" for f, b in sorted(dictionary.seed().forms.items())) + ") AS f(form, base)"
 
 
-@query()
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+
+
+@query(f"SELECT form, base, count(*) AS n FROM ({_WORDS}) w JOIN {_FORMS} ON form = word GROUP BY ALL")
 def dict_forms(spark, sf_dir):
-    return _forms(spark)
+    """Forms of the dictionary's words that stand in the documents."""
+    return dictionary.forms_used(_words(documents(spark, sf_dir)))
 
 
 _TYPES = "SELECT DISTINCT lower(unnest(string_split(p_type, ' '))) AS w FROM part"
@@ -335,14 +340,18 @@ def plural_forms(spark, sf_dir):
     return nouns.select("w", F.explode(T.plurals(F.col("w"))).alias("plural"))
 
 
-def _looked_up(spark: SparkSession, tokens: DataFrame) -> DataFrame:
-    words = tokens.where("NOT opaque AND length(tok) > 1").select(F.col("tok").alias("word"))
-    return dictionary.lookup(words, _forms(spark), dictionary.not_approved(spark))
-
-
-@query()
+@query(
+    O.judged_ctes(O.ENGLISH)
+    + f""", w AS (SELECT DISTINCT tok FROM toks WHERE NOT opaque AND length(tok) > 1),
+c AS (SELECT tok, 0 AS step, tok AS form FROM w UNION ALL SELECT tok, k, left(tok, length(tok) - length(suf)) || rep FROM w, {O.deinflect()} WHERE ends_with(tok, suf) AND length(tok) > length(suf) + 2),
+b AS (SELECT tok, step, c.form, base, base IS NOT NULL AS good FROM c LEFT JOIN {_FORMS} ON f.form = c.form WHERE base IS NOT NULL OR c.form IN {O.listed(dictionary.seed().sets['banned'])}
+      QUALIFY row_number() OVER (PARTITION BY tok ORDER BY step) = 1)
+SELECT w.tok AS word, CASE WHEN b.form IS NULL THEN 'unknown' WHEN NOT good THEN 'non_approved' WHEN step = 0 THEN 'approved' ELSE 'approved-inflected' END AS kind, coalesce(base, b.form, w.tok) AS base
+FROM w LEFT JOIN b ON b.tok = w.tok"""
+)
 def word_lookup(spark, sf_dir):
-    return _looked_up(spark, segments.tokens(tables.english(spark, sf_dir)))
+    words = segments.tokens(tables.english(spark, sf_dir)).where("NOT opaque AND length(tok) > 1").select(F.col("tok").alias("word"))
+    return dictionary.looked_up(words)
 
 
 @query(
@@ -370,18 +379,35 @@ def report_json_en(spark, sf_dir):
 @query()
 def lookup_en(spark, sf_dir):
     """Entries for the words of part types and those of the seed that are not approved."""
-    types = [r.w for r in tables.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("w")).distinct().orderBy("w").collect()]
-    return dictionary.lookup_report(spark, [*types, *(w for w, _, _ in dictionary.NOT_APPROVED), "removing", "may", "thing"])
+    types = tables.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
+    more = spark.createDataFrame([(w,) for w in [*(w for w, _, _ in dictionary.NOT_APPROVED), "removing", "may", "thing"]], "word string")
+    return dictionary.lookup_entries(types.unionByName(more))
+
+
+_RU_WORDS = f"SELECT DISTINCT replace(lower(unnest({O.every('text', T.PROSE_TOKEN)})), 'ё', 'е') AS word FROM ({O.RUSSIAN})"
+
 
+def _ru_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = F.explode(F.regexp_extract_all("text", F.lit(T.PROSE_TOKEN), F.lit(0)))
+    return tables.russian(spark, sf_dir).select(every.alias("w")).select(T.normalised(F.col("w")).alias("word"))
 
-@query("SELECT ending FROM " + O._ENDS + " AS e(class, ending) WHERE class = 'v'")
+
+@query(f"SELECT word, arg_max(ending, length(ending)) AS ending FROM ({_RU_WORDS}) w JOIN {O._ENDS} AS e(class, ending) ON class = 'v' AND ends_with(word, ending) AND length(word) > length(ending) GROUP BY word")
 def verb_endings(spark, sf_dir):
-    return lexicon_ru.endings(spark).where("class = 'v'").select("ending")
+    """The longest verb ending of each word of the Russian texts that has one."""
+    return lexicon_ru.longest_endings(_ru_words(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT replace(lower(unnest({O.every('text', T.PROSE_TOKEN)})), 'ё', 'е') AS word FROM ({O.RUSSIAN})) GROUP BY word),
+ends AS (SELECT * FROM {O._ENDS} AS e(class, ending)), splits AS (SELECT word, left(word, k) AS head, substr(word, k + 1) AS tail FROM w, unnest(range(1, length(word) + 1)) AS u(k)),
+m AS ({O.match_sql(lexicon_ru.SEED['ru-non-approved'])}) SELECT CAST(row_id AS INT) AS row_id, word AS form, n FROM m JOIN w USING (word)"""
+)
 def ru_surface_forms(spark, sf_dir):
-    return lexicon_ru.surface_forms(spark, lexicon_ru.SEED["ru-non-approved"])
+    """Forms of banned words that stand in the Russian texts, and how often."""
+    forms = lexicon_ru.surface_forms(spark, lexicon_ru.SEED["ru-non-approved"]).where("size = 1").select("row_id", "form").distinct()
+    used = _ru_words(spark, sf_dir).groupBy(F.col("word").alias("form")).agg(F.count("*").alias("n"))
+    return used.join(forms, "form").select("row_id", "form", "n")
 
 
 @query(O.finding_ctes(O.RUSSIAN) + " SELECT doc_id, CAST(sent AS INT) AS sent, CAST(ord AS INT) AS ord, row_id, match FROM lexicon")
@@ -401,16 +427,23 @@ def ru_phrases(spark, sf_dir):
     return found.groupBy("doc_id", "sent").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH w AS ({_RU_WORDS}), ends AS (SELECT * FROM {O._ENDS} AS e(class, ending)),
+splits AS (SELECT word, left(word, k) AS head, substr(word, k + 1) AS tail FROM w, unnest(range(1, length(word) + 1)) AS u(k)),
+m AS (SELECT 'ru-non-approved' AS t, * FROM ({O.match_sql(lexicon_ru.SEED['ru-non-approved'])}) UNION SELECT 'ru-allowed', * FROM ({O.match_sql(lexicon_ru.SEED['ru-allowed'])})
+      UNION SELECT 'ru-domain', * FROM ({O.match_sql(lexicon_ru.SEED['ru-domain'])})) SELECT word AS term, t AS "table", CAST(row_id AS INT) AS row_id FROM m"""
+)
 def lookup_ru(spark, sf_dir):
-    return lexicon_ru.lookup(spark, ["деплоить", "код написан", "узлов", "нет"])
+    """Rows of the lexicon for each word of the Russian texts."""
+    return lexicon_ru.lookup(spark, _ru_words(spark, sf_dir).select(F.col("word").alias("term")))
 
 
 @query()
 def lookup_lines_ru(spark, sf_dir):
     """Entries of all five tables for the words of part types and some Russian ones."""
-    types = [r.w for r in tables.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("w")).distinct().orderBy("w").collect()]
-    return lexicon_ru.lookup_lines(spark, [*types, "деплоить", "журн", "wait 5 ms", "recommended", "нет"])
+    types = tables.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("term"))
+    more = spark.createDataFrame([(t,) for t in ("деплоить", "журн", "wait 5 ms", "recommended", "нет")], "term string")
+    return lexicon_ru.lookup_lines(spark, types.unionByName(more))
 
 
 def _clusters(docs: str) -> str:
@@ -435,7 +468,8 @@ def noun_clusters_documents(spark, sf_dir):
 
 @query(O.sentence_ctes(O.ENGLISH) + f" SELECT doc_id, CAST(sent AS INT) AS sent, {O.mode('text', dictionary.seed().sets["verbs"])} AS mode FROM sents")
 def sentence_mode(spark, sf_dir):
-    return segments.sentences(tables.english(spark, sf_dir)).select("doc_id", "sent", rules_en.mode_of(F.col("text"), verbs=dictionary.seed().sets["verbs"]).alias("mode"))
+    rows = dictionary.seed().attached(segments.sentences(tables.english(spark, sf_dir)))
+    return rows.select("doc_id", "sent", rules_en.mode_of(F.col("text"), is_verb=lambda word: dictionary.has(word, dictionary.VERB)).alias("mode"))
 
 
 @query()
@@ -443,9 +477,15 @@ def report_text_en(spark, sf_dir):
     return rules_en.reports(tables.english(spark, sf_dir), dictionary.seed()).select("doc_id", F.split("text", "\n").alias("lines"))
 
 
-@query()
+@query(
+    f"""WITH w AS ({_WORDS.replace('documents', f'({O.ENGLISH})')}), t AS (SELECT unnest({O.array_of(glossary.DEFAULT)}) AS term), f AS (SELECT term, term AS form FROM t UNION SELECT term, term || 's' FROM t
+ UNION SELECT term, term || 'es' FROM t WHERE regexp_matches(term, '(s|x|z|ch|sh)$') UNION SELECT term, left(term, length(term) - 1) || 'ies' FROM t WHERE regexp_matches(term, '[^aeiou]y$'))
+SELECT form, term, count(*) AS n FROM f JOIN w ON word = form GROUP BY ALL"""
+)
 def glossary_terms(spark, sf_dir):
-    return glossary.known_forms(glossary.terms(spark))
+    """Terms of one word and their plurals that stand in the English texts."""
+    forms = glossary.known_forms(glossary.terms(spark)).where("n_words = 1").select("form", "term")
+    return _words(tables.english(spark, sf_dir)).groupBy(F.col("word").alias("form")).agg(F.count("*").alias("n")).join(forms, "form").select("form", "term", "n")
 
 
 @query(O.never_ctes() + " SELECT pair_id, match, count(*) AS n FROM violations GROUP BY ALL")
@@ -461,3 +501,6 @@ def glossary_violations(spark, sf_dir):
 @query()
 def glossary_merge(spark, sf_dir):
     return glossary.merged(tables.pairs(spark, sf_dir))
+
+
+from proseflow.plans import checks  # noqa: E402, F401  (registers more queries)

@@ -52,6 +52,9 @@ RUSSIAN = [
     "Крутые узлы сети в логах; узел кластера цел. Задеплоили web-сервером.",
 ]
 
+#: Words labelled as faults in these, by the text's place in the list; some are none to the lexicon, and some that it has are not labelled.
+RUSSIAN_LABELS = {1: ["деплоим", "логи"], 3: ["Готово"], 6: ["узлов", "деплоятся"], 7: ["Крутые", "логах", "узел", "Задеплоили"]}
+
 #: (source, target) pairs; the second of a target's two forms loses or changes something.
 PAIRS = [
     ("Set the limit to {n}.5 and run `go test ./...` twice.", "Задайте предел {n},5 и выполните `go test ./...` дважды.", "Задайте предел и выполните тесты дважды."),
@@ -96,6 +99,13 @@ def pairs_sql(kind: str = "VARCHAR") -> str:
     return f"SELECT o_orderkey AS pair_id, {source} AS src_text, {target} AS out_text FROM orders"
 
 
+def labels_sql(explode: str, left: str, right: str) -> str:
+    """SQL for ``doc_id, item``: the labelled words of each text that ``corpus_sql`` makes of RUSSIAN; how a list is opened up and written is given."""
+    cases = " ".join(f"WHEN {k} THEN {left}" + ", ".join(f"'{w}'" for w in ws) + right for k, ws in RUSSIAN_LABELS.items())
+    parts = [f"SELECT o_orderkey AS doc_id, {explode}(CASE CAST(floor(o_orderkey / {d}) AS INT) % {len(RUSSIAN)} {cases} END) AS item FROM orders" for d in (1, 5, 11)]
+    return " UNION ".join(parts)
+
+
 def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
 
@@ -108,6 +118,10 @@ def russian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, _braced(corpus_sql(RUSSIAN, "STRING")))
 
 
+def russian_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, labels_sql("explode", "array(", ")"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, _braced(pairs_sql("STRING")))
 

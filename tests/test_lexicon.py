@@ -64,3 +64,24 @@ def test_verdict(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [tuple(r)[1:] for r in rules_ru.verdict(df, lexicon).orderBy("doc_id").collect()] == list(texts.values())
     assert rules_ru.verdict(df.limit(2)).where("exit_code = 1").count() == 2
+
+
+def test_cues_of_many_rows(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from proseflow.functions import text as T
+
+    rng = random.Random(8)
+    cells = [", ".join("".join(rng.choices("абв", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 3))) for _ in range(106)]
+    texts = [" ".join("".join(rng.choices("абвгё-", k=rng.randint(1, 7))) for _ in range(12)) for _ in range(60)] + ["", "АБВ", "х_аб"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for text, rows in df.select("text", L.cue_rows(F.col("text"), cells)).collect():
+        low = text.lower().replace("ё", "е")
+        want = [i for i, cell in enumerate(cells) if any(re.search(r"(?<!\w)" + re.escape(c), low) for c in L._cues(cell))]
+        assert sorted(rows) == want, text
+    assert re.fullmatch(T.trie_pattern(["a.b", "a", "a.c", "b"]), "a.c") and not re.fullmatch(T.trie_pattern(["a.b", "a"]), "axb")
+    pattern = re.compile(T.trie_pattern([c for cell in cells for c in L._cues(cell)]))
+    assert all(pattern.match(c)[0] == c for cell in cells for c in L._cues(cell))

@@ -153,9 +153,8 @@ def test_fidelity(spark):
 
 
 def test_dictionary(spark):
-    forms = dictionary.form_index(dictionary.approved(spark))
     words = spark.createDataFrame([(w,) for w in "is tools tests removing removed ensures failing xyzzy makes cleaned jq".split()], "word string")
-    got = {r.word: (r.kind, r.base) for r in dictionary.lookup(words, forms, dictionary.not_approved(spark), ["jq"]).collect()}
+    got = {r.word: (r.kind, r.base) for r in dictionary.looked_up(words, glossary=["jq"]).collect()}
     assert got == {
         "is": ("approved", "be"), "tools": ("approved", "tool"), "tests": ("approved", "test"), "removing": ("approved-inflected", "remove"),
         "removed": ("approved", "remove"), "ensures": ("non_approved", "ensure"), "failing": ("non_approved", "fail"), "xyzzy": ("unknown", "xyzzy"),
