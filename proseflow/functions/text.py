@@ -32,38 +32,41 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Elements that a fold appends to one array before it begins another, and pieces of text that it cuts at once.
+#: Items that a fold takes at once, and pieces of text that are cut at once.
 FOLD_BLOCK, CUT_BLOCK = 64, 512
 
 
+def in_blocks(items: Column, size: int) -> Column:
+    """The array (bound) cut into arrays of ``size`` elements, the last one shorter."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(items), F.lit(size)), lambda at: at < F.size(items))
+    return F.transform(begins, lambda at: F.transform(F.sequence(at, F.least(at + size, F.size(items)) - 1), lambda i: F.get(items, i)))
+
+
 def fold_list(items: Column, start: Column, step, element: str) -> Column:
     """The arrays that a fold over ``items`` gives, one after the other, in time linear in the items.
 
     step: (state, item) -> (next state, array of elements), columns both; state is like
-    ``start`` and element the type of an element.  An array is copied when something is
-    appended, so elements go to blocks of a fixed size, and full blocks to an array of blocks.
+    ``start`` and element the type of an element.  A fold copies all that it carries at each
+    item.  So a first fold carries the state alone and notes it at the start of each block,
+    and then each block is folded by itself and carries no more than its own elements.
     """
     none = F.expr("array()").cast(f"array<{element}>")
-    begin = F.struct(start.alias("state"), none.alias("block"), F.expr("array()").cast(f"array<array<{element}>>").alias("done"))
 
-    def merged(a: Column, x: Column) -> Column:
-        state, out = step(a["state"], x)
-        full = F.size(a["block"]) >= FOLD_BLOCK
+    def of_block(block: Column, begin: Column) -> Column:
+        def merged(a: Column, x: Column) -> Column:
+            state, out = step(a["state"], x)
+            return F.struct(state.alias("state"), F.concat(a["out"], out).alias("out"))
 
-        def added(r: Column) -> Column:
-            block = F.when(full, r["out"]).otherwise(F.concat(a["block"], r["out"]))
-            return F.struct(r["state"].alias("state"), block.alias("block"), F.when(full, F.array_append(a["done"], a["block"])).otherwise(a["done"]).alias("done"))
+        return F.aggregate(block, F.struct(begin.alias("state"), none.alias("out")), merged, lambda a: a["out"])
 
-        return let(F.struct(state.alias("state"), out.alias("out")), added)
+    def over(blocks: Column) -> Column:
+        first = F.struct(start.alias("state"), F.filter(F.array(start), lambda s: F.lit(False)).alias("starts"))
+        after = lambda block, state: F.aggregate(block, state, lambda s, x: step(s, x)[0])
+        noted = F.aggregate(blocks, first, lambda a, b: F.struct(after(b, a["state"]).alias("state"), F.array_append(a["starts"], a["state"]).alias("starts")), lambda a: a["starts"])
+        starts = F.when(F.size(blocks) > 1, noted).otherwise(F.slice(F.array(start), F.lit(1), F.size(blocks)))
+        return F.flatten(F.zip_with(blocks, starts, of_block))
 
-    return F.aggregate(items, begin, merged, lambda a: F.flatten(F.array_append(a["done"], a["block"])))
-
-
-def in_blocks(items: Column, size: int) -> Column:
-    """The array cut into arrays of ``size`` elements, the last one shorter."""
-    part = lambda b: F.transform(F.sequence(b * size, F.least((b + 1) * size, F.size(items)) - 1), lambda i: F.get(items, i.cast("int")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), part)
-    return F.when(F.size(items) > 0, blocks).otherwise(F.array().cast("array<array<string>>"))
+    return let(items, lambda xs: let(in_blocks(xs, FOLD_BLOCK), over))
 
 
 def cut_like(text: Column, pieces: Column) -> Column:
@@ -227,6 +230,8 @@ def plurals(noun: Column) -> Column:
 # Scripts -------------------------------------------------------------------------------
 
 PROSE_TOKEN = r"[\p{L}\p{Nd}_]+(?:[-'’][\p{L}\p{Nd}_]+)*"
+#: The same for Java, whose stack a token of thousands of parts would otherwise fill.
+TOKEN = r"[\p{L}\p{Nd}_]++(?:[-'’][\p{L}\p{Nd}_]++)*+"
 
 
 def script_letters(text: Column, script: str) -> Column:

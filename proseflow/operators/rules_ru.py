@@ -128,7 +128,7 @@ def sentences_of(text: Column) -> Column:
 
 
 def tokens_of(sentence: Column) -> Column:
-    return F.regexp_extract_all(sentence, F.lit(T.PROSE_TOKEN), F.lit(0))
+    return F.regexp_extract_all(sentence, F.lit(T.TOKEN), F.lit(0))
 
 
 def parts_of(token: Column) -> Column:
@@ -188,7 +188,7 @@ def placed_tokens(sentence: Column, col: Column) -> Column:
 
     A pattern that covers the text gives tokens and gaps; lengths of what comes before are offsets.
     """
-    pieces = F.regexp_extract_all(sentence, F.lit(rf"{T.PROSE_TOKEN}|[^\p{{L}}\p{{Nd}}_]+"), F.lit(0))
+    pieces = F.regexp_extract_all(sentence, F.lit(rf"{T.TOKEN}|[^\p{{L}}\p{{Nd}}_]+"), F.lit(0))
     none = F.expr("array()").cast("array<struct<tok:string,col:int,gap:string>>")
 
     def step(a: Column, x: Column) -> tuple[Column, Column]:

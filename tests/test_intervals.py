@@ -84,15 +84,15 @@ def test_plan_does_not_grow_with_the_dictionary(spark):
 
     docs = spark.createDataFrame([(1, "He tests the unit. Remove it quickly.")], "doc_id long, text string")
     rules_en.findings(docs, own=big(3)).collect()
-    plans = []
+    plans, times = [], []
     for n in (10, 1000):
         own = big(n)
         start = time.perf_counter()
         found = rules_en.findings(docs, own=own)
         plan = found._jdf.queryExecution().optimizedPlan().treeString()
-        took = time.perf_counter() - start
+        times.append(time.perf_counter() - start)
         plans.append(len(plan))
-    assert took < 4, took
+    assert times[1] - times[0] < 2, times
     assert abs(plans[1] - plans[0]) < 200 + 0.02 * plans[0]
 
 
