@@ -8,6 +8,8 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.maxPlanStringLength", "200000")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
