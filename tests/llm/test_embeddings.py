@@ -81,3 +81,15 @@ def test_every_two_tiles(spark, monkeypatch, why):
         assert embeddings.Layouts(np.array([v for _, v in rows]), 5, 0.95).estimate < embeddings.RECALL
         got = embeddings.near_duplicates(df, tile=16)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == brute(rows, 0.95)
+
+
+def test_no_link_is_left_to_the_layouts(spark, monkeypatch):
+    """However few pairs the layouts would bring together, the result is that of brute force."""
+    monkeypatch.setattr(embeddings.Layouts.__init__, "__defaults__", (embeddings.MOST_LAYOUTS, 0.2))
+    monkeypatch.setattr(embeddings, "RECALL", 0.2)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 8))
+    rows = [(i, (centres[i % 40] + rng.normal(size=8) * 0.2).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, tile=16).collect()}
+    assert got == brute(rows, 0.95)
