@@ -15,3 +15,16 @@ def test_texts_of_one_row_group_are_made_by_several_tasks(spark, corpus):
     assert spark.read.parquet(f"{SF}/orders.parquet").count() == rows.count() == 15_000
     each = rows.groupBy(F.spark_partition_id()).count().collect()
     assert len(each) >= 4 and max(r["count"] for r in each) < 6000
+
+
+def test_runs_and_words_are_found_without_a_fold(spark):
+    """Runs of nouns are searched for in a text of the tokens, and findings of single words need no runs."""
+    from proseflow.operators import rules_en
+
+    toks = spark.sql("SELECT array(named_struct('tok', 'a', 'phrase', false, 'still', false, 'ends', true)) AS ts").first().ts
+    row = lambda tok, kind: toks[0].asDict() | {"tok": tok} | {k: k == kind for k in ("phrase", "still", "ends")}
+    kinds = [("a", ""), ("b", "still"), ("c", ""), ("d", ""), ("e", ""), ("x", "ends"), *((w, "") for w in "fghi"), ("y", "phrase"), ("j", ""), ("k", ""), ("l", ""), ("z", "ends"), *((w, "") for w in "mnop")]
+    df = spark.createDataFrame([([row(*k) for k in kinds],)], "ts array<struct<tok:string,phrase:boolean,still:boolean,ends:boolean>>")
+    found = df.select(rules_en.clusters_of(F.col("ts")).alias("c"))
+    assert found.first().c == ["a c d e", "m n o p"]
+    assert "zip_with" not in found._jdf.queryExecution().analyzed().toString().lower().replace("zipwith", "zip_with")
