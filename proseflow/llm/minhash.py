@@ -46,6 +46,8 @@ DEVIATIONS = 5.5
 LEADERS = 4
 #: Most documents and shingles of a tile, about; two tiles are a task.
 TILE, TILE_SHINGLES = 1024, 400_000
+#: Bits of the filter of documents whose texts are asked for, a document of a cluster and at most (16 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 27
 _CHUNK = 4096
 
 _RANDOM = np.random.default_rng(7)
@@ -171,7 +173,8 @@ def confirm(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, words: int,
     tiles = F.least(F.count("*"), F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES))).cast("int")
     leads = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LEADERS)]
     cut, _ = stored(sized.groupBy("component").agg(tiles.alias("tiles"), F.count("*").alias("members"), F.array_distinct(F.array(*leads)).alias("leads")))
-    total = sized.agg(F.sum("n")).head()[0] or 0
+    total, n_sized = sized.agg(F.sum("n"), F.count("*")).head()
+    total = total or 0
     bundles = max(1, math.ceil(total / TILE_SHINGLES))
     placed = join_skewed(sized, cut.drop("leads"), ["component"], "members")
     own = ["node", "component", "sketch"]
@@ -199,7 +202,8 @@ def confirm(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, words: int,
             b.append(node[s + root[found]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    sources = texts.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
+    # Most documents are in no cluster: their texts are left out before the shuffle.
+    sources = maybe_in(texts.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node"), sized, n_sized)
 
     def decided(rows: DataFrame) -> DataFrame:
         rows = rows.join(sources, "node").select("cell", "i", "j", "component", "node", "side", "sketch", "text")
@@ -233,6 +237,20 @@ def confirm(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, words: int,
     return first.unionByName(decided(rows))
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``rows`` without most of those whose ``node`` is not in ``wanted``, which has ``n`` rows; none that is in it goes.
+
+    A bitmap of hashes, some FILTER_BITS for each of ``wanted`` and MOST_BITS at most, is broadcast in pieces of 32,768.
+    """
+    bits = min(MOST_BITS, 1 << max(15, math.ceil(math.log2(max(n, 1) * FILTER_BITS))))
+    place = F.pmod(F.xxhash64("node"), F.lit(bits))
+    piece, at = F.bitmap_bucket_number(place).alias("__piece"), F.bitmap_bit_position(place)
+    bitmap = wanted.groupBy(piece).agg(F.bitmap_construct_agg(at).alias("__bitmap"))
+    found = rows.withColumn("__piece", piece).join(F.broadcast(bitmap), "__piece")
+    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*rows.columns)
+
+
 def linked(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, threshold: int, allowed: int) -> np.ndarray:
     """For each set the first one that links connect it with, or itself.  Sets of both sides, or of one, meet.
 

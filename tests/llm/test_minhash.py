@@ -76,3 +76,12 @@ def test_default_bands_follow_the_threshold(documents, monkeypatch):
     monkeypatch.setattr(minhash, "banding", lambda threshold: seen.append(threshold) or (2, 3))
     minhash.near_duplicates(documents([(1, "a b c d e f"), (2, "a b c d e f")]))
     assert seen[0] == 80 and seen[1] == 6
+
+
+def test_texts_of_no_cluster_are_not_shuffled(spark):
+    """The filter keeps every document that is asked for, negative ids too, and few others."""
+    rows = spark.range(-20_000, 20_000).withColumnRenamed("id", "node")
+    wanted = rows.where("node % 40 = 0")
+    kept = {r.node for r in minhash.maybe_in(rows, wanted, 1000).collect()}
+    assert kept >= set(range(-20_000, 20_000, 40)) and len(kept) < 6000
+    assert minhash.maybe_in(rows, wanted.limit(0), 0).count() == 0
