@@ -37,3 +37,35 @@ def test_plans_over_pairs_stay_small(spark, name, most):
 
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert plan.collectLeaves().size() <= most
+
+
+def _plan(spark, name):
+    from proseflow.plans import queries
+
+    return queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["file_line", "number"])
+def test_a_kind_of_loss_works_out_no_other(spark, kind):
+    assert "perhaps" not in _plan(spark, f"fidelity_{kind}")
+
+
+def test_hedges_need_no_other_kind(spark):
+    from proseflow.operators import fidelity
+
+    assert fidelity.FILE_LINE not in _plan(spark, "fidelity_hedge")
+
+
+@pytest.mark.parametrize("name", ["glued_tokens", "ru_tokens"])
+def test_tokens_need_no_sentences(spark, name):
+    """Sentences are cut at the mark \\ue002; a token lies in one line and one sentence."""
+    assert "" not in _plan(spark, name)
+
+
+def test_glued_tokens_are_those_of_all_findings(spark):
+    from proseflow.operators import gate_ru
+
+    texts = ["UIшка. API-ключ, не-API `xй` https://a.example/жz\nweb-серверы ok. Код2x «кодX»…\n```\nкодY\n```\nUIшка", None, "", "a" * 9 + "й. Б" + "z" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((r.doc_id, r.match) for r in gate_ru.text_findings(df).where("rule = 'glued'").collect())
+    assert sorted((r.doc_id, r.match) for r in gate_ru.glued_tokens(df).collect()) == want and len(want) >= 4
