@@ -4,6 +4,7 @@ import os
 import types
 
 import pytest
+from pyspark.sql import functions as F
 
 from proseflow.llm import bpe, common, embeddings, minhash, token_file, words
 
@@ -125,3 +126,13 @@ def test_very_long_vectors(spark):
     # d * d sums would be 3 GB: such vectors are ordered by variance only.
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
     assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    shuffled = lambda: {f for f in files() if f.rsplit("/", 1)[-1].startswith("shuffle_")}
+    before = shuffled()
+    table, drop = common.stored(spark.range(10000).groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("n")))
+    assert table.count() == 1000
+    assert not {f for f in shuffled() - before if f.endswith(".data") and os.path.getsize(f) > 2000}  # the count's own are smaller
+    drop()
