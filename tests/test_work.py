@@ -69,3 +69,11 @@ def test_glued_tokens_are_those_of_all_findings(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted((r.doc_id, r.match) for r in gate_ru.text_findings(df).where("rule = 'glued'").collect())
     assert sorted((r.doc_id, r.match) for r in gate_ru.glued_tokens(df).collect()) == want and len(want) >= 4
+
+
+def test_documents_in_one_row_group_are_work_for_all_tasks(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id AS doc_id", "concat('Text ', id) AS text").coalesce(1)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = tables.documents(spark, str(tmp_path), "doc_id", "text")
+    sizes = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 300
