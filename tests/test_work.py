@@ -1,5 +1,7 @@
 """How the work of the prose queries is dealt out."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,39 @@ def test_documents_in_one_row_group_are_work_for_all_tasks(spark, tmp_path):
     docs = tables.documents(spark, str(tmp_path), "doc_id", "text")
     sizes = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 300
+
+
+def _by_broadcast(df) -> list[str]:
+    """Keys of the joins that the plan does by broadcast."""
+    return re.findall(r"BroadcastHashJoin \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_spans_meet_by_shuffle(spark):
+    """Stored spans take few bytes on disk, by which Spark broadcast them: 900,000 rows as 71 and 112 MB."""
+    from proseflow.operators import intervals
+    from proseflow.sources.storage import checkpointed
+
+    docs = spark.range(50).selectExpr("id AS doc_id", "'abc def' AS text")
+    words = checkpointed(docs.selectExpr("doc_id", "1 AS line", "5 AS col", "3 AS width"))
+    found = intervals.by_character(words, docs)
+    labels = checkpointed(docs.selectExpr("doc_id", "'def' AS item", "4 AS start", "7 AS end"))
+    scores = intervals.span_scores(labels, checkpointed(found), ["doc_id"])
+    assert not _by_broadcast(found) and not _by_broadcast(scores)
+    assert [tuple(r)[1:] for r in scores.distinct().collect()].count((1, 1, 1, 1)) == 50
+
+
+@pytest.mark.parametrize("name", ["span_scores_ru"])
+def test_findings_of_texts_are_not_broadcast(spark, monkeypatch, name):
+    """What grows with the documents meets by shuffle, in every part that is stored and in the result."""
+    from proseflow.plans import queries
+    from proseflow.sources import storage
+
+    keys, stored = [], storage.stored
+
+    def noted(df, *args, **kwargs):
+        keys.extend(_by_broadcast(df))
+        return stored(df, *args, **kwargs)
+
+    monkeypatch.setattr(storage, "stored", noted)
+    keys += _by_broadcast(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert not [k for k in keys if "doc_id" in k or "pair_id" in k]
