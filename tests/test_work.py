@@ -115,3 +115,16 @@ def test_findings_of_texts_are_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(storage, "stored", noted)
     keys += _by_broadcast(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert not [k for k in keys if "doc_id" in k or "pair_id" in k]
+
+
+def test_russian_texts_are_cut_into_sentences_once(spark, monkeypatch):
+    """Words, phrases and tokens each read all sentences; each cut the texts and sentences anew."""
+    from proseflow.operators import gate_ru, rules_ru
+
+    calls, cut, tokens = [], rules_ru.placed_sentences, rules_ru.placed_tokens
+    monkeypatch.setattr(rules_ru, "placed_sentences", lambda text: calls.append("s") or cut(text))
+    monkeypatch.setattr(rules_ru, "placed_tokens", lambda *x: calls.append("t") or tokens(*x))
+    df = spark.createDataFrame([(1, "Узлы сети целы. Крутые узлы."), (2, None)], "doc_id long, text string")
+    found = gate_ru.text_findings(df)
+    assert sorted(calls) == ["s", "t"]
+    assert sorted((r.rule, r.col, r.match) for r in found.collect()) == [("domain", 1, "Узлы"), ("lexicon", 24, "узлы")]
